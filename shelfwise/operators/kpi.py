@@ -54,33 +54,35 @@ def executive_kpis(medicines: DataFrame, purchases: DataFrame, sales: DataFrame,
             F.sum(q * sp).alias("_rev"),
         )
     )
-    k_purchases = per_item.agg(
-        F.count("medicine_id").cast("bigint").alias("medicines_in_stock"),
-        F.coalesce(F.sum("_risk"), F.lit(0)).cast(MONEY_SUM).alias("expiry_risk_value_30days"),
-        F.coalesce(F.sum("_inv"), F.lit(0)).cast(MONEY_SUM).alias("total_investment"),
-        F.coalesce(F.sum("_rev"), F.lit(0)).cast(MONEY_SUM).alias("potential_revenue"),
+    # Items and per-item purchases meet in one FULL OUTER join on the key
+    # (both sides have one row per item, so it is never skewed); unmatched
+    # purchase rows are orphans, which count for the purchase KPIs only.
+    # medicine_id is the key of both dimensions (as in the reference's data
+    # model), so the joins do not fan out.
+    items = medicines.select(
+        F.col("medicine_id").alias("_item_id"), "is_emergency", F.lit(True).alias("_is_item")
     )
-
-    k_items = medicines.agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_medicines"),
-        F.count(F.when(F.col("is_emergency") == 1, 1)).cast("bigint").alias("emergency_medicines"),
+    rules_ = reorder.select(F.col("medicine_id").alias("_rule_id"), "min_stock_level")
+    j = (
+        per_item.join(items, per_item["medicine_id"] == items["_item_id"], "full_outer")
+        .join(rules_, F.col("_item_id") == F.col("_rule_id"), "left")
     )
-
-    # The stock summary's current_stock (qty > 0, unexpired), one row per item row.
-    stock = medicines.select("medicine_id", "is_emergency").join(
-        per_item.select("medicine_id", "_stock"), "medicine_id", "left"
-    ).select("medicine_id", "is_emergency",
-             F.coalesce("_stock", F.lit(0)).alias("current_stock"))
-    k_out = stock.agg(
-        F.count(F.when(F.col("current_stock") == 0, 1)).cast("bigint").alias("out_of_stock_count")
-    )
-    ruled = stock.join(reorder.select("medicine_id", "min_stock_level"), "medicine_id", "inner")
-    cs, mn = F.col("current_stock"), F.col("min_stock_level")
-    k_rules = ruled.agg(
-        F.count(F.when(cs < mn, 1)).cast("bigint").alias("low_stock_count"),
-        F.count(F.when((F.col("is_emergency") == 1) & (cs < mn * 2), 1)).cast("bigint").alias(
+    is_item = F.col("_is_item").isNotNull()
+    cs = F.coalesce(F.col("_stock"), F.lit(0))
+    mn = F.col("min_stock_level")
+    emerg = F.col("is_emergency") == 1
+    k_stock = j.agg(
+        F.count(F.when(is_item, 1)).cast("bigint").alias("total_medicines"),
+        F.count(F.when(is_item & emerg, 1)).cast("bigint").alias("emergency_medicines"),
+        F.count("medicine_id").cast("bigint").alias("medicines_in_stock"),
+        F.count(F.when(is_item & (cs < mn), 1)).cast("bigint").alias("low_stock_count"),
+        F.count(F.when(is_item & (cs == 0), 1)).cast("bigint").alias("out_of_stock_count"),
+        F.count(F.when(is_item & emerg & (cs < mn * 2), 1)).cast("bigint").alias(
             "emergency_low_count"
         ),
+        F.coalesce(F.sum("_risk"), F.lit(0)).cast(MONEY_SUM).alias("expiry_risk_value_30days"),
+        F.coalesce(F.sum("_inv"), F.lit(0)).cast(MONEY_SUM).alias("total_investment"),
+        F.coalesce(F.sum("_rev"), F.lit(0)).cast(MONEY_SUM).alias("potential_revenue"),
     )
 
     qs = F.col("quantity_sold")
@@ -90,7 +92,7 @@ def executive_kpis(medicines: DataFrame, purchases: DataFrame, sales: DataFrame,
             "total_revenue_30days"
         ),
     )
-    return _one_row_join([k_items, k_purchases, k_rules, k_out, k_sales]).select(
+    return _one_row_join([k_stock, k_sales]).select(
         "total_medicines", "emergency_medicines", "medicines_in_stock",
         "low_stock_count", "out_of_stock_count", "emergency_low_count",
         "expiry_risk_value_30days", "total_investment", "potential_revenue",

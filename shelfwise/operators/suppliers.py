@@ -51,10 +51,12 @@ def supplier_performance(suppliers: DataFrame, purchases: DataFrame, clock: Cloc
         )
     )
     groups = s.select(*KEYS).distinct()
-    cond = reduce(lambda a, b: a & b, [groups[k].eqNullSafe(agg[k]) for k in KEYS])
-    j = groups.join(agg, cond, "left").select(
-        *[groups[k] for k in KEYS], *[agg[c] for c in agg.columns if c not in KEYS]
-    )
+    # Rename the aggregate side's keys so the null-safe condition compares
+    # two distinct attributes (both sides descend from the same scan).
+    agg = agg.select(*[F.col(k).alias("_a_" + k) for k in KEYS],
+                     *[c for c in agg.columns if c not in KEYS])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_a_" + k)) for k in KEYS])
+    j = groups.join(agg, cond, "left").drop(*["_a_" + k for k in KEYS])
     qp_total = F.coalesce(F.col("_qp"), F.lit(0)).cast("bigint")
     out = j.select(
         F.coalesce("supplier_name", F.lit("Unknown")).alias("supplier_name"),
