@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.operators import expiry, kpi, sales, stock, suppliers, valuation
+from shelfwise.operators import blocks, expiry, kpi, sales, stock, suppliers, valuation
 from shelfwise.plans.context import InventoryContext
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +59,33 @@ TIER_A: dict[str, Query] = {
 }
 
 
+BLOCKS: dict[str, Query] = {
+    "join_left_on_residual": _q(
+        lambda c: blocks.join_left_on_residual(c.medicines, c.purchases, c.clock)
+    ),
+    "join_fact_dim_orphans": _q(lambda c: blocks.join_fact_dim_orphans(c.purchases, c.medicines)),
+    "join_dim_fact_zero_rows": _q(
+        lambda c: blocks.join_dim_fact_zero_rows(c.suppliers, c.purchases)
+    ),
+    "join_inner_then_left": _q(
+        lambda c: blocks.join_inner_then_left(c.medicines, c.reorder, c.purchases)
+    ),
+    "agg_multi_distinct": _q(lambda c: blocks.agg_multi_distinct(c.purchases)),
+    "agg_conditional_sum": _q(lambda c: blocks.agg_conditional_sum(c.purchases, c.clock)),
+    "agg_avg_null_as_zero": _q(
+        lambda c: blocks.agg_avg_null_as_zero(c.medicines, c.purchases, c.clock)
+    ),
+    "agg_group_non_key": _q(lambda c: blocks.agg_group_non_key(c.sales, c.medicines)),
+    "agg_group_expr": _q(lambda c: blocks.agg_group_expr(c.purchases, c.medicines)),
+    "expr_safe_ratio": _q(lambda c: blocks.expr_safe_ratio(c.purchases)),
+    "expr_day_bands": _q(lambda c: blocks.expr_day_bands(c.purchases, c.clock)),
+    "sort_case_rank": _q(lambda c: blocks.sort_case_rank(c.stock_summary(), c.reorder)),
+    "share_of_total": _q(lambda c: blocks.share_of_total(c.purchases, c.medicines, c.clock)),
+}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(TIER_A)
+    out.update(BLOCKS)
     return out
