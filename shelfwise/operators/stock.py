@@ -154,3 +154,38 @@ def stock_by_name(medicines: DataFrame, purchases: DataFrame, reorder: DataFrame
             "min_stock_level"
         ),
     ).orderBy("current_stock", "medicine_name")
+
+
+def live_batches(purchases: DataFrame, medicines: DataFrame, suppliers: DataFrame,
+                 summary: DataFrame, clock: Clock) -> DataFrame:
+    """Unexpired, non-empty batches with item, supplier and item status columns."""
+    p = purchases.where(
+        clock.after_now(F.col("expiry_date")) & (F.col("quantity_remaining") > 0)
+    ).select("purchase_id", "medicine_id", "supplier_id", "batch_no", "expiry_date",
+             "quantity_remaining")
+    return (
+        p.join(medicines.select("medicine_id", "medicine_name", "category"), "medicine_id", "left")
+        .join(suppliers.select("supplier_id", "supplier_name"), "supplier_id", "left")
+        .join(summary.select("medicine_id", "stock_status"), "medicine_id", "left")
+        .select("purchase_id", "medicine_id", "supplier_id", "batch_no", "expiry_date",
+                "quantity_remaining", "medicine_name", "category", "supplier_name", "stock_status")
+    )
+
+
+def filter_stock(batches: DataFrame, clock: Clock, categories: list[str] | None = None,
+                 suppliers: list[str] | None = None, expiring_within: int | None = None,
+                 statuses: list[str] | None = None) -> DataFrame:
+    """The conjunction of whichever criteria are given (None = no filter)."""
+    conds = []
+    if categories is not None:
+        conds.append(F.col("category").isin(*categories))
+    if suppliers is not None:
+        conds.append(F.col("supplier_name").isin(*suppliers))
+    if expiring_within is not None:
+        conds.append(clock.not_after(F.col("expiry_date"), expiring_within))
+    if statuses is not None:
+        conds.append(F.col("stock_status").isin(*statuses))
+    out = batches
+    for c in conds:
+        out = out.where(c)
+    return out

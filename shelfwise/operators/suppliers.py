@@ -78,3 +78,21 @@ def supplier_performance(suppliers: DataFrame, purchases: DataFrame, clock: Cloc
         F.col("percentage_expiring_soon").asc(), F.col("total_purchase_value").desc(),
         "supplier_name", "city",
     )
+
+
+def supplier_order_history(suppliers: DataFrame, purchases: DataFrame) -> DataFrame:
+    """Per supplier and purchase month - orders, units and spend, next to
+    the supplier's lead time. Purchases are reduced per (supplier, month)
+    before they meet the supplier table (one row per supplier)."""
+    month = F.trunc(F.col("purchase_date"), "month").alias("order_month")
+    qp = F.col("quantity_purchased")
+    monthly = purchases.groupBy("supplier_id", month).agg(
+        F.countDistinct("purchase_id").alias("orders"),
+        F.sum(qp).cast("bigint").alias("units_purchased"),
+        F.coalesce(F.sum(qp * F.col("purchase_price")), F.lit(0)).cast(MONEY_SUM).alias("spend"),
+    )
+    s = suppliers.select("supplier_id", "supplier_name", "lead_time_days")
+    return monthly.join(s, "supplier_id", "inner").select(
+        "supplier_id", "supplier_name", "lead_time_days", "order_month",
+        F.col("orders").cast("bigint").alias("orders"), "units_purchased", "spend",
+    ).orderBy("supplier_id", "order_month")

@@ -11,7 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.operators import blocks, expiry, kpi, sales, stock, suppliers, valuation
+from shelfwise.operators import (
+    blocks, expiry, kpi, planning, sales, stock, suppliers, trends, valuation,
+)
+from shelfwise.plans import oracle
+from shelfwise.streaming import movements
 from shelfwise.plans.context import InventoryContext
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,8 +88,56 @@ BLOCKS: dict[str, Query] = {
 }
 
 
+def _filter_stock(c: InventoryContext) -> DataFrame:
+    batches = stock.live_batches(c.purchases, c.medicines, c.suppliers, c.stock_summary(), c.clock)
+    return stock.filter_stock(
+        batches, c.clock,
+        categories=list(oracle.FILTER_STOCK_CATEGORIES),
+        statuses=list(oracle.FILTER_STOCK_STATUSES),
+        expiring_within=oracle.FILTER_STOCK_EXPIRING_DAYS,
+    )
+
+
+def _stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return movements.run_movement_windows(spark, movements.event_glob(sf_dir))
+
+
+def _stream_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = context(spark, sf_dir)
+    return movements.run_low_stock_alert(spark, movements.event_glob(sf_dir), c.medicines, c.reorder)
+
+
+TIER_C: dict[str, Query] = {
+    "expiry_band_distribution": _q(lambda c: trends.expiry_band_distribution(c.purchases, c.clock)),
+    "category_distribution": _q(
+        lambda c: trends.category_distribution(c.purchases, c.sales, c.medicines, c.clock)
+    ),
+    "supplier_order_history": _q(
+        lambda c: suppliers.supplier_order_history(c.suppliers, c.purchases)
+    ),
+    "sales_trend_rollup": _q(lambda c: trends.sales_trend_rollup(c.sales)),
+    "seasonal_uplift": _q(lambda c: trends.seasonal_uplift(c.sales, c.medicines)),
+    "filter_stock": _q(_filter_stock),
+    "drilldown_rollup": _q(lambda c: trends.drilldown_rollup(c.purchases, c.medicines, c.clock)),
+    "emergency_coverage": _q(
+        lambda c: planning.emergency_coverage(c.medicines, c.purchases, c.reorder, c.clock)
+    ),
+    "days_of_cover": _q(lambda c: planning.days_of_cover(c.stock_summary(), c.sales, c.clock)),
+    "stock_health": _q(lambda c: planning.stock_health(c.stock_summary(), c.reorder)),
+    "stockout_forecast": _q(
+        lambda c: planning.stockout_forecast(
+            c.stock_summary(), c.sales, c.purchases, c.suppliers, c.reorder, c.clock
+        )
+    ),
+    "overstock": _q(lambda c: planning.overstock(c.medicines, c.purchases, c.reorder, c.clock)),
+    "stock_movement_windows": _stream_windows,
+    "low_stock_stream_alert": _stream_alert,
+}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(TIER_A)
     out.update(BLOCKS)
+    out.update(TIER_C)
     return out
