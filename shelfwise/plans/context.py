@@ -10,6 +10,8 @@ lost) or writes it as a checkpoint under the cluster's shared
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +26,10 @@ AUX_VIEWS = ("stock_summary_temp", "expiry_temp")
 
 
 class InventoryContext:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], as_of=DEFAULT_AS_OF):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], as_of=DEFAULT_AS_OF):
         self.spark = spark
         self.clock = Clock.at(as_of)
-        self.tables = dict(tables)
+        self.tables = tables  # may be lazy (adapters.DomainTables)
         self._stock: DataFrame | None = None
         self._persisted = False
 

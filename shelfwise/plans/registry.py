@@ -21,8 +21,18 @@ from shelfwise.plans.context import InventoryContext
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_CONTEXTS: dict[str, InventoryContext] = {}
+
+
 def context(spark: SparkSession, sf_dir: str) -> InventoryContext:
-    return InventoryContext.from_driver(spark, sf_dir)
+    """One context per (session, dataset): the table definitions (and the
+    driver files' listing and footers) are resolved once and reused by every
+    query of the session; DataFrames are immutable plans, so sharing is safe."""
+    ctx = _CONTEXTS.get(sf_dir)
+    if ctx is None or ctx.spark is not spark:
+        ctx = InventoryContext.from_driver(spark, sf_dir)
+        _CONTEXTS[sf_dir] = ctx
+    return ctx
 
 
 def _q(build: Callable[[InventoryContext], DataFrame]) -> Query:

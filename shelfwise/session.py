@@ -17,9 +17,12 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # Dimension sides are broadcast only when their measured size is under
-    # this bound; otherwise the join stays a shuffle join.
-    "spark.sql.autoBroadcastJoinThreshold": "32m",
+    # Broadcast decisions: at planning time only under Spark's conservative
+    # default (plan-time sizes are estimates - joins are estimated as the
+    # product of their inputs), at run time (AQE) on the *measured* size of
+    # a materialized shuffle, up to 32 MB. Everything else stays a shuffle
+    # join; no query forces a broadcast of a table that grows with the data.
+    "spark.sql.autoBroadcastJoinThreshold": "10m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",

@@ -12,6 +12,8 @@ create them so that the outer-join defaults of the queries are exercised.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,16 +134,43 @@ def stock_movements(events: DataFrame) -> DataFrame:
     )
 
 
-def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All five domain tables built lazily over the driver Parquet files."""
-    part = read_driver(spark, sf_dir, "part")
-    lineitem = read_driver(spark, sf_dir, "lineitem")
-    return {
-        "medicines_master": medicines(part),
-        "suppliers_master": suppliers(
-            read_driver(spark, sf_dir, "supplier"), read_driver(spark, sf_dir, "nation")
-        ),
-        "purchases_transactions": purchases(lineitem),
-        "sales_transactions": sales(lineitem, read_driver(spark, sf_dir, "orders")),
-        "reorder_levels": reorder_levels(part),
+class DomainTables(Mapping):
+    """The five domain tables over one driver folder, each built on first use.
+
+    A query that reads two tables does not construct (or list files for)
+    the other three; the driver files themselves are opened once.
+    """
+
+    _BUILDERS = {
+        "medicines_master": lambda t: medicines(t._driver("part")),
+        "suppliers_master": lambda t: suppliers(t._driver("supplier"), t._driver("nation")),
+        "purchases_transactions": lambda t: purchases(t._driver("lineitem")),
+        "sales_transactions": lambda t: sales(t._driver("lineitem"), t._driver("orders")),
+        "reorder_levels": lambda t: reorder_levels(t._driver("part")),
     }
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._raw: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = {}
+
+    def _driver(self, name: str) -> DataFrame:
+        if name not in self._raw:
+            self._raw[name] = read_driver(self.spark, self.sf_dir, name)
+        return self._raw[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._BUILDERS[name](self)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._BUILDERS)
+
+    def __len__(self) -> int:
+        return len(self._BUILDERS)
+
+
+def domain_tables(spark: SparkSession, sf_dir: str) -> DomainTables:
+    """All five domain tables, built lazily over the driver Parquet files."""
+    return DomainTables(spark, sf_dir)
