@@ -166,3 +166,28 @@ def overstock(medicines: DataFrame, purchases: DataFrame, reorder: DataFrame,
         F.col("_value").cast(MONEY_SUM).alias("stock_value"),
         half_up_ratio(excess * F.col("_value"), stock).alias("excess_value"),
     )
+
+
+def reorder_policy(medicines: DataFrame) -> DataFrame:
+    """Reorder thresholds by emergency flag, with a fast-mover lift
+    (minimum x1.5, reorder quantity x1.3, truncated) for 3 in 10 items.
+
+    The generator draws the levels at random inside fixed ranges; here the
+    position inside each range is a function of the item id.
+    """
+    key = F.col("medicine_id")
+    emerg = F.col("is_emergency") == 1
+    base_min = F.when(emerg, 30 + F.pmod(key, F.lit(31))).otherwise(5 + F.pmod(key, F.lit(21)))
+    max_level = F.when(emerg, 200 + F.pmod(key, F.lit(101))).otherwise(100 + F.pmod(key, F.lit(101)))
+    base_qty = F.when(emerg, 100 + F.pmod(key, F.lit(101))).otherwise(50 + F.pmod(key, F.lit(101)))
+    fast = F.pmod(key, F.lit(10)) < 3
+    return medicines.select(
+        "medicine_id", "is_emergency",
+        F.when(fast, F.floor(base_min * 3 / 2)).otherwise(base_min).cast("int").alias("min_stock_level"),
+        max_level.cast("int").alias("max_stock_level"),
+        F.when(fast, F.floor(base_qty * 13 / 10)).otherwise(base_qty).cast("int").alias(
+            "reorder_quantity"
+        ),
+        F.when(emerg, 7).otherwise(5).cast("int").alias("safety_stock_days"),
+        fast.alias("fast_mover"),
+    )

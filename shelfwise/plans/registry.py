@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.operators import (
-    blocks, expiry, kpi, planning, sales, stock, suppliers, trends, valuation,
+    batches, blocks, calendar, expiry, kpi, planning, quality, sales, stock, suppliers, trends,
+    valuation,
 )
 from shelfwise.plans import oracle
 from shelfwise.streaming import movements
@@ -145,9 +146,36 @@ TIER_C: dict[str, Query] = {
 }
 
 
+TIER_B: dict[str, Query] = {
+    "null_profile": _q(lambda c: quality.null_profiles({t: c.tables[t] for t in c.tables})),
+    "date_range_profile": _q(lambda c: quality.date_range_profile(c.purchases, c.sales)),
+    "quantity_reconciliation": _q(lambda c: quality.quantity_reconciliation(c.purchases)),
+    "date_spine": _q(lambda c: calendar.date_spine(c.sales)),
+    "daily_sales_filled": _q(lambda c: calendar.daily_sales_filled(c.sales)),
+    "fan_out": _q(lambda c: batches.batches_per_item(c.medicines)),
+    "weighted_bucket": _q(lambda c: batches.sale_choices(c.sales)),
+    "flatten_catalog": _q(lambda c: batches.flatten_catalog(batches.nest_catalog(c.medicines))),
+    "sequential_id": _q(
+        lambda c: batches.sequential_id(
+            c.purchases.select("purchase_id", "purchase_date"),
+            ["purchase_date", "purchase_id"], start=10000,
+        )
+    ),
+    "price_chain": _q(lambda c: batches.price_chain(c.purchases)),
+    "discounted_price": _q(lambda c: batches.discounted_price(c.sales)),
+    "batch_dates": _q(lambda c: batches.batch_dates(c.purchases)),
+    "reorder_policy": _q(lambda c: planning.reorder_policy(c.medicines)),
+    "eligible_batches": _q(lambda c: batches.eligible_batches(c.sales, c.purchases)),
+    "prescription_flag": _q(lambda c: batches.prescription_flag(c.medicines)),
+    "bill_number": _q(lambda c: batches.bill_number(c.sales)),
+    "package_label": _q(lambda c: batches.package_labels(c.medicines)),
+}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(TIER_A)
     out.update(BLOCKS)
     out.update(TIER_C)
+    out.update(TIER_B)
     return out
