@@ -118,3 +118,24 @@ def test_parquet_round_trip_and_pushdown(spark, tmp_dir):
     plan = live._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(expiry_date,2001-03-01)" in plan
     assert "ReadSchema: struct<medicine_id:bigint,expiry_date:date>" in plan
+
+
+def test_report_run_writes_every_result_from_files(spark, tmp_dir):
+    """The whole script over tables read back from Parquet files."""
+    from shelfwise.plans import script
+
+    src = InventoryContext.from_driver(spark, SMALL_SF)
+    for name in schemas.TABLE_SCHEMAS:
+        readers.write_parquet(src.tables[name], f"{tmp_dir}/tables/{name}.parquet")
+    ctx = InventoryContext.from_files(spark, f"{tmp_dir}/tables", "parquet")
+    written = script.run_report(ctx, f"{tmp_dir}/out")
+    assert len(written) == 13
+    assert not spark.catalog.tableExists(STOCK_VIEW)
+    alerts = spark.read.parquet(f"{tmp_dir}/out/low_stock_alert")
+    want = src.stock_summary()
+    from shelfwise.operators import stock
+
+    assert alerts.count() == stock.low_stock_alert(want, src.reorder).count()
+    csv = spark.read.option("header", True).csv(f"{tmp_dir}/out/export_expiry")
+    assert csv.count() == spark.read.parquet(f"{tmp_dir}/tables/purchases_transactions.parquet").where(
+        "expiry_date > date'2001-03-01' AND quantity_remaining > 0").count()
