@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.operators import expiry, kpi, sales, stock, suppliers, valuation
 from shelfwise.plans.context import InventoryContext
@@ -46,18 +47,25 @@ def report_frames(ctx: InventoryContext) -> dict[str, DataFrame]:
     }
 
 
-def run_report(ctx: InventoryContext, out_dir: str) -> list[str]:
-    """Write every result set under ``out_dir``; returns the names written."""
+def run_report(ctx: InventoryContext, out_dir: str) -> dict[str, int]:
+    """Write every result set under ``out_dir``.
+
+    Returns rows written per result (the reference's "rows returned"
+    messages), taken from ``observe`` metrics gathered by the write itself,
+    so no second job counts the rows.
+    """
     frames = report_frames(ctx)
-    written = []
+    written: dict[str, int] = {}
     try:
         for name, df in frames.items():
             path = subdir(out_dir, name)
+            obs = Observation(name)
+            observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
             if name in CSV_EXPORTS:
-                readers.write_csv(df, path)
+                readers.write_csv(observed, path)
             else:
-                readers.write_parquet(df, path)
-            written.append(name)
+                readers.write_parquet(observed, path)
+            written[name] = int(obs.get["rows"])
     finally:
         ctx.drop_stock_views()  # the clean-up step, also on failure
     return written
@@ -73,8 +81,8 @@ def main(argv: list[str] | None = None) -> None:
     spark: SparkSession = build_session()
     kwargs = {"as_of": args.as_of} if args.as_of else {}
     ctx = InventoryContext.from_files(spark, args.tables, args.fmt, **kwargs)
-    for name in run_report(ctx, args.out):
-        print(name)
+    for name, rows in run_report(ctx, args.out).items():
+        print(f"{name}: {rows} rows")
 
 
 if __name__ == "__main__":

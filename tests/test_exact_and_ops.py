@@ -135,7 +135,7 @@ def test_report_run_writes_every_result_from_files(spark, tmp_dir):
     want = src.stock_summary()
     from shelfwise.operators import stock
 
-    assert alerts.count() == stock.low_stock_alert(want, src.reorder).count()
+    assert alerts.count() == stock.low_stock_alert(want, src.reorder).count() == written["low_stock_alert"]
     csv = spark.read.option("header", True).csv(f"{tmp_dir}/out/export_expiry")
     assert csv.count() == spark.read.parquet(f"{tmp_dir}/tables/purchases_transactions.parquet").where(
         "expiry_date > date'2001-03-01' AND quantity_remaining > 0").count()
