@@ -129,6 +129,19 @@ def latest_per_key(changelog: DataFrame, keys: list[str]) -> DataFrame:
     return latest.select(*keys, *[F.col("_s." + c).alias(c) for c in values])
 
 
+def utc_session(spark: SparkSession) -> SparkSession:
+    """A child session (same SparkContext, own SQL conf) whose time zone is
+    UTC, so event-time windows do not depend on the caller's session zone:
+    the watermark needs a zoned TIMESTAMP, and the driver's wall-clock
+    TIMESTAMP_NTZ values are read as UTC."""
+    child = spark.newSession()
+    for key, value in spark.conf.getAll.items():  # inherit the caller's SQL settings
+        if key.startswith("spark.sql.") and child.conf.isModifiable(key):
+            child.conf.set(key, value)
+    child.conf.set("spark.sql.session.timeZone", "UTC")
+    return child
+
+
 def _run_dir(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark, local_fallback=True)
     return subdir(base, f"{name}-{uuid.uuid4().hex}")
@@ -144,7 +157,7 @@ def run_movement_windows(spark: SparkSession, events_path: str) -> DataFrame:
     """T1 end to end over the files available now; returns the final windows."""
     run = _run_dir(spark, "stock_movement_windows")
     q = write_changelog(
-        stock_movement_windows(movements(read_event_stream(spark, events_path))),
+        stock_movement_windows(movements(read_event_stream(utc_session(spark), events_path))),
         subdir(run, "out"), subdir(run, "checkpoint"),
     )
     q.awaitTermination()
@@ -158,7 +171,7 @@ def run_low_stock_alert(spark: SparkSession, events_path: str, medicines: DataFr
     """T2 end to end over the files available now; returns the latest labels per item."""
     run = _run_dir(spark, "low_stock_stream_alert")
     q = write_changelog(
-        running_stock(movements(read_event_stream(spark, events_path))),
+        running_stock(movements(read_event_stream(utc_session(spark), events_path))),
         subdir(run, "out"), subdir(run, "checkpoint"),
         transform=lambda b: label_stock(b, medicines, reorder),
     )
