@@ -212,9 +212,12 @@ def sequential_id(df: DataFrame, order: list[str], start: int = 1, name: str = "
     order (so a repeated leading key still splits on the later columns),
     sorted within each partition, numbered by their position inside it, and
     shifted by the row count of all earlier partitions (a table with one row
-    per partition, so bounded by the partition count).
+    per partition, so bounded by the partition count). The partition count is
+    explicit so AQE does not coalesce this shuffle: the counting branch and
+    the numbering branch see the same partitions.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     mid = F.monotonically_increasing_id()
     numbered = ranged.withColumn("_mid", mid).select(
         *df.columns,
