@@ -77,7 +77,7 @@ def checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not local_fallback:
+    if not (local_fallback and sc.master.startswith("local")):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "(HDFS/S3/ABFS) before running jobs that checkpoint"
