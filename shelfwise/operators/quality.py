@@ -69,3 +69,9 @@ def quantity_reconciliation(purchases: DataFrame) -> DataFrame:
         (F.col("total_purchased") - F.col("total_remaining")).alias("approx_sold"),
         "batches_remaining_above_purchased",
     )
+
+
+def type_report(df: DataFrame, table: str) -> list[tuple[str, str, str]]:
+    """B2: (table, column, type) from the declared schema - metadata only,
+    no job runs."""
+    return [(table, f.name, f.dataType.simpleString()) for f in df.schema.fields]

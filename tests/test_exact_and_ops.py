@@ -139,3 +139,12 @@ def test_report_run_writes_every_result_from_files(spark, tmp_dir):
     csv = spark.read.option("header", True).csv(f"{tmp_dir}/out/export_expiry")
     assert csv.count() == spark.read.parquet(f"{tmp_dir}/tables/purchases_transactions.parquet").where(
         "expiry_date > date'2001-03-01' AND quantity_remaining > 0").count()
+
+
+def test_type_report_lists_declared_types(spark):
+    from shelfwise.operators import quality
+
+    ctx = InventoryContext.from_driver(spark, SMALL_SF)
+    rep = dict((c, t) for _, c, t in quality.type_report(ctx.purchases, "purchases_transactions"))
+    assert rep["purchase_price"] == "decimal(12,2)" and rep["expiry_date"] == "date"
+    assert rep["medicine_id"] == "bigint" and rep["quantity_remaining"] == "int"
