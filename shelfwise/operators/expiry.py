@@ -1,9 +1,10 @@
 """Batch-level expiry reports: Q3 expiry alert, Q10b expiry export.
 
-Both are per-batch outputs, so the (possibly skewed) purchases side is the
-streamed/left side of the item join: AQE's skew handling may split it,
-which it cannot do for the preserved side's partner of an outer join. The
-date window is applied before the join and reaches the Parquet scan.
+Both are per-batch outputs, so the (possibly skewed) purchases are the left,
+preserved side of ``purchases LEFT JOIN items``: for a left outer join AQE's
+skew handling can split the left side's partitions (it could not split the
+right side). The date window is applied before the join and reaches the
+Parquet scan.
 """
 
 from __future__ import annotations
