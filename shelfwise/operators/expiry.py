@@ -43,7 +43,10 @@ def expiry_alert(purchases: DataFrame, medicines: DataFrame, clock: Clock,
         rules.expiry_risk(days).alias("expiry_risk"),
         rules.recommended_discount(days).alias("recommended_discount"),
     )
-    return out.orderBy(F.col("expiry_date").asc(), F.col("quantity_remaining").desc())
+    # The reference's order, then tiebreakers: a range partitioner can split
+    # a date that holds many batches only if the sort key distinguishes them.
+    return out.orderBy(F.col("expiry_date").asc(), F.col("quantity_remaining").desc(),
+                       "medicine_name", "batch_no", "total_cost_value")
 
 
 def export_expiry(purchases: DataFrame, medicines: DataFrame, clock: Clock) -> DataFrame:
@@ -62,5 +65,5 @@ def export_expiry(purchases: DataFrame, medicines: DataFrame, clock: Clock) -> D
             (qty * F.col("purchase_price")).cast(MONEY_SUM).alias("loss_if_expired"),
             clock.days_until(exp).alias("days_remaining"),
         )
-        .orderBy("expiry_date")
+        .orderBy("expiry_date", "medicine_name", "batch_no", "quantity_remaining")
     )

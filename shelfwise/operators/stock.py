@@ -84,7 +84,7 @@ def low_stock_alert(summary: DataFrame, reorder: DataFrame) -> DataFrame:
             rules.alert_priority(stock, mn, emerg).alias("alert_priority"),
             rules.recommended_action(stock, mn).alias("recommended_action"),
         )
-        .orderBy("alert_priority", "current_stock")
+        .orderBy("alert_priority", "current_stock", "medicine_name")
     )
 
 
