@@ -15,49 +15,75 @@ from __future__ import annotations
 
 import argparse
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators import expiry, kpi, sales, stock, suppliers, valuation
-from shelfwise.plans.context import InventoryContext
+from shelfwise.plans.context import STOCK_VIEW, InventoryContext
 from shelfwise.session import build_session, subdir
 from shelfwise.sources import readers
+from shelfwise.sources.checks import MissingInputError
 
 CSV_EXPORTS = ("export_stock_status", "export_expiry")
 
 
-def report_frames(ctx: InventoryContext) -> dict[str, DataFrame]:
-    """The script's result sets, in order, over one materialized stock summary."""
-    summary = ctx.materialize_stock()
+def report_frames(ctx: InventoryContext) -> dict[str, Callable[[], DataFrame]]:
+    """The script's result sets, in order, each built on demand over one
+    materialized stock summary (a section whose input table is missing is
+    skipped on its own, as the reference's per-section guards do)."""
     c = ctx.clock
+
+    def summary() -> DataFrame:
+        if not ctx.spark.catalog.tableExists(STOCK_VIEW):
+            ctx.materialize_stock()
+        return ctx.stock_summary()
+
     return {
-        "table_row_counts": kpi.table_row_counts(ctx.tables),
-        "current_stock_summary": stock.stock_summary_report(summary),
-        "low_stock_alert": stock.low_stock_alert(summary, ctx.reorder),
-        "expiry_alert": expiry.expiry_alert(ctx.purchases, ctx.medicines, c),
-        "category_valuation": valuation.category_valuation(ctx.purchases, ctx.medicines, c),
-        "emergency_status": stock.emergency_status(summary, ctx.reorder),
-        "sales_movement_top20": sales.sales_movement_top(ctx.sales, ctx.medicines, c),
-        "supplier_performance": suppliers.supplier_performance(ctx.suppliers, ctx.purchases, c),
-        "executive_kpis": kpi.executive_kpis(ctx.medicines, ctx.purchases, ctx.sales, ctx.reorder, c),
-        "export_stock_status": stock.export_stock_status(ctx.medicines, ctx.purchases, ctx.reorder, c),
-        "export_expiry": expiry.export_expiry(ctx.purchases, ctx.medicines, c),
-        "kpi_union": kpi.kpi_union(ctx.medicines, ctx.reorder, ctx.purchases, c),
-        "stock_by_name": stock.stock_by_name(ctx.medicines, ctx.purchases, ctx.reorder, c),
+        "table_row_counts": lambda: kpi.table_row_counts(
+            {t: ctx.tables[t] for t in ctx.tables if _present(ctx, t)}),
+        "current_stock_summary": lambda: stock.stock_summary_report(summary()),
+        "low_stock_alert": lambda: stock.low_stock_alert(summary(), ctx.reorder),
+        "expiry_alert": lambda: expiry.expiry_alert(ctx.purchases, ctx.medicines, c),
+        "category_valuation": lambda: valuation.category_valuation(ctx.purchases, ctx.medicines, c),
+        "emergency_status": lambda: stock.emergency_status(summary(), ctx.reorder),
+        "sales_movement_top20": lambda: sales.sales_movement_top(ctx.sales, ctx.medicines, c),
+        "supplier_performance": lambda: suppliers.supplier_performance(ctx.suppliers, ctx.purchases, c),
+        "executive_kpis": lambda: kpi.executive_kpis(
+            ctx.medicines, ctx.purchases, ctx.sales, ctx.reorder, c),
+        "export_stock_status": lambda: stock.export_stock_status(
+            ctx.medicines, ctx.purchases, ctx.reorder, c),
+        "export_expiry": lambda: expiry.export_expiry(ctx.purchases, ctx.medicines, c),
+        "kpi_union": lambda: kpi.kpi_union(ctx.medicines, ctx.reorder, ctx.purchases, c),
+        "stock_by_name": lambda: stock.stock_by_name(ctx.medicines, ctx.purchases, ctx.reorder, c),
     }
 
 
-def run_report(ctx: InventoryContext, out_dir: str) -> dict[str, int]:
+def _present(ctx: InventoryContext, table: str) -> bool:
+    try:
+        ctx.tables[table]
+        return True
+    except MissingInputError:
+        return False
+
+
+def run_report(ctx: InventoryContext, out_dir: str) -> dict[str, int | None]:
     """Write every result set under ``out_dir``.
 
     Returns rows written per result (the reference's "rows returned"
     messages), taken from ``observe`` metrics gathered by the write itself,
-    so no second job counts the rows.
+    so no second job counts the rows; ``None`` marks a section skipped
+    because one of its input tables is missing.
     """
-    frames = report_frames(ctx)
-    written: dict[str, int] = {}
+    written: dict[str, int | None] = {}
     try:
-        for name, df in frames.items():
+        for name, build in report_frames(ctx).items():
+            try:
+                df = build()
+            except MissingInputError:
+                written[name] = None
+                continue
             path = subdir(out_dir, name)
             obs = Observation(name)
             observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
@@ -82,7 +108,7 @@ def main(argv: list[str] | None = None) -> None:
     kwargs = {"as_of": args.as_of} if args.as_of else {}
     ctx = InventoryContext.from_files(spark, args.tables, args.fmt, **kwargs)
     for name, rows in run_report(ctx, args.out).items():
-        print(f"{name}: {rows} rows")
+        print(f"{name}: " + ("skipped (missing input)" if rows is None else f"{rows} rows"))
 
 
 if __name__ == "__main__":

@@ -10,9 +10,13 @@ header for spreadsheet exports.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.sources.checks import MissingInputError
 from shelfwise.sources.schemas import TABLE_SCHEMAS
 
 CSV_DATE_FORMAT = "dd-MM-yyyy"
@@ -45,10 +49,37 @@ def read_parquet_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     )
 
 
-def read_tables(spark: SparkSession, base: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """All five tables from ``{base}/{table}.{fmt}`` (file or directory)."""
+class LazyTables(Mapping):
+    """Tables opened on first use, so a report that does not need a table
+    runs even when its files are absent (the reference ships no sales file);
+    a query that does need it fails with ``MissingInputError``."""
+
+    def __init__(self, openers: dict[str, Callable[[], DataFrame]]):
+        self._openers = openers
+        self._open: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._open:
+            try:
+                self._open[name] = self._openers[name]()
+            except AnalysisException as exc:
+                raise MissingInputError(f"{name}: {exc}") from exc
+        return self._open[name]
+
+    def __iter__(self):
+        return iter(self._openers)
+
+    def __len__(self) -> int:
+        return len(self._openers)
+
+
+def read_tables(spark: SparkSession, base: str, fmt: str = "parquet") -> LazyTables:
+    """All five tables from ``{base}/{table}.{fmt}`` (file or directory), opened lazily."""
     reader = read_parquet_table if fmt == "parquet" else read_csv_table
-    return {t: reader(spark, f"{base.rstrip('/')}/{t}.{fmt}", t) for t in TABLE_SCHEMAS}
+    root = base.rstrip("/")
+    return LazyTables({
+        t: (lambda t=t: reader(spark, f"{root}/{t}.{fmt}", t)) for t in TABLE_SCHEMAS
+    })
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
