@@ -52,10 +52,10 @@ def expiry_band_distribution(purchases: DataFrame, clock: Clock) -> DataFrame:
         F.sum(q).cast("bigint").alias("units"),
         F.coalesce(F.sum(q * pp), F.lit(0)).cast(MONEY_SUM).alias("stock_value"),
     )
-    total = g.agg(F.sum("stock_value").alias("_total"))
-    return g.crossJoin(F.broadcast(total)).select(
+    total = F.sum("stock_value").over(Window.partitionBy())  # over the four bands
+    return g.select(
         "expiry_band", "batches", "units", "stock_value",
-        rules.share_percent(F.col("stock_value"), F.col("_total")).alias("value_share_pct"),
+        rules.share_percent(F.col("stock_value"), total).alias("value_share_pct"),
     )
 
 
@@ -78,17 +78,16 @@ def category_distribution(purchases: DataFrame, sales: DataFrame, medicines: Dat
         F.coalesce(F.sum("_v"), F.lit(0)).cast(MONEY_SUM).alias("stock_value"),
         F.coalesce(F.sum("_u"), F.lit(0)).cast("bigint").alias("units_sold_30days"),
     )
-    totals = g.agg(F.sum("stock_value").alias("_tv"), F.sum("units_sold_30days").alias("_tu"))
-    ranked = g.withColumn(
-        "value_rank",
-        F.rank().over(Window.orderBy(F.col("stock_value").desc())).cast("int"),
-    )
-    return ranked.crossJoin(F.broadcast(totals)).select(
+    every = Window.partitionBy()  # windows over the per-category rows only
+    return g.select(
         "category", "stock_value",
-        rules.share_percent(F.col("stock_value"), F.col("_tv")).alias("value_share_pct"),
+        rules.share_percent(F.col("stock_value"), F.sum("stock_value").over(every)).alias(
+            "value_share_pct"
+        ),
         "units_sold_30days",
-        rules.share_percent(F.col("units_sold_30days"), F.col("_tu")).alias("units_share_pct"),
-        "value_rank",
+        rules.share_percent(F.col("units_sold_30days"), F.sum("units_sold_30days").over(every))
+        .alias("units_share_pct"),
+        F.rank().over(Window.orderBy(F.col("stock_value").desc())).cast("int").alias("value_rank"),
     )
 
 

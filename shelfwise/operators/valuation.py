@@ -4,14 +4,14 @@ Q4 is one pass over the unexpired purchases. The share-of-total
 denominator of the reference (a scalar subquery without the
 ``quantity_remaining > 0`` residual) is carried as an unconditional sum in
 the same aggregation; the group measures use conditional aggregates for the
-residual. The denominator is then a 1-row total over the grouped result,
-cross-joined back (a 1-row broadcast is size-safe), instead of a second
-scan of the fact table or an unpartitioned window.
+residual. The denominator is then a window sum over the grouped result
+(one row per category, so the unpartitioned window holds only the category
+vocabulary) instead of a second scan of the fact table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import rules
@@ -71,8 +71,10 @@ def category_valuation(purchases: DataFrame, medicines: DataFrame, clock: Clock,
         ),
         _money_sum(q * pp).alias("_all_value"),
     )
-    total = g.agg(F.coalesce(F.sum("_all_value"), F.lit(0)).cast(MONEY_SUM).alias("_total"))
-    out = g.where(F.col("_rows") > 0).crossJoin(F.broadcast(total))
+    # The total is a window sum over the grouped rows (one per category): no
+    # second pass over the fact, and the window holds only the categories.
+    total = F.coalesce(F.sum("_all_value").over(Window.partitionBy()), F.lit(0)).cast(MONEY_SUM)
+    out = g.withColumn("_total", total).where(F.col("_rows") > 0)
     return out.select(
         "category",
         "unique_medicines",
