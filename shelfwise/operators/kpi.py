@@ -107,31 +107,37 @@ def kpi_union(medicines: DataFrame, reorder: DataFrame, purchases: DataFrame,
     'LOW STOCK ITEMS' counts (item, batch) rows of ``items JOIN rules LEFT
     JOIN purchases`` whose remaining quantity (0 if none) is under the
     item's minimum - expired batches included, as in the reference. The
-    batches are first reduced to a per-item quantity histogram, so the join
-    carries one row per (item, distinct quantity) instead of one per batch.
+    batches are read once and reduced to a per-item quantity histogram that
+    also carries the expiring-batch count, so the join carries one row per
+    (item, distinct quantity) instead of one per batch, and a FULL OUTER join
+    keeps the histogram rows of items without a rule for the expiring count.
     """
-    total = medicines.agg(F.count(F.lit(1)).cast("bigint").alias("Value")).select(
+    items = medicines.select(F.col("medicine_id").alias("_item_id"))
+    total = items.agg(F.count(F.lit(1)).cast("bigint").alias("Value")).select(
         F.lit("TOTAL MEDICINES").alias("Metric"), "Value"
     )
     hist = purchases.groupBy("medicine_id", "quantity_remaining").agg(
-        F.count(F.lit(1)).alias("_n")
+        F.count(F.lit(1)).alias("_n"),
+        F.count(F.when(clock.within_next(F.col("expiry_date"), window_days), 1)).alias("_exp"),
     )
-    ruled = medicines.select("medicine_id").join(
-        reorder.select("medicine_id", "min_stock_level"), "medicine_id", "inner"
+    ruled = items.join(
+        reorder.select(F.col("medicine_id").alias("_rule_id"), "min_stock_level"),
+        F.col("_item_id") == F.col("_rule_id"), "inner",
     )
-    j = ruled.join(hist, "medicine_id", "left")
-    low = j.agg(
-        F.coalesce(
-            F.sum(
-                F.when(
-                    F.coalesce("quantity_remaining", F.lit(0)) < F.col("min_stock_level"),
-                    F.coalesce("_n", F.lit(1)),
-                )
-            ),
-            F.lit(0),
-        ).cast("bigint").alias("Value")
-    ).select(F.lit("LOW STOCK ITEMS").alias("Metric"), "Value")
-    expiring = purchases.where(clock.within_next(F.col("expiry_date"), window_days)).agg(
-        F.count(F.lit(1)).cast("bigint").alias("Value")
-    ).select(F.lit("EXPIRING IN 30 DAYS").alias("Metric"), "Value")
-    return total.unionByName(low).unionByName(expiring)
+    j = ruled.join(hist, ruled["_item_id"] == hist["medicine_id"], "full_outer")
+    low = F.when(
+        F.col("_item_id").isNotNull()
+        & (F.coalesce("quantity_remaining", F.lit(0)) < F.col("min_stock_level")),
+        F.coalesce("_n", F.lit(1)),
+    )
+    g = j.agg(
+        F.coalesce(F.sum(low), F.lit(0)).cast("bigint").alias("_low"),
+        F.coalesce(F.sum("_exp"), F.lit(0)).cast("bigint").alias("_exp"),
+    )
+    rest = g.select(
+        F.inline(F.array(
+            F.struct(F.lit("LOW STOCK ITEMS").alias("Metric"), F.col("_low").alias("Value")),
+            F.struct(F.lit("EXPIRING IN 30 DAYS").alias("Metric"), F.col("_exp").alias("Value")),
+        ))
+    )
+    return total.unionByName(rest)

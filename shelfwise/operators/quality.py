@@ -39,20 +39,21 @@ def null_profiles(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def date_range_profile(purchases: DataFrame, sales: DataFrame) -> DataFrame:
-    """(field, min_date, max_date) for purchase, expiry and sale dates."""
+    """(field, min_date, max_date) for purchase, expiry and sale dates:
+    one aggregate per table, turned into rows by ``inline``."""
     p = purchases.agg(
         F.min("purchase_date").alias("a0"), F.max("purchase_date").alias("b0"),
         F.min("expiry_date").alias("a1"), F.max("expiry_date").alias("b1"),
     )
     s = sales.agg(F.min("sale_date").alias("a2"), F.max("sale_date").alias("b2"))
-    return (
-        p.select(F.lit("purchase_date").alias("field"), F.col("a0").alias("min_date"),
-                 F.col("b0").alias("max_date"))
-        .unionByName(p.select(F.lit("expiry_date").alias("field"), F.col("a1").alias("min_date"),
-                              F.col("b1").alias("max_date")))
-        .unionByName(s.select(F.lit("sale_date").alias("field"), F.col("a2").alias("min_date"),
-                              F.col("b2").alias("max_date")))
-    )
+
+    def row(field: str, lo: str, hi: str):
+        return F.struct(F.lit(field).alias("field"), F.col(lo).alias("min_date"),
+                        F.col(hi).alias("max_date"))
+
+    return p.crossJoin(F.broadcast(s)).select(F.inline(F.array(
+        row("purchase_date", "a0", "b0"), row("expiry_date", "a1", "b1"), row("sale_date", "a2", "b2"),
+    )))
 
 
 def quantity_reconciliation(purchases: DataFrame) -> DataFrame:
