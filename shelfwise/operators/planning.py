@@ -109,38 +109,39 @@ def stock_health(summary: DataFrame, reorder: DataFrame) -> DataFrame:
     )
 
 
-def slowest_lead_time(purchases: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Per item, the longest lead time among the suppliers it was bought from."""
-    pairs = purchases.select("medicine_id", "supplier_id").distinct()
-    return (
-        pairs.join(suppliers.select("supplier_id", "lead_time_days"), "supplier_id", "inner")
-        .groupBy("medicine_id")
-        .agg(F.max("lead_time_days").alias("lead_time_days"))
-    )
-
-
-def stockout_forecast(summary: DataFrame, sales: DataFrame, purchases: DataFrame,
+def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFrame,
                       suppliers: DataFrame, reorder: DataFrame, clock: Clock,
                       window_days: int = rules.SALES_WINDOW_DAYS) -> DataFrame:
     """C11: projected stock-out date (now + floor(days of cover)) and a
-    reorder alert when cover < slowest lead time + safety stock days."""
+    reorder alert when cover < slowest lead time + safety stock days.
+
+    Purchases are read once, reduced per (item, supplier) to the live stock
+    and the pair itself; the supplier lead time joins those pairs (a fact
+    row per pair, not per batch), and the per-item result meets the items.
+    """
+    q = F.col("quantity_remaining")
+    live = clock.after_now(F.col("expiry_date")) & (q > 0)
+    pairs = purchases.groupBy("medicine_id", "supplier_id").agg(F.sum(F.when(live, q)).alias("_s"))
+    per_item = (
+        pairs.join(suppliers.select("supplier_id", "lead_time_days"), "supplier_id", "left")
+        .groupBy("medicine_id")
+        .agg(F.sum("_s").alias("_stock"), F.max("lead_time_days").alias("lead_time_days"))
+    )
     sold = _sold_per_item(sales, clock, window_days)
-    lead = slowest_lead_time(purchases, suppliers)
-    rl = reorder.select("medicine_id", "safety_stock_days")
     j = (
-        summary.select("medicine_id", "current_stock")
+        medicines.select("medicine_id")
+        .join(per_item, "medicine_id", "left")
         .join(sold, "medicine_id", "left")
-        .join(lead, "medicine_id", "left")
-        .join(rl, "medicine_id", "left")
+        .join(reorder.select("medicine_id", "safety_stock_days"), "medicine_id", "left")
     )
     units = F.coalesce(F.col("_sold"), F.lit(0)).cast("bigint")
-    stock = F.col("current_stock")
+    stock = F.coalesce(F.col("_stock"), F.lit(0)).cast("bigint")
     cover_days = F.when(units > 0, _floor_div(stock * window_days, units))
     horizon = F.coalesce("lead_time_days", F.lit(0)) + F.coalesce("safety_stock_days", F.lit(0))
     # cover < horizon  <=>  stock * window < horizon * units  (exact, no division)
     alert = (units > 0) & (stock * window_days < horizon * units)
     return j.select(
-        "medicine_id", "current_stock", units.alias("units_sold_30days"),
+        "medicine_id", stock.alias("current_stock"), units.alias("units_sold_30days"),
         cover_days.alias("cover_days"),
         F.when(units > 0, F.date_add(clock.lit_day(), cover_days.cast("int"))).alias("stockout_date"),
         F.col("lead_time_days").cast("int").alias("lead_time_days"),

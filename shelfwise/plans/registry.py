@@ -137,7 +137,7 @@ TIER_C: dict[str, Query] = {
     "stock_health": _q(lambda c: planning.stock_health(c.stock_summary(), c.reorder)),
     "stockout_forecast": _q(
         lambda c: planning.stockout_forecast(
-            c.stock_summary(), c.sales, c.purchases, c.suppliers, c.reorder, c.clock
+            c.medicines, c.sales, c.purchases, c.suppliers, c.reorder, c.clock
         )
     ),
     "overstock": _q(lambda c: planning.overstock(c.medicines, c.purchases, c.reorder, c.clock)),
