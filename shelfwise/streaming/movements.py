@@ -5,7 +5,8 @@ raw events, mapped to signed stock movements by the same adapter as batch.
 
 T1 ``stock_movement_windows``: units per item per tumbling window, with a
 watermark so that state for closed windows is dropped and rows later than
-the watermark are ignored.
+the watermark are ignored (Spark judges lateness against the watermark
+reached at the end of the previous micro-batch).
 
 T2 ``running_stock``: units per item since the stream began (state is one
 row per item, bounded by the item count); each micro-batch's updated items

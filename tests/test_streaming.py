@@ -62,3 +62,37 @@ def test_running_stock_alert_over_micro_batches_equals_batch(spark, tmp_dir):
     cols = ["medicine_id", "running_stock", "movements", "stock_status", "low_stock_alert",
             "alert_priority"]
     assert _sorted(got, cols) == _sorted(batch, cols)
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_dir):
+    """Late rows are judged against the watermark of the previous micro-batch
+    (Spark advances it after each batch), so the late file is the third one."""
+    import datetime as dt
+    import glob
+    import os
+    import time
+
+    src = f"{tmp_dir}/late_events"
+    schema = movements.EVENT_SCHEMA
+    files = {
+        "a": [(i, dt.datetime(2024, 1, 10, 8, i), 7, "signup", 1.0, None) for i in range(3)],
+        "b": [(10, dt.datetime(2024, 1, 10, 9, 0), 7, "signup", 1.0, None)],
+        "c": [(99, dt.datetime(2024, 1, 1, 9, 0), 7, "signup", 1.0, None),      # 9 days behind
+              (98, dt.datetime(2024, 1, 9, 20, 0), 7, "purchase", 1.0, None)],  # inside the 1-day grace
+    }
+    now = time.time()
+    for i, (sub, rows) in enumerate(files.items()):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{sub}")
+        for f in glob.glob(f"{src}/{sub}/*.parquet"):  # arrival order = modification time
+            os.utime(f, (now - 300 + 100 * i, now - 300 + 100 * i))
+    run = subdir(checkpoint_dir(spark), f"late-{uuid.uuid4().hex}")
+    stream = movements.stock_movement_windows(movements.movements(
+        movements.read_event_stream(spark, f"{src}/*", max_files_per_trigger=1)))
+    q = movements.write_changelog(stream, subdir(run, "out"), subdir(run, "ckpt"))
+    q.awaitTermination()
+    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress
+                  for s in p["stateOperators"])
+    got = {(r.window_start.day, r.units) for r in movements.latest_per_key(
+        spark.read.parquet(subdir(run, "out")), ["window_start", "window_end", "medicine_id"]
+    ).collect()}
+    assert got == {(10, 16), (9, -3)} and dropped == 1
