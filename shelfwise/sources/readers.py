@@ -98,3 +98,25 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
     """
     out = df.coalesce(1) if single_file else df
     out.write.mode(mode).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+
+
+def export_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "csv",
+                  date_format: str = CSV_DATE_FORMAT) -> list[str]:
+    """Write every table to ``{base}/{table}.{fmt}`` with its declared columns
+    (missing ones as typed NULLs); CSV gets a header and the shipped date
+    dialect, so ``read_tables(spark, base, "csv")`` reads it back."""
+    root = base.rstrip("/")
+    written = []
+    for name, df in tables.items():
+        cols = [
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in TABLE_SCHEMAS[name].fields
+        ]
+        out = df.select(cols)
+        path = f"{root}/{name}.{fmt}"
+        if fmt == "csv":
+            out.write.mode("overwrite").option("header", True).option("dateFormat", date_format).csv(path)
+        else:
+            write_parquet(out, path)
+        written.append(name)
+    return written

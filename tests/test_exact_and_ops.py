@@ -156,14 +156,8 @@ def test_csv_tables_without_sales_file(spark, tmp_dir):
     from shelfwise.operators import stock
 
     src = InventoryContext.from_driver(spark, SMALL_SF)
-    for name in ("medicines_master", "purchases_transactions", "reorder_levels", "suppliers_master"):
-        df = src.tables[name]
-        for f in schemas.TABLE_SCHEMAS[name].fields:
-            if f.name not in df.columns:
-                df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
-        (df.select([f.name for f in schemas.TABLE_SCHEMAS[name].fields]).coalesce(1).write
-         .option("header", True).option("dateFormat", readers.CSV_DATE_FORMAT)
-         .csv(f"{tmp_dir}/{name}.csv"))
+    keep = ("medicines_master", "purchases_transactions", "reorder_levels", "suppliers_master")
+    readers.export_tables({t: src.tables[t] for t in keep}, tmp_dir, "csv")
     ctx = InventoryContext.from_files(spark, tmp_dir, "csv")
     got = stock.current_stock_summary(ctx.medicines, ctx.purchases, ctx.clock)
     assert got.count() == src.medicines.count()
