@@ -11,7 +11,10 @@ reached at the end of the previous micro-batch).
 T2 ``running_stock``: units per item since the stream began (state is one
 row per item, bounded by the item count); each micro-batch's updated items
 are labelled against the *static* reorder rules and items inside
-``foreachBatch`` (a batch join of the changed rows only).
+``foreachBatch`` (a batch join of the changed rows only; AQE broadcasts the
+changed rows when they are small). For a continuously running stream with
+frequent micro-batches, pass persisted two-column projections of the items
+and rules to ``label_stock`` so each batch does not re-read them.
 
 Sink: ``write_changelog`` appends every micro-batch's updated rows, tagged
 with the batch id, to a Parquet folder (written by the executors). A batch
