@@ -16,8 +16,8 @@ from shelfwise.operators import (
     valuation,
 )
 from shelfwise.plans import oracle
-from shelfwise.streaming import movements
 from shelfwise.plans.context import InventoryContext
+from shelfwise.streaming import movements
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,9 +100,9 @@ BLOCKS: dict[str, Query] = {
 
 
 def _filter_stock(c: InventoryContext) -> DataFrame:
-    batches = stock.live_batches(c.purchases, c.medicines, c.suppliers, c.stock_summary(), c.clock)
+    live = stock.live_batches(c.purchases, c.medicines, c.suppliers, c.stock_summary(), c.clock)
     return stock.filter_stock(
-        batches, c.clock,
+        live, c.clock,
         categories=list(oracle.FILTER_STOCK_CATEGORIES),
         statuses=list(oracle.FILTER_STOCK_STATUSES),
         expiring_within=oracle.FILTER_STOCK_EXPIRING_DAYS,
