@@ -171,3 +171,29 @@ def test_csv_tables_without_sales_file(spark, tmp_dir):
     assert written["sales_movement_top20"] is None and written["executive_kpis"] is None
     assert written["low_stock_alert"] == stock.low_stock_alert(src.stock_summary(), src.reorder).count()
     assert written["table_row_counts"] == 4
+
+
+def test_checkpoint_dir_never_falls_back_to_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from shelfwise.session import checkpoint_dir
+
+    class Ctx:
+        def __init__(self, master, configured=None):
+            self.master, self._dir = master, configured
+
+        def getConf(self):
+            return SimpleNamespace(get=lambda key, default=None: self._dir or default)
+
+        def getCheckpointDir(self):
+            return self._dir
+
+        def setCheckpointDir(self, path):
+            self._dir = path
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(SimpleNamespace(sparkContext=Ctx("yarn")), local_fallback=True)
+    shared = SimpleNamespace(sparkContext=Ctx("yarn", "hdfs://nn/checkpoints"))
+    assert checkpoint_dir(shared, local_fallback=True) == "hdfs://nn/checkpoints"
+    local = SimpleNamespace(sparkContext=Ctx("local[2]"))
+    assert checkpoint_dir(local, local_fallback=True)
