@@ -1,6 +1,7 @@
 """Exact rounding, skew-safe joins, sequential ids, FEFO picks, context and I/O."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -197,3 +198,23 @@ def test_checkpoint_dir_never_falls_back_to_local_folder_on_a_cluster():
     assert checkpoint_dir(shared, local_fallback=True) == "hdfs://nn/checkpoints"
     local = SimpleNamespace(sparkContext=Ctx("local[2]"))
     assert checkpoint_dir(local, local_fallback=True)
+
+
+def test_partitioned_facts_prune_by_clock_and_give_the_same_results(spark, tmp_dir):
+    from shelfwise.operators import expiry, stock
+
+    src = InventoryContext.from_driver(spark, SMALL_SF)
+    # half a year of expiry days (plus undated batches) keeps the test's directory count small
+    pur = src.purchases.where("expiry_date IS NULL OR expiry_date BETWEEN '2001-01-01' AND '2001-06-30'")
+    tables = {"purchases_transactions": pur, "medicines_master": src.medicines}
+    readers.export_tables(tables, tmp_dir, "parquet", partition_facts=True)
+    ctx = InventoryContext.from_files(spark, tmp_dir, "parquet")
+    alert = expiry.expiry_alert(ctx.purchases, ctx.medicines, ctx.clock)
+    plan = alert._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*expiry_date", plan), plan
+    want = expiry.expiry_alert(pur, src.medicines, src.clock)
+    assert sorted(map(tuple, alert.collect())) == sorted(map(tuple, want.collect()))
+    assert ctx.purchases.where("expiry_date IS NULL").count() == pur.where("expiry_date IS NULL").count()
+    got = stock.current_stock_summary(ctx.medicines, ctx.purchases, ctx.clock)
+    ref = stock.current_stock_summary(src.medicines, pur, src.clock)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
