@@ -2,7 +2,7 @@
 
 ``CAST(a * 100.0 / b AS DECIMAL(5,2))`` is computed as integer hundredths:
 
-    h = sign(a) * floor((2*|a|*K + b) / (2*b)),   K = multiplier * 10**scale
+    h = sign(a*b) * floor((2*|a|*K + |b|) / (2*|b|)),   K = multiplier * 10**scale
 
 with every operand a DECIMAL(38, s), so there is no intermediate rounding
 (Spark's own decimal division keeps only six fractional digits before the
@@ -28,17 +28,18 @@ def half_up_ratio(num: Column, den: Column, multiplier: int = 1, scale: int = 2,
                   precision: int = 38) -> Column:
     """round_half_up(num * multiplier / den, scale) as DECIMAL(precision, scale).
 
-    NULL when ``den`` is NULL or not positive, so callers wrap it in the
-    reference's own guard (``CASE WHEN den > 0 ...``).
+    NULL when ``den`` is NULL or zero (the reference's ``NULLIF(den, 0)``);
+    callers keep the reference's own guards (``CASE WHEN den > 0 ...``).
     """
     k = multiplier * 10 ** scale
     n = num.cast(_WORK)
     d = den.cast(_WORK)
-    h = _floor_div(F.abs(n) * F.lit(2 * k) + d, d * F.lit(2))
-    signed = F.when(n < 0, -h).otherwise(h)
+    divisor = F.when(d != 0, F.abs(d) * F.lit(2))  # NULL, never a division by zero
+    h = _floor_div(F.abs(n) * F.lit(2 * k) + F.abs(d), divisor)
+    signed = F.when((n < 0) != (d < 0), -h).otherwise(h)
     unit = F.lit(Decimal(1).scaleb(-scale))
     value = (signed * unit).cast(f"decimal({precision},{scale})")
-    return F.when(d > 0, value)
+    return F.when(d != 0, value)
 
 
 def half_up_double(x: Column, scale: int = 2, precision: int = 10) -> Column:

@@ -136,7 +136,7 @@ def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFra
     )
     units = F.coalesce(F.col("_sold"), F.lit(0)).cast("bigint")
     stock = F.coalesce(F.col("_stock"), F.lit(0)).cast("bigint")
-    cover_days = F.when(units > 0, _floor_div(stock * window_days, units))
+    cover_days = F.when(units > 0, _floor_div(stock * window_days, F.when(units > 0, units)))
     horizon = F.coalesce("lead_time_days", F.lit(0)) + F.coalesce("safety_stock_days", F.lit(0))
     # cover < horizon  <=>  stock * window < horizon * units  (exact, no division)
     alert = (units > 0) & (stock * window_days < horizon * units)

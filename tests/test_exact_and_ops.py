@@ -16,10 +16,11 @@ from tests.conftest import SMALL_SF
 
 def test_half_up_ratio_exact_ties(spark):
     df = spark.createDataFrame(
-        [(201, 200), (1, 8), (3, 8), (-1, 8), (2, 3), (5, 0), (None, 4)], "a long, b long")
+        [(201, 200), (1, 8), (3, 8), (-1, 8), (2, 3), (5, 0), (None, 4), (1, -8), (-3, -8)],
+        "a long, b long")
     got = [r.r for r in df.select(half_up_ratio(F.col("a"), F.col("b"), precision=10).alias("r")).collect()]
     assert got == [Decimal("1.01"), Decimal("0.13"), Decimal("0.38"), Decimal("-0.13"),
-                   Decimal("0.67"), None, None]
+                   Decimal("0.67"), None, None, Decimal("-0.13"), Decimal("0.38")]
     pct = df.select(half_up_ratio(F.col("a"), F.col("b"), multiplier=100, precision=12).alias("p"))
     assert pct.first().p == Decimal("100.50")
 
