@@ -8,7 +8,8 @@ the executors to ``out_dir/<name>`` (Parquet, or CSV with a header for the
 spreadsheet exports); nothing is collected on the driver.
 
 usage: python -m shelfwise.plans.script --tables DIR --fmt csv|parquet --out DIR
-                                        [--as-of 2026-02-17T12:00]
+                                        [--as-of 2026-02-17T12:00] [--master local[4]]
+(under spark-submit the master comes from the submit command)
 """
 
 from __future__ import annotations
@@ -103,8 +104,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--fmt", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--out", required=True)
     ap.add_argument("--as-of", default=None, help="ISO timestamp; default: the test clock")
+    ap.add_argument("--master", default=None, help="Spark master when not run by spark-submit")
     args = ap.parse_args(argv)
-    spark: SparkSession = build_session()
+    spark: SparkSession = build_session(args.master)
     kwargs = {"as_of": args.as_of} if args.as_of else {}
     ctx = InventoryContext.from_files(spark, args.tables, args.fmt, **kwargs)
     for name, rows in run_report(ctx, args.out).items():

@@ -219,3 +219,22 @@ def test_partitioned_facts_prune_by_clock_and_give_the_same_results(spark, tmp_d
     got = stock.current_stock_summary(ctx.medicines, ctx.purchases, ctx.clock)
     ref = stock.current_stock_summary(src.medicines, pur, src.clock)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_report_cli_runs_on_exported_csv_tables(spark, tmp_dir):
+    import os
+    import subprocess
+    import sys
+
+    src = InventoryContext.from_driver(spark, SMALL_SF)
+    readers.export_tables(src.tables, f"{tmp_dir}/tables", "csv")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    res = subprocess.run(
+        [sys.executable, "-m", "shelfwise.plans.script", "--tables", f"{tmp_dir}/tables",
+         "--fmt", "csv", "--out", f"{tmp_dir}/out", "--master", "local[2]"],
+        cwd=root, capture_output=True, text=True, timeout=600,
+        env={**os.environ, "SPARK_LOCAL_IP": "127.0.0.1"},
+    )
+    assert res.returncode == 0, res.stderr[-2000:]
+    lines = [ln for ln in res.stdout.splitlines() if ": " in ln]
+    assert len(lines) == 13 and "low_stock_alert: 51 rows" in res.stdout
