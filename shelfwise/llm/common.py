@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -22,7 +23,18 @@ SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 64 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers that start from now on import this package, wherever
+    the driver was started (a cluster installs it under the same path)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
@@ -87,7 +99,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     import xxhash
 
     coded = words.dictionary_encode()
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer() or b"") for w in coded.dictionary),
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()),
                         dtype=np.uint64, count=len(coded.dictionary))
     return table[coded.indices.to_numpy()] if len(words) else table
 

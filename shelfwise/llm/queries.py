@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, mixing, oracle, quality, sharding, token_files, topk, warc
+from shelfwise.llm import bpe, mixing, ngram_join, oracle, quality, sharding, token_files, topk, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_sharding": sharding.op3_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,
