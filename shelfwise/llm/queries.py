@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, mixing, ngram_join, oracle, quality, sharding, token_files, topk, warc
+from shelfwise.llm import bpe, mixing, ngram_join, oracle, quality, sharding, substring_dedup, token_files, topk, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op8_topk": topk.op8_topk,
     "op9_token_files": token_files.op9_token_files,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE_SQL = oracle.SQL
