@@ -85,3 +85,17 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM w
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op7_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM win) WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, (SELECT unnest(range(0, 50)) AS k)),
+span AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE p IS NULL OR p < i - 1) AS s
+         FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM gone) GROUP BY doc_id),
+byte AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d JOIN span USING (doc_id))),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS k FROM byte ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(span.n, 0)::BIGINT AS n_removed, coalesce(span.s, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN span.n IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN span USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, mixing, ngram_join, oracle, quality, sharding, substring_dedup, token_files, topk, warc
+from shelfwise.llm import bpe, mixing, ngram_join, oracle, quality, sharding, substring_dedup, suffix_dedup, token_files, topk, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_topk": topk.op8_topk,
     "op9_token_files": token_files.op9_token_files,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
