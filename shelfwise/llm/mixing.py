@@ -42,7 +42,7 @@ SALTS = 64
 
 def sized(docs: DataFrame) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(common.WORD)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
 
 
 def targets(sizes: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
     rows = common.cut(sized(docs), "mix-rows")
     goals = common.cut(targets(rows, share, cap), "mix-goals")
     sid = rows.join(goals.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")
     keyed = common.cut(sid.withColumn("salt", salt), "mix-keyed")
     cells = common.cut(keyed.groupBy("sid", "size", "salt").agg(F.count("*").alias("n")), "mix-cells")
     counts = common.cut(cells.groupBy("sid", "size").agg(F.sum("n").alias("n")), "mix-counts")
@@ -146,11 +146,22 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
     chosen = cells.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(
         placed.select("sid", "size", "base", "extra"), ["sid", "size"])
     chosen = chosen.select("sid", "size", "salt", "base", (F.col("extra") - F.col("skip")).alias("extra"))
-    rank = F.row_number().over(W.partitionBy("sid", "size", "salt").orderBy("doc_id"))
+    rank = F.row_number().over(W.partitionBy("sid", "size", "salt").orderBy("doc_id", "key"))
     copies = (F.col("base") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)).cast("long")
     return keyed.withColumn("rank", rank).join(chosen, ["sid", "size", "salt"]).join(
         goals.select("sid", "source_size", "target"), "sid").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        "doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it."""
+    taken = common.cut(mix(docs).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-copies")
+    d = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    if not taken.where("rows > 1").isEmpty():  # repeated rows: one of them stands for all
+        d = d.dropDuplicates(["doc_id", "key"])
+    taken = taken.where("copies > 0").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "copies")
+    d = d.join(common.broadcast_if_small(taken, 32), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
+    return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

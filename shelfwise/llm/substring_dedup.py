@@ -150,9 +150,10 @@ def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*(c for c in part.schema.names if c not in ("text", "starts")), "n_words", "n_removed", "kept"])
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
     """The columns of ``docs`` but the text, and n_words, n_removed, kept (the
-    words that stay, joined by one blank; documents without removal too)."""
+    words that stay, joined by one blank). ``untouched``: the kept text of
+    documents without removal is their own text with its white space."""
     same, windows = removals(docs)
     size = windows.agg(F.sum(F.size("starts") * 4 + 32).alias("b"), F.count("*").alias("n")).first()
     windows = common.broadcast_if_small(windows, -(-(size["b"] or 0) // max(1, size["n"])))
@@ -168,10 +169,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     whole = whole.withColumn("w", words).withColumn("n_words", F.size("w").cast("long"))
     lost = F.col("copy").isNotNull() & (F.col("n_words") >= WINDOW)
     whole = whole.select(*rest, "n_words", F.when(lost, F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-                         F.when(lost, F.lit("")).otherwise(F.array_join("w", " ")).alias("kept"))
+                         F.when(lost, F.lit("")).otherwise(F.col("text") if untouched else F.array_join("w", " ")).alias("kept"))
     return cut.unionByName(whole)
 
 
+def strip(docs: DataFrame) -> DataFrame:
+    """``docs`` without the repeated words; documents of which nothing stays go."""
+    d = dedup(docs, untouched=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return d.withColumn("text", F.col("kept")).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
