@@ -52,6 +52,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_by_one(files: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """Deal a small table of file names over about as many tasks as files:
+    their number is given, so that adaptive execution doesn't join the tasks."""
+    return files.repartition(max(1, min(files.count(), most)), key)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Hint a broadcast only if the written frame was counted and is small;
     otherwise the join stays a shuffle join (same rows either way)."""

@@ -286,7 +286,7 @@ def _reader(folder: str):
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
-    return index.select("name", "start", "n_tokens").repartition("name").mapInArrow(
+    return common.one_by_one(index.select("name", "start", "n_tokens"), "name").mapInArrow(
         _reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -197,7 +197,7 @@ def _reader(folder: str):
 
 
 def read_back(files: DataFrame, folder: str) -> DataFrame:
-    return files.repartition("name").mapInArrow(
+    return common.one_by_one(files, "name").mapInArrow(
         _reader(folder), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
