@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import common
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10  # temporary arrays then stay in cache
 RANGE_BYTES = 32 << 20  # text bytes per hash range
 LAST_ID = 2 ** 63 - 1  # order of null ids
 

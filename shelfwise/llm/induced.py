@@ -1,11 +1,10 @@
 """Suffix array by induced sorting, and permuted common prefixes.
 
 ``suffix_array`` is SA-IS: classify suffixes as L or S, sort the
-leftmost-smaller (LMS) substrings by induction, name them, sort the reduced
-string by recursion where names repeat, and induce the order of all suffixes
-from that of the LMS suffixes. Over small alphabets the buckets are scanned
-as whole arrays (a bucket's own L or S chain needs one wave per run length);
-over large ones, as in the recursion, element by element.
+leftmost-smaller (LMS) substrings by induction, name them, order the reduced
+string where names repeat, and induce the order of all suffixes from that of
+the LMS suffixes. The buckets are scanned as whole arrays; a bucket's own L or
+S chain needs one wave per run length.
 
 Texts are integers >= 1; the end of the text is the smallest suffix.
 """
@@ -16,7 +15,11 @@ import numpy as np
 
 from shelfwise.llm import common
 
-SMALL_ALPHABET = 512
+
+
+def _kind(n: int):
+    """Integers for positions in a text of n characters."""
+    return np.int32 if n < 2 ** 31 - 16 else np.int64
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -25,13 +28,13 @@ def classify(t: np.ndarray) -> np.ndarray:
     less, more = t[:-1] < t[1:], t[:-1] > t[1:]
     decided = np.append(less | more, True)
     kind = np.append(less, False)
-    nxt = np.where(decided, np.arange(n), n)
+    nxt = np.where(decided, np.arange(n, dtype=_kind(n)), n).astype(_kind(n))
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     return kind[nxt]
 
 
 def lms_positions(s: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    return (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(_kind(len(s)))
 
 
 def _scan(t, s, seeds: dict[int, np.ndarray], alphabet: range, want: bool, first: np.ndarray | None) -> dict[int, list[np.ndarray]]:
@@ -87,71 +90,64 @@ def _by_character(t: np.ndarray, items: np.ndarray) -> dict[int, np.ndarray]:
 
 def _induce_arrays(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(all suffixes in order; S suffixes in order) from LMS suffixes in bucket order."""
-    last = np.asarray([len(t) - 1])  # induced by the end of the text
+    last = np.asarray([len(t) - 1], lms.dtype)  # induced by the end of the text
     ls = _scan(t, s, _by_character(t, lms), range(1, k), False, last)
     l_sorted = {c: np.concatenate(p) for c, p in ls.items()}
     ss = _scan(t, s, {c: p[::-1] for c, p in l_sorted.items()}, range(k - 1, 0, -1), True, None)
     s_sorted = {c: np.concatenate(p)[::-1] for c, p in ss.items()}
-    empty = np.empty(0, np.int64)
+    empty = np.empty(0, lms.dtype)
     parts = [x for c in range(1, k) for x in (l_sorted.get(c, empty), s_sorted.get(c, empty))]
     return np.concatenate(parts), np.concatenate([empty, *(s_sorted[c] for c in sorted(s_sorted))])
 
 
-def _induce_elements(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same, element by element, for large alphabets."""
-    n = len(t)
-    count = np.bincount(t, minlength=k)
-    ends = np.cumsum(count)
-    text, kind = t.tolist(), s.tolist()
-    sa = np.full(n, -1, np.int64)
-    at = ends.copy()
-    order = lms[::-1]
-    ch = t[order]  # falling; place at bucket ends
-    place = at[ch] - 1 - (np.arange(len(order)) - np.searchsorted(-ch, -ch))
-    sa[place] = order
-    sa = sa.tolist()
-    head = (ends - count).tolist()
-    c = text[n - 1]
-    seeds = sa[head[c]]
-    sa[head[c]] = n - 1
-    assert seeds < 0 or kind[seeds]
-    head[c] += 1
-    for i in range(n):
-        j = sa[i]
-        if j > 0 and not kind[j - 1]:
-            c = text[j - 1]
-            sa[head[c]] = j - 1
-            head[c] += 1
-    tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i]
-        if j > 0 and kind[j - 1]:
-            c = text[j - 1]
-            tail[c] -= 1
-            sa[tail[c]] = j - 1
-    out = np.asarray(sa, np.int64)
-    return out, out[s[out]]
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """Suffix array of the reduced string. Ranks of 1, 2, 4, ... names are
+    doubled, and only suffixes that still share a rank are sorted again.
+    (Element-wise recursion takes several times as long in Python.)"""
+    n, h = len(names), 1
+    order = np.argsort(names, kind="stable")
+    new = np.concatenate([[True], np.diff(names[order]) != 0])
+    rank = np.empty(n + 1, np.int64)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+    rank[n] = 0  # the end
+    size = np.diff(np.append(np.flatnonzero(new), n))
+    open_ = order[np.repeat(size > 1, size)]
+    while len(open_):
+        key = rank[open_] * (n + 1) + rank[np.minimum(open_ + h, n)]
+        place = np.argsort(key, kind="stable")
+        open_, key = open_[place], key[place]
+        head = rank[open_]
+        group = np.concatenate([[True], head[1:] != head[:-1]])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.arange(len(open_))
+        base = np.maximum.accumulate(np.where(group, at, 0))
+        run = np.maximum.accumulate(np.where(new, at, 0))
+        rank[open_] = head + run - base
+        size = np.diff(np.append(np.flatnonzero(new), len(open_)))
+        open_ = open_[np.repeat(size > 1, size)]
+        h *= 2
+    out = np.empty(n, np.int64)
+    out[rank[:n] - 1] = np.arange(n)
+    return out
 
 
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
-    t = np.asarray(t, np.int64) if len(t) and int(t.max()) > 65535 else np.asarray(t)
-    n = len(t)
+    t, n = np.asarray(t), len(t)
     if n < 2:
         return np.arange(n)
     k = k or int(t.max()) + 1
     s = classify(t)
     lms = lms_positions(s)
-    induce = _induce_arrays if k <= SMALL_ALPHABET else _induce_elements
     if not len(lms):
-        return induce(t, s, lms, k)[0]
+        return _induce_arrays(t, s, lms, k)[0]
     # Sort the LMS substrings: induce from LMS positions ordered by first character only.
     by_char = lms[np.argsort(t[lms], kind="stable")]
-    _, s_order = induce(t, s, by_char, k)
+    _, s_order = _induce_arrays(t, s, by_char, k)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = s_order[is_lms[s_order]]
     # Equal neighbours get one name: same length, characters and types.
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, _kind(n))
     rank[lms] = np.arange(len(lms))
     end = np.append(lms[1:], n - 1)
     length = end[rank[order]] - order + 1
@@ -163,13 +159,13 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
         bad = (t[a] != t[b]) | (s[a] != s[b])
         first = np.cumsum(size) - size
         differs[same + 1] = np.logical_or.reduceat(bad, first)
-    names = np.empty(n, np.int64)
+    names = np.empty(n, _kind(n))
     names[order] = np.cumsum(differs)
     reduced = names[lms]
     m = int(differs.sum())
     if m < len(lms):
-        order = lms[suffix_array(reduced, m + 1)]
-    return induce(t, s, order, k)[0]
+        order = lms[_order_of_names(reduced)]
+    return _induce_arrays(t, s, order, k)[0]
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -179,9 +175,9 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     n = len(t)
     if not n:
         return np.empty(0, np.int64)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, _kind(n))
     phi[sa[1:]] = sa[:-1]
-    pos = np.arange(n)
+    pos = np.arange(n, dtype=_kind(n))
     reducible = (phi > 0) & (pos > 0)
     at = np.flatnonzero(reducible)
     chain = (phi[at - 1] == phi[at] - 1) & (t[at - 1] == t[phi[at] - 1])
@@ -189,9 +185,7 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     start = np.flatnonzero(~reducible & (phi >= 0))
     # Eight bytes at a time, then the rest; zeros behind the end never match two ends.
     padded = np.concatenate([t.astype(np.uint8), np.zeros(16, np.uint8)])
-    word = np.zeros(n + 8, np.uint64)
-    for i in range(8):
-        word |= padded[i:i + n + 8].astype(np.uint64) << np.uint64(8 * i)
+    word = np.lib.stride_tricks.as_strided(padded, (n + 8, 8), (1, 1)).copy().view("<u8").reshape(-1)
     value = np.zeros(n, np.int64)
     # The chain may shorten a value by its length, so it is compared that much further.
     run = np.diff(np.append(np.flatnonzero(~reducible), n))

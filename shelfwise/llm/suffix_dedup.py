@@ -31,13 +31,13 @@ from shelfwise.llm import anchors, common, induced
 WINDOW = 50
 GRAM = 16
 SHARD_BYTES = 2 << 20
-SEGMENT_BYTES = 64  # mean length, to choose the number of shards
+SEGMENT_BYTES = 40  # mean length, to choose the number of shards
 
 
 def _segments(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, limit=anchors.BLOCK_BYTES):
                 starts, at, offsets = anchors.shared_windows(part, anchors.byte_units, GRAM, WINDOW)
                 if not len(starts):
                     continue
@@ -47,7 +47,7 @@ def _segments(shards: int):
                 size = end - begin
                 flat = data[common.ranges(begin, size)]
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                grams, _ = anchors.byte_units(part.column("text"), GRAM)
+                grams = anchors.byte_grams(data, GRAM)
                 shard = (common.mix(grams[at[new]]) % np.uint64(shards)).astype(np.int32)
                 row = np.searchsorted(offsets, begin, "right") - 1
                 yield pa.RecordBatch.from_arrays(
@@ -66,9 +66,12 @@ def first_ids(segments: list[bytes], ids: np.ndarray, window: int) -> tuple[np.n
     size = np.asarray([len(x) for x in segments], np.int64)
     begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     t = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-    text = t.astype(np.uint16) + 2
-    text[begin + size] = 1  # between segments; below every byte
-    sa = induced.suffix_array(text, 258)
+    # Characters from 2 by byte value, those that occur only; 1 stands between segments.
+    used = np.bincount(t, minlength=256) > 0
+    number = (np.cumsum(used) + 1).astype(np.uint8 if used.sum() < 254 else np.uint16)
+    text = number[t]
+    text[begin + size] = 1
+    sa = induced.suffix_array(text, int(used.sum()) + 2)
     prefix = induced.permuted_prefixes(t, sa, window)[sa]
     n = size - window + 1
     starts = common.ranges(begin, n)
