@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm import common
 
 BLOCK_BYTES = 512 << 10  # temporary arrays then stay in cache
-RANGE_BYTES = 32 << 20  # text bytes per hash range
+RANGE_BYTES = 8 << 20  # text bytes per hash range
 LAST_ID = 2 ** 63 - 1  # order of null ids
 
 
@@ -149,8 +149,9 @@ def _meet(group: pa.Table) -> pa.Table:
     hashes = [np.cumsum(_unplanes(b)) for b in group.column("hashes").to_pylist()]
     places = [_unplanes(b) for b in group.column("places").to_pylist()]
     blocks = group.column("block").to_pylist()
-    source = np.repeat(np.arange(len(blocks)), [len(h) for h in hashes])
+    source = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(h) for h in hashes])
     h, place = np.concatenate(hashes), np.concatenate(places)
+    del hashes, places
     order = np.argsort(h, kind="stable")  # keeps the rows of one block together
     first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
     s = source[order]

@@ -7,17 +7,23 @@ If two sets of sizes n and m reach the similarity, they share at least
 need = ceil(similarity * max(n, m)) shingles, and in any order common to all
 sets the first n - need + l of one and m - need + l of the other share at
 least l. The order is: shingles that are not hot by hash, then hot ones by
-frequency. Hot are those that more than ``HOT`` first prefixes hold; their
-exact counts are the estimate of candidates. Every class picks the l from 1
-to ``LEVELS`` with the least estimated cost: prefix entries read plus sets
-compared. A pair is compared only if it shares min(l, l') prefix shingles.
-
-Large groups of near copies: each shingle names the most central class of its
-bucket (fewest shingles of its own), every class is compared with those, and
-the links found form components. The join proper then leaves out pairs that
-are in one component already: they can't change the classes. No other pair is
-left out, so the components are those of all links, while a group of m near
-copies costs about m comparisons in place of m squared.
+frequency. Hot are those that more than ``HOT`` first prefixes hold, counted
+over all documents. Every class picks the l from 1 to ``LEVELS`` with the least
+estimated cost, prefix entries read plus sets compared; the expected
+candidates of a hot shingle are its count, those of the others one each. A
+pair is compared only if it shares min(l, l') prefix shingles.
+
+The scan keeps the smallest hashes of a set, some more than the first prefix.
+Classes whose prefix reaches into hot shingles (near copies in large groups,
+boilerplate) read their text once more for the whole set; so do the classes
+of the pairs that are compared.
+
+Large groups of near copies: each hot shingle names the most central class of
+its bucket (fewest shingles of its own), every class is compared with those,
+and the links found form components. The join proper then leaves out pairs
+that are in one component already: they can't change the classes. No other
+pair is left out, so the components are those of all links, while a group of
+m near copies costs about m comparisons in place of m squared.
 
 Null and empty texts have no shingle, class or link: their component is their
 own id. Rows with equal text are linked, also if ids repeat; null ids don't
@@ -43,6 +49,8 @@ WORDS = 3
 PERCENT = 90
 HOT = 32
 LEVELS = 12
+SPARE = 16
+SLICE_BYTES = 1 << 20
 # Cost of comparing two sets, in prefix entries, per shingle of the set.
 COMPARE = 0.05
 
@@ -75,13 +83,14 @@ def shingle_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]
 def _sets(k: int, percent: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, limit=SLICE_BYTES):
                 h, ends = shingle_sets(part, k)
                 size = np.diff(ends)
                 names = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None
                          for a, b in zip(ends, ends[1:])]
-                # First prefix: all but the needed shingles, and one.
-                width = size if whole else np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
+                # The first prefix is all but the needed shingles, and one; some more are kept to stand in for hot ones.
+                first = size - -(-size * percent // 100) + 1
+                width = size if whole else np.minimum(size, first + first // 4 + SPARE)
                 kept = pa.array(h[common.ranges(ends[:-1], width)])
                 at = pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -107,69 +116,92 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v")
 
 
-def prefixes(sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """cls, n, l, own (shingles that are not hot), prefix: the adaptive prefix of every class."""
+def _width(n: Column, percent: int) -> Column:
+    """Shingles that a partner may miss: the prefix for l matches is this wide, and l."""
+    return (F.col("n") - F.ceil(F.col("n") * percent / 100)).cast("int")
+
+
+def ordered(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds hot (df, token; by df) and cold (the others, by hash) to sets or to their smallest hashes."""
     held = sets.select("cls", F.explode("tokens").alias("token")).join(common.broadcast_if_small(hot, 24), "token")
-    held = held.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("hot"))
+    held = held.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("hot"))
     d = sets.join(held, "cls", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<df:bigint,token:bigint>>")))
-    d = d.withColumn("order", F.concat(F.array_except("tokens", "hot.token"), F.col("hot.token")))
-    need = F.ceil(F.col("n") * percent / 100).cast("int")
-    d = d.withColumn("own", F.size("tokens") - F.size("hot")).withColumn("width", F.col("n").cast("int") - need)
+    return d.withColumn("cold", F.array_except("tokens", "hot.token"))
+
+
+def prefixes(d: DataFrame, percent: int) -> DataFrame:
+    """cls, doc_id, n, l, own (shingles that are not hot), prefix: the adaptive prefix of every class."""
+    d = d.withColumn("width", _width(F.col("n"), percent)).withColumn("own", F.size("cold"))
     work = F.aggregate("hot", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["df"])))
-    d = d.withColumn("work", work)
+    d = d.withColumn("work", work).withColumn("order", F.concat("cold", "hot.token"))
+    known = F.when(F.size("order") >= F.col("n"), F.size("order")).otherwise(F.col("own"))  # as far as the order is known
 
     def cost(level: Column) -> Column:
-        reach = F.least(F.col("n").cast("int"), F.col("width") + level)
+        reach = F.least(F.col("known"), F.col("width") + level)
         entries = F.least(reach, F.col("own")) + F.element_at("work", F.greatest(reach - F.col("own"), F.lit(0)) + 1)
         return F.struct((entries * (1 + F.col("n") * COMPARE / level)).alias("cost"), level.alias("l"))
 
-    best = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(LEVELS), need))), cost))["l"]
-    return d.withColumn("l", best).select(
-        "cls", "n", "l", "own", F.slice("order", F.lit(1), F.least(F.col("n").cast("int"), F.col("width") + F.col("l"))).alias("prefix"))
+    most = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.col("known") - F.col("width")))
+    best = F.array_min(F.transform(F.sequence(F.lit(1), most), cost))["l"]
+    return d.withColumn("known", known).withColumn("l", best).select(
+        "cls", "doc_id", "n", "l", "own", F.slice("order", F.lit(1), F.least(F.col("known"), F.col("width") + F.col("l"))).alias("prefix"))
 
 
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Every class of a bucket with the most central one of the bucket."""
-    hub = entries.groupBy("token").agg(F.min(F.struct("own", "cls", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    """Every class of a large bucket with the most central one of the bucket."""
+    hub = entries.groupBy("token").agg(F.min(F.struct("own", "cls", "n")).alias("hub"), F.count("*").alias("k")).where(F.col("k") > HOT)
     met = entries.join(hub, "token").where((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n"), percent))
     return met.select(F.greatest("cls", F.col("hub.cls")).alias("u"), F.least("cls", F.col("hub.cls")).alias("v")).distinct()
 
 
-def cross_pairs(entries: DataFrame, prefix: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share enough prefix shingles; each
-    pair leaves the join once, at its smallest shared shingle."""
-    d = entries.select("token", "cls").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def cross_pairs(entries: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share enough prefix shingles."""
+    d = entries.select("token", "cls", "n", "l").join(common.broadcast_if_small(root, 48), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = d.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    d = d.join(mixed, "token").join(prefix.select("cls", "n", "l", "prefix"), "cls")
+    d = common.cut(d.join(mixed, "token"), "ngram-mixed")
     a, b = d.alias("a"), d.alias("b")
-    shared = F.array_intersect("a.prefix", "b.prefix")
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") > F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
-                  & close(F.col("a.n"), F.col("b.n"), percent) & (F.size(shared) >= F.least("a.l", "b.l"))
-                  & (F.array_min(shared) == F.col("a.token"))).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") > F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
+                 & close(F.col("a.n"), F.col("b.n"), percent))
+    met = met.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.least("a.l", "b.l").alias("l"))
+    return met.groupBy("u", "v").agg(F.count("*").alias("k"), F.first("l").alias("l")).where("k >= l").select("u", "v")
+
+
+def whole_sets(text: DataFrame, chosen: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """cls, doc_id, n and all shingles of the chosen (cls, doc_id)."""
+    ids = chosen.select(F.col("doc_id").alias("id")).distinct()
+    rows = text.join(common.broadcast_if_small(ids, 16), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = rows.mapInArrow(_sets(k, percent, True), _SCHEMA).join(common.broadcast_if_small(chosen.select("cls"), 32), "cls", "left_semi")
+    return common.cut(sets.dropDuplicates(["cls"]), name)
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id, cls of every row; links between classes)."""
     text = docs.select("doc_id", "text")
     rows = common.cut(text.mapInArrow(_sets(k, percent, False), _SCHEMA), "ngram-rows")
-    classes = common.cut(rows.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens")), "ngram-classes")
-    first = classes.select("cls", "doc_id", F.explode("tokens").alias("token"))
-    often = common.cut(first.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "ngram-tokens")
-    active = common.cut(first.join(common.broadcast_if_small(often, 24), "token").select("cls", "doc_id").distinct(), "ngram-active")
-    ids = active.select(F.col("doc_id").alias("id")).distinct()
-    chosen = text.join(common.broadcast_if_small(ids, 16), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = chosen.mapInArrow(_sets(k, percent, True), _SCHEMA).join(
-        common.broadcast_if_small(active.select("cls"), 32), "cls", "left_semi")
-    sets = common.cut(sets.select("cls", "n", "tokens").dropDuplicates(["cls"]), "ngram-sets")
-    prefix = common.cut(prefixes(sets, often.where(F.col("df") > HOT), percent), "ngram-prefixes")
-    entries = prefix.select("cls", "n", "own", F.explode("prefix").alias("token"))
-    star = common.cut(verify(star_pairs(entries, percent), sets, percent), "ngram-star")
-    root = components(star).select(F.col("node").alias("cls"), "root")
-    cross = common.cut(verify(cross_pairs(entries, prefix, root, percent), sets, percent), "ngram-cross")
-    links = star.unionByName(cross)
+    names = rows.where("cls is not null")
+    copied = common.cut(names.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").select("cls", "least"), "ngram-copied")
+    reps = names.join(common.broadcast_if_small(copied, 40), "cls", "left").where(F.col("least").isNull() | (F.col("doc_id") == F.col("least"))).drop("least")
+
+    first = reps.select(F.explode(F.slice("tokens", F.lit(1), _width(F.col("n"), percent) + 1)).alias("token"))
+    hot = common.cut(first.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > HOT), "ngram-hot")
+    # Partial lists are enough where they hold a whole prefix of shingles that are not hot.
+    near = common.cut(ordered(reps, hot), "ngram-ordered")
+    enough = (F.size("cold") > _width(F.col("n"), percent)) | (F.size("tokens") >= F.col("n"))
+    deep = whole_sets(text, common.cut(near.where(~enough).select("cls", "doc_id"), "ngram-deep-names"), k, percent, "ngram-deep")
+    prefix = prefixes(near.where(enough).select("cls", "doc_id", "n", "hot", "cold", "tokens").unionByName(
+        ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold", "tokens")), percent)
+    entries = prefix.select("cls", "doc_id", "n", "l", "own", F.explode("prefix").alias("token"))
+    often = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    entries = common.cut(entries.join(common.broadcast_if_small(common.cut(often, "ngram-often"), 16), "token"), "ngram-entries")
+
+    pairs = common.cut(star_pairs(entries, percent), "ngram-star-pairs")
+    star = common.cut(compare(pairs, entries, text, k, percent), "ngram-star")
+    root = common.cut(components(star).select(F.col("node").alias("cls"), "root"), "ngram-root")
+    pairs = common.cut(cross_pairs(entries, root, percent), "ngram-cross-pairs")
+    links = star.unionByName(common.cut(compare(pairs, entries, text, k, percent), "ngram-cross"))
+
     root = components(links).select(F.col("node").alias("cls"), "root")
-    named = classes.select("cls", "doc_id").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = names.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = named.join(least, "root").select("cls", "component_id")
     out = rows.select("doc_id", "n", "cls").join(of, "cls", "left").select(
@@ -177,6 +209,13 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     return out, links
 
 
+def compare(pairs: DataFrame, entries: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that reach the similarity; whole sets are read for their classes only."""
+    chosen = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+    chosen = common.cut(entries.select("cls", "doc_id").distinct().join(chosen, "cls"), "ngram-chosen")
+    return verify(pairs, whole_sets(text, chosen, k, percent, "ngram-sets"), percent)
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the document of smallest id of each group; rows without
     shingles are in no group and stay."""
