@@ -102,14 +102,42 @@ _BLOCKS = pa.schema([("block", pa.binary()), ("part", pa.int32()), ("hashes", pa
                      ("doc_ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64()))])
 
 
-def _pack(units: Units, k: int, window: int, parts: int, within: bool):
+def anchor_marks(units: Units, k: int, window: int):
+    """Marks of the first round: (hashes, places) of all anchors, one place per unit."""
+    def run(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grams, offsets = units(part.column("text"), k)
+        _, at = window_anchors(grams, offsets, k, window)
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+        return grams[at], at, offsets
+
+    return run
+
+
+def context_marks(k: int):
+    """Marks of the second round, over bytes: a shared anchor with the k bytes
+    before it (even places) and with the k bytes after it (odd places). A
+    window of 3 k + 2 bytes that holds the anchor holds one of the two."""
+    def run(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = text_bytes(part.column("text"))
+        grams = byte_grams(data, 2 * k)
+        places = [np.frombuffer(b, "<u4").astype(np.int64) + o for b, o in zip(part.column("places").to_pylist(), offsets[:-1])]
+        at = np.concatenate(places) if places else np.empty(0, np.int64)
+        row = np.searchsorted(offsets, at, "right") - 1
+        left, right = at - k >= offsets[row], at + 2 * k <= offsets[row + 1]
+        gram = np.concatenate([grams[at[left] - k], grams[at[right]]])
+        place = np.concatenate([at[left] * 2, at[right] * 2 + 1])
+        order = np.argsort(place, kind="stable")
+        return gram[order], place[order], offsets * 2
+
+    return run
+
+
+def _pack(marks, parts: int, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, limit=BLOCK_BYTES):
-                grams, offsets = units(part.column("text"), k)
-                _, at = window_anchors(grams, offsets, k, window)
-                at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-                h = grams[at] >> np.uint64(16)
+                h, at, offsets = marks(part)
+                h = h >> np.uint64(16)
                 order = np.argsort(h, kind="stable")
                 h, at = h[order], at[order]
                 doc = at if within else np.searchsorted(offsets, at, "right")
@@ -194,14 +222,14 @@ def copies(docs: DataFrame) -> DataFrame:
     return common.cut(names.join(first, "sha").where("ord > first").select("ord", "key").distinct(), "text-copies")
 
 
-def affected(texts: DataFrame, units: Units, k: int, window: int, within: bool) -> DataFrame:
-    """(ord, key, places): documents with windows that may repeat, and where
-    their shared anchors are (little-endian u4). ``within``: a second place in
-    the same document counts too."""
-    size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()[0] or 0
+def affected(texts: DataFrame, marks, within: bool, size: int | None = None) -> DataFrame:
+    """(ord, key, places): documents with shared marks, and where they are
+    (little-endian u4). ``within``: a second place in the same document counts."""
+    if size is None:
+        size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()[0] or 0
     parts = int(max(8, -(-size // RANGE_BYTES)))
     packed = common.cut(texts.mapInArrow(
-        _pack(units, k, window, parts, within),
+        _pack(marks, parts, within),
         "block binary, part int, hashes binary, places binary, doc_ids array<bigint>, keys array<bigint>, offsets array<bigint>"), "anchors")
     met = packed.where("part >= 0").select("block", "part", "hashes", "places").groupBy("part").applyInArrow(_meet, "block binary, at binary")
     blocks = packed.where("part < 0").select("block", "doc_ids", "keys", "offsets")
@@ -209,19 +237,27 @@ def affected(texts: DataFrame, units: Units, k: int, window: int, within: bool)
         _give_back, "ord bigint, key bigint, places binary"), "affected")
 
 
+def bytes_per_row(info: DataFrame, column: str) -> tuple[int, int]:
+    """(mean bytes of a row, bytes of the column in all)."""
+    size = info.agg(F.sum(F.octet_length(column)).alias("b"), F.count("*").alias("n")).first()
+    return 32 + (size["b"] or 0) // max(1, size["n"]), size["b"] or 0
+
+
 def with_info(texts: DataFrame, info: DataFrame, row_bytes: int, how: str = "inner") -> DataFrame:
     """Join small facts to texts; texts are shuffled only if the facts are too large to broadcast."""
     return texts.join(common.broadcast_if_small(info, row_bytes), ["ord", "key"], how)
 
 
-def shared_windows(part: pa.RecordBatch, units: Units, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, anchors, offsets) of the windows of a slice whose anchor is shared."""
+def shared_windows(part: pa.RecordBatch, units: Units, k: int, window: int, sides: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, anchors, offsets) of the windows of a slice whose anchor is
+    shared; with two sides, whose anchor is shared with the context it has."""
     grams, offsets = units(part.column("text"), k)
     starts, at = window_anchors(grams, offsets, k, window)
-    places = [np.frombuffer(b, "<u4").astype(np.int64) + o for b, o in zip(part.column("places").to_pylist(), offsets[:-1])]
-    shared = np.zeros(int(offsets[-1]) + 1, bool)
+    places = [np.frombuffer(b, "<u4").astype(np.int64) + o * sides for b, o in zip(part.column("places").to_pylist(), offsets[:-1])]
+    shared = np.zeros(int(offsets[-1]) * sides + 2, bool)
     shared[np.concatenate(places) if places else np.empty(0, np.int64)] = True
-    keep = shared[at] if len(at) else np.empty(0, bool)
+    need = at if sides == 1 else at * 2 + (at - starts < k)
+    keep = shared[need] if len(at) else np.empty(0, bool)
     return starts[keep], at[keep], offsets
 
 

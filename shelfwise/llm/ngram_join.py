@@ -7,8 +7,8 @@ If two sets of sizes n and m reach the similarity, they share at least
 need = ceil(similarity * max(n, m)) shingles, and in any order common to all
 sets the first n - need + l of one and m - need + l of the other share at
 least l. The order is: shingles that are not hot by hash, then hot ones by
-frequency. Hot are those that more than ``HOT`` first prefixes hold, counted
-over all documents. Every class picks the l from 1 to ``LEVELS`` with the least
+frequency. Hot are those that more than ``HOT`` classes hold among their
+smallest hashes, counted over all documents. Every class picks the l from 1 to ``LEVELS`` with the least
 estimated cost, prefix entries read plus sets compared; the expected
 candidates of a hot shingle are its count, those of the others one each. A
 pair is compared only if it shares min(l, l') prefix shingles.
@@ -18,8 +18,8 @@ Classes whose prefix reaches into hot shingles (near copies in large groups,
 boilerplate) read their text once more for the whole set; so do the classes
 of the pairs that are compared.
 
-Large groups of near copies: each hot shingle names the most central class of
-its bucket (fewest shingles of its own), every class is compared with those,
+Large groups of near copies: each prefix shingle of over ``LARGE`` classes names
+the most central class of its bucket (fewest shingles of its own), every class is compared with those,
 and the links found form components. The join proper then leaves out pairs
 that are in one component already: they can't change the classes. No other
 pair is left out, so the components are those of all links, while a group of
@@ -47,8 +47,10 @@ from shelfwise.llm.components import components
 
 WORDS = 3
 PERCENT = 90
-HOT = 32
-LEVELS = 12
+HOT = 3
+# Buckets above this size are joined with whole prefixes and get a hub first.
+LARGE = 32
+LEVELS = 16
 SPARE = 16
 SLICE_BYTES = 1 << 20
 # Cost of comparing two sets, in prefix entries, per shingle of the set.
@@ -130,11 +132,11 @@ def ordered(sets: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def prefixes(d: DataFrame, percent: int) -> DataFrame:
-    """cls, doc_id, n, l, own (shingles that are not hot), prefix: the adaptive prefix of every class."""
+    """cls, doc_id, n, l, own (shingles that are not hot), prefix: the adaptive
+    prefix of every class. The order is known to its end, or as far as cold goes."""
     d = d.withColumn("width", _width(F.col("n"), percent)).withColumn("own", F.size("cold"))
     work = F.aggregate("hot", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["df"])))
-    d = d.withColumn("work", work).withColumn("order", F.concat("cold", "hot.token"))
-    known = F.when(F.size("order") >= F.col("n"), F.size("order")).otherwise(F.col("own"))  # as far as the order is known
+    d = d.withColumn("work", work).withColumn("order", F.concat("cold", "hot.token")).withColumn("known", F.size("order"))
 
     def cost(level: Column) -> Column:
         reach = F.least(F.col("known"), F.col("width") + level)
@@ -143,27 +145,42 @@ def prefixes(d: DataFrame, percent: int) -> DataFrame:
 
     most = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.col("known") - F.col("width")))
     best = F.array_min(F.transform(F.sequence(F.lit(1), most), cost))["l"]
-    return d.withColumn("known", known).withColumn("l", best).select(
+    return d.withColumn("l", best).select(
         "cls", "doc_id", "n", "l", "own", F.slice("order", F.lit(1), F.least(F.col("known"), F.col("width") + F.col("l"))).alias("prefix"))
 
 
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Every class of a large bucket with the most central one of the bucket."""
-    hub = entries.groupBy("token").agg(F.min(F.struct("own", "cls", "n")).alias("hub"), F.count("*").alias("k")).where(F.col("k") > HOT)
-    met = entries.join(hub, "token").where((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n"), percent))
+    large = entries.where("large")
+    hub = large.groupBy("token").agg(F.min(F.struct("own", "cls", "n")).alias("hub"))
+    met = large.join(hub, "token").where((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n"), percent))
     return met.select(F.greatest("cls", F.col("hub.cls")).alias("u"), F.least("cls", F.col("hub.cls")).alias("v")).distinct()
 
 
-def cross_pairs(entries: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share enough prefix shingles."""
-    d = entries.select("token", "cls", "n", "l").join(common.broadcast_if_small(root, 48), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def cross_pairs(entries: DataFrame, prefix: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share enough prefix shingles.
+
+    Pairs that meet in a large bucket count their matches by the prefixes, and
+    only at the first large bucket they share; all others meet in small
+    buckets only, and their meetings are their matches.
+    """
+    d = entries.join(common.broadcast_if_small(root, 48), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = d.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    d = common.cut(d.join(mixed, "token"), "ngram-mixed")
-    a, b = d.alias("a"), d.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") > F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
-                 & close(F.col("a.n"), F.col("b.n"), percent))
-    met = met.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.least("a.l", "b.l").alias("l"))
-    return met.groupBy("u", "v").agg(F.count("*").alias("k"), F.first("l").alias("l")).where("k >= l").select("u", "v")
+    d = common.cut(d.join(mixed, "token").select("token", "cls", "n", "l", "root", "large"), "ngram-mixed")
+
+    def meet(side: DataFrame, more=None) -> DataFrame:
+        a, b = side.alias("a"), side.alias("b")
+        on = ((F.col("a.token") == F.col("b.token")) & (F.col("a.cls") > F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
+              & close(F.col("a.n"), F.col("b.n"), percent))
+        return a.join(b, on if more is None else on & more).select(
+            F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.least("a.l", "b.l").alias("l"))
+
+    small = meet(d.where(~F.col("large"))).groupBy("u", "v").agg(F.count("*").alias("k"), F.first("l").alias("l")).where("k >= l")
+    large = d.where("large")
+    held = large.groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("tops")).join(prefix.select("cls", "prefix").dropDuplicates(["cls"]), "cls")
+    enough = (F.array_min(F.array_intersect("a.tops", "b.tops")) == F.col("a.token")) & (
+        F.size(F.array_intersect("a.prefix", "b.prefix")) >= F.least("a.l", "b.l"))
+    return small.select("u", "v").unionByName(meet(large.join(held, "cls"), enough).select("u", "v")).distinct()
 
 
 def whole_sets(text: DataFrame, chosen: DataFrame, k: int, percent: int, name: str) -> DataFrame:
@@ -171,7 +188,9 @@ def whole_sets(text: DataFrame, chosen: DataFrame, k: int, percent: int, name: s
     ids = chosen.select(F.col("doc_id").alias("id")).distinct()
     rows = text.join(common.broadcast_if_small(ids, 16), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = rows.mapInArrow(_sets(k, percent, True), _SCHEMA).join(common.broadcast_if_small(chosen.select("cls"), 32), "cls", "left_semi")
-    return common.cut(sets.dropDuplicates(["cls"]), name)
+    sets = common.cut(sets, name)
+    names = sets.agg(F.count("*"), F.countDistinct("cls")).first()
+    return sets if names[0] == names[1] else sets.dropDuplicates(["cls"])  # repeated rows
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -182,22 +201,25 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     copied = common.cut(names.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").select("cls", "least"), "ngram-copied")
     reps = names.join(common.broadcast_if_small(copied, 40), "cls", "left").where(F.col("least").isNull() | (F.col("doc_id") == F.col("least"))).drop("least")
 
-    first = reps.select(F.explode(F.slice("tokens", F.lit(1), _width(F.col("n"), percent) + 1)).alias("token"))
-    hot = common.cut(first.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > HOT), "ngram-hot")
+    kept = reps.select(F.explode("tokens").alias("token"))
+    hot = common.cut(kept.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > HOT), "ngram-hot")
     # Partial lists are enough where they hold a whole prefix of shingles that are not hot.
-    near = common.cut(ordered(reps, hot), "ngram-ordered")
-    enough = (F.size("cold") > _width(F.col("n"), percent)) | (F.size("tokens") >= F.col("n"))
-    deep = whole_sets(text, common.cut(near.where(~enough).select("cls", "doc_id"), "ngram-deep-names"), k, percent, "ngram-deep")
-    prefix = prefixes(near.where(enough).select("cls", "doc_id", "n", "hot", "cold", "tokens").unionByName(
-        ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold", "tokens")), percent)
+    width = _width(F.col("n"), percent)
+    near = ordered(reps, hot).select("cls", "doc_id", "n", F.when(
+        F.size("cold") > width, F.slice("cold", F.lit(1), width + LEVELS)).alias("cold"))
+    near = common.cut(near, "ngram-near")
+    deep = whole_sets(text, common.cut(near.where("cold is null").select("cls", "doc_id"), "ngram-deep-names"), k, percent, "ngram-deep")
+    none = F.array().cast("array<struct<df:bigint,token:bigint>>").alias("hot")
+    prefix = prefixes(near.where("cold is not null").select("cls", "doc_id", "n", none, "cold").unionByName(
+        ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold")), percent)
     entries = prefix.select("cls", "doc_id", "n", "l", "own", F.explode("prefix").alias("token"))
-    often = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    often = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token", (F.col("k") > LARGE).alias("large"))
     entries = common.cut(entries.join(common.broadcast_if_small(common.cut(often, "ngram-often"), 16), "token"), "ngram-entries")
 
     pairs = common.cut(star_pairs(entries, percent), "ngram-star-pairs")
     star = common.cut(compare(pairs, entries, text, k, percent), "ngram-star")
     root = common.cut(components(star).select(F.col("node").alias("cls"), "root"), "ngram-root")
-    pairs = common.cut(cross_pairs(entries, root, percent), "ngram-cross-pairs")
+    pairs = common.cut(cross_pairs(entries, prefix, root, percent), "ngram-cross-pairs")
     links = star.unionByName(common.cut(compare(pairs, entries, text, k, percent), "ngram-cross"))
 
     root = components(links).select(F.col("node").alias("cls"), "root")

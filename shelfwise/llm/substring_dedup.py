@@ -124,9 +124,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = copies(docs)
     texts = anchors.keyed(docs)
     texts = texts.join(common.broadcast_if_small(same, 32), ["ord", "key"], "left_anti")
-    info = anchors.affected(texts, anchors.word_units, GRAM, WINDOW, within=True)
-    size = info.agg(F.sum(F.octet_length("places") + 32).alias("b"), F.count("*").alias("n")).first()
-    suffixes = anchors.with_info(texts, info, -(-(size["b"] or 0) // max(1, size["n"]))).mapInArrow(_suffixes, _SUFFIX)
+    info = anchors.affected(texts, anchors.anchor_marks(anchors.word_units, GRAM, WINDOW), within=True)
+    suffixes = anchors.with_info(texts, info, anchors.bytes_per_row(info, "places")[0]).mapInArrow(_suffixes, _SUFFIX)
     starts = repeated(suffixes).groupBy("ord", "key").agg(F.collect_set(F.col("start").cast("int")).alias("starts"))
     return same, common.cut(starts, "removed-windows")
 

@@ -1,7 +1,8 @@
 """Suffix-array dedup: bytes of 50-byte strings that an earlier document has.
 
-Only windows with a shared anchor (``anchors``) can repeat. The windows of one
-anchor in one document are cut out as a segment; equal segments of different
+Only windows with a shared anchor (``anchors``) can repeat, and of those only
+windows whose anchor is shared together with 16 bytes beside it. The windows
+of one anchor in one document are cut out as a segment; equal segments of different
 documents are one, with the smallest id (combined before the shuffle). All
 segments of an anchor fall into one shard of about ``SHARD_BYTES``; matches
 between segments of different shards do not exist. Each shard builds the
@@ -38,7 +39,7 @@ def _segments(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, limit=anchors.BLOCK_BYTES):
-                starts, at, offsets = anchors.shared_windows(part, anchors.byte_units, GRAM, WINDOW)
+                starts, at, offsets = anchors.shared_windows(part, anchors.byte_units, GRAM, WINDOW, sides=2)
                 if not len(starts):
                     continue
                 data, _ = anchors.text_bytes(part.column("text"))
@@ -89,9 +90,12 @@ def first_ids(segments: list[bytes], ids: np.ndarray, window: int) -> tuple[np.n
 def _shard(group: pa.Table) -> pa.Table:
     segments = group.column("segment").to_pylist()
     first, ends = first_ids(segments, group.column("first").to_numpy(), WINDOW)
+    # Segments of which no member loses a window need not go back.
+    last = np.repeat(group.column("last").to_numpy(), np.diff(ends))
+    some = np.logical_or.reduceat(first < last, ends[:-1]) if len(segments) else np.empty(0, bool)
     names = [hashlib.blake2b(x, digest_size=16).digest() for x in segments]
     return pa.table({"name": pa.array(names, pa.binary()),
-                     "firsts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first, pa.int64()))})
+                     "firsts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first, pa.int64()))}).filter(pa.array(some))
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +107,8 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed byte runs [start, stop) of each member of a segment."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         lists = batch.column("firsts")
         ends = lists.offsets.to_numpy().astype(np.int64)
         n = np.diff(ends)
@@ -123,12 +129,15 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = anchors.copies(docs)
     texts = anchors.keyed(docs)
     texts = texts.join(common.broadcast_if_small(same, 32), ["ord", "key"], "left_anti")
-    info = anchors.affected(texts, anchors.byte_units, GRAM, WINDOW, within=False)
-    size = info.agg(F.sum(F.octet_length("places")).alias("b"), F.count("*").alias("n")).first()
-    shards = max(8, (size["b"] or 0) // 4 * SEGMENT_BYTES // SHARD_BYTES)
-    found = anchors.with_info(texts, info, 32 + (size["b"] or 0) // max(1, size["n"]))
+    info = anchors.affected(texts, anchors.anchor_marks(anchors.byte_units, GRAM, WINDOW), within=False)
+    row, size = anchors.bytes_per_row(info, "places")
+    # Second round: anchors with 16 bytes of context on the side where a window has them.
+    info = anchors.affected(anchors.with_info(texts, info, row), anchors.context_marks(GRAM), within=False, size=size * 16)
+    row, size = anchors.bytes_per_row(info, "places")
+    shards = max(8, size // 8 * SEGMENT_BYTES // SHARD_BYTES)
+    found = anchors.with_info(texts, info, row)
     members = common.cut(found.mapInArrow(_segments(int(shards)), _SEGMENT), "segments")
-    distinct = members.groupBy("shard", "segment").agg(F.min("ord").alias("first"))
+    distinct = members.groupBy("shard", "segment").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
     firsts = distinct.groupBy("shard").applyInArrow(_shard, "name binary, firsts array<bigint>")
     named = members.mapInArrow(_named, "ord bigint, key bigint, start bigint, name binary")
     runs = named.join(firsts, "name").select("ord", "key", "start", "firsts").mapInArrow(
