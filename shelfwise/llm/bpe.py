@@ -43,8 +43,9 @@ from shelfwise.llm import common
 BLOCK_BYTES = 24 << 20
 # Entries of the sorted word table that a task encodes and packs at once.
 PACK_ROWS = 200_000
-# Letters that every Unicode version knows, then closing punctuation.
-CLOSED = "^(?P<word>[a-zA-ZÀ-ÖØ-öø-ɏ]+)(?P<mark>[.,!?;:]+)$"
+# Letters that every Unicode version knows, then closing punctuation. Without U+0130,
+# whose lower case ends in a mark that the tokenizer joins to the punctuation.
+CLOSED = "^(?P<word>[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)(?P<mark>[.,!?;:]+)$"
 
 
 def default_tokenizer() -> str:

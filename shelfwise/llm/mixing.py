@@ -156,12 +156,12 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
     taken = common.cut(mix(docs).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-copies")
-    d = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    d = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
     if not taken.where("rows > 1").isEmpty():  # repeated rows: one of them stands for all
-        d = d.dropDuplicates(["doc_id", "key"])
-    taken = taken.where("copies > 0").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "copies")
-    d = d.join(common.broadcast_if_small(taken, 32), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
-    return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+        d = d.dropDuplicates(["doc_id", "__key"])
+    taken = taken.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("copies").alias("__copies"))
+    d = d.join(common.broadcast_if_small(taken, 32), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
+    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,13 +246,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     one = stay.where(F.col("cls").isNotNull()).groupBy("doc_id").agg(F.min("cls").alias("cls"), F.count("*").alias("n"))
     one = common.cut(one.unionByName(stay.where(F.col("cls").isNull()).select("doc_id", "cls", F.lit(1).cast("long").alias("n"))), "ngram-keep")
     names = one.select("doc_id").distinct()
-    left = docs.join(common.broadcast_if_small(names.withColumnRenamed("doc_id", "id"), 16), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    left = docs.join(common.broadcast_if_small(names.withColumnRenamed("doc_id", "__id"), 16), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     if one.where("n > 1").isEmpty():
         return left
     # Ids that name several rows of a group: one row each stays (rows without words are told apart by text).
-    again = one.where("n > 1").select(F.col("doc_id").alias("id"))
-    dup = left.join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return left.join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").unionByName(dup.dropDuplicates(["doc_id"]))
+    again = one.where("n > 1").select(F.col("doc_id").alias("__id"))
+    dup = left.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return left.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").unionByName(dup.dropDuplicates(["doc_id"]))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ win AS (SELECT doc_id, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) A
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
 line AS (SELECT doc_id, source, t, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
-                regexp_replace(trim(regexp_replace(lower(regexp_replace(x, '[0-9]', '0', 'g')), '[\x20\x09-\x0D]+', ' ', 'g')), ' +', ' ', 'g') AS h
+                trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
          FROM (SELECT doc_id, source, t, unnest(l) AS x FROM d)),
 per AS (SELECT source, doc_id, t, h, sum(n) AS n FROM line GROUP BY ALL),
 bad AS (SELECT source, h, arg_min(t, doc_id) AS keeper FROM per GROUP BY source, h HAVING count(DISTINCT t) > 20),

@@ -2,7 +2,7 @@
 
 Base rules of a document: its words, its repeated lines and the words inside
 repeated three-word windows. Line rule: every line is normalised (lower case,
-digits to 0, inner white space to one blank), hashed, and the distinct texts
+white space to one blank), hashed, and the distinct texts
 that hold it are counted per host (here: the source). A line in more than
 ``LINE_LIMIT`` texts of its host is removed from all documents but the one
 with the smallest id there. A document left with under ``KEPT_PERCENT`` percent
@@ -58,11 +58,11 @@ def repeated_words(words: Column) -> Column:
 
 def keys(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("k_id", F.coalesce("doc_id", F.lit(-(2 ** 63)))).withColumn("k_text", F.xxhash64(text))
+    return docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(2 ** 63)))).withColumn("__text", F.xxhash64(text))
 
 
 def normal_line(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, common.SPACE, " "))), "[0-9]", "0"), " +", " ")
+    return F.lower(F.trim(F.regexp_replace(line, common.SPACE, " ")))
 
 
 def with_word(text: Column) -> Column:
@@ -73,10 +73,10 @@ def base(docs: DataFrame) -> DataFrame:
     """Measures of every row and the base verdict."""
     text, w = F.coalesce(F.col("text"), F.lit("")), F.col("w")
     d = keys(docs).select(
-        "doc_id", "k_id", "k_text", common.words_of(text).alias("w"), with_word(text).alias("lines"),
+        "doc_id", "__id", "__text", common.words_of(text).alias("w"), with_word(text).alias("lines"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
     d = d.select(
-        "doc_id", "k_id", "k_text", F.size(w).cast("long").alias("n_words"),
+        "doc_id", "__id", "__text", F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(w).alias("n_repeat_words"))
@@ -88,15 +88,15 @@ def lines(docs: DataFrame) -> DataFrame:
     """One row per (distinct row, distinct normalised line): hash and words."""
     one = F.transform(with_word(F.col("text")), lambda x: F.struct(
         F.xxhash64(normal_line(x)).alias("h"), F.size(common.words_of(x)).alias("n")))
-    d = keys(docs).select(F.col("source").alias("host"), "k_id", "k_text", F.explode(one).alias("l"))
-    return d.groupBy("host", "k_id", "k_text", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"))
+    d = keys(docs).select(F.col("source").alias("host"), "__id", "__text", F.explode(one).alias("l"))
+    return d.groupBy("host", "__id", "__text", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"))
 
 
 def frequent(per_doc: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """Lines above the limit of their host, and the document that keeps each."""
-    text = per_doc.groupBy("host", "h", "k_text").agg(F.min("k_id").alias("k_id"))
+    text = per_doc.groupBy("host", "h", "__text").agg(F.min("__id").alias("__id"))
     return text.groupBy("host", "h").agg(
-        F.count("*").alias("texts"), F.min(F.struct("k_id", "k_text")).alias("first")).where(F.col("texts") > limit)
+        F.count("*").alias("texts"), F.min(F.struct("__id", "__text")).alias("first")).where(F.col("texts") > limit)
 
 
 def removed_lines(per_doc: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
@@ -104,32 +104,32 @@ def removed_lines(per_doc: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     Rows with the text that keeps the line keep it as well."""
     bad = frequent(per_doc, limit).select(F.col("host").alias("b_host"), F.col("h").alias("b_h"), "first")
     same = F.col("host").eqNullSafe(F.col("b_host")) & (F.col("h") == F.col("b_h"))
-    return per_doc.join(bad, same).where(F.col("first.k_text") != F.col("k_text")).select("k_id", "k_text", "h", "n")
+    return per_doc.join(bad, same).where(F.col("first.__text") != F.col("__text")).select("__id", "__text", "h", "n")
 
 
 def judge(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verdict of every row, lines taken out). The line table is written once."""
     out = common.cut(removed_lines(common.cut(lines(docs), "quality-lines")), "quality-removed")
-    gone = out.groupBy("k_id", "k_text").agg(F.sum("n").alias("n_line_words"))
-    d = base(docs).join(gone, ["k_id", "k_text"], "left")
+    gone = out.groupBy("__id", "__text").agg(F.sum("n").alias("n_line_words"))
+    d = base(docs).join(gone, ["__id", "__text"], "left")
     lost = F.coalesce("n_line_words", F.lit(0))
     depleted = (F.col("n_words") - lost) * 100 < F.col("n_words") * KEPT_PERCENT
-    return d.select("doc_id", "k_id", "k_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return d.select("doc_id", "__id", "__text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"),
                     lost.cast("long").alias("n_line_words")), out
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.read(spark, sf_dir, "documents"))[0].drop("k_id", "k_text")
+    return judge(common.read(spark, sf_dir, "documents"))[0].drop("__id", "__text")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that pass, with the lines above the limits taken out of the text."""
     verdict, out = judge(docs)
-    good = verdict.where("kept").select("k_id", "k_text").distinct()
-    gone = out.groupBy("k_id", "k_text").agg(F.collect_set("h").alias("gone"))
-    d = keys(docs).join(good.join(gone, ["k_id", "k_text"], "left"), ["k_id", "k_text"])
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x)))), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    n_chars = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    good = verdict.where("kept").select("__id", "__text").distinct()
+    gone = out.groupBy("__id", "__text").agg(F.collect_set("h").alias("__gone"))
+    d = keys(docs).join(good.join(gone, ["__id", "__text"], "left"), ["__id", "__text"])
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(normal_line(x)))), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    n_chars = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return d.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)

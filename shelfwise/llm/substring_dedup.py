@@ -138,45 +138,46 @@ def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batch):
             flat, offsets = common.flat_words(part.column("text"))
             kept, gone = [], []
-            for i, starts in enumerate(part.column("starts").to_pylist()):
+            for i, starts in enumerate(part.column("__starts").to_pylist()):
                 n = int(offsets[i + 1] - offsets[i])
                 out = anchors.covered(np.asarray(starts, np.int64), WINDOW, n)
                 gone.append(int(out.sum()))
                 kept.append(" ".join(flat.slice(offsets[i], n).filter(pa.array(~out)).to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in part.schema.names if c not in ("text", "starts")), pa.array(np.diff(offsets), pa.int64()),
+                [*(part.column(c) for c in part.schema.names if c not in ("text", "__starts")), pa.array(np.diff(offsets), pa.int64()),
                  pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                [*(c for c in part.schema.names if c not in ("text", "starts")), "n_words", "n_removed", "kept"])
+                [*(c for c in part.schema.names if c not in ("text", "__starts")), "n_words", "n_removed", "kept"])
 
 
 def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
-    """The columns of ``docs`` but the text, and n_words, n_removed, kept (the
+    """The columns of ``docs`` but the text (and those with names given here), and n_words, n_removed, kept (the
     words that stay, joined by one blank). ``untouched``: the kept text of
     documents without removal is their own text with its white space."""
     same, windows = removals(docs)
     size = windows.agg(F.sum(F.size("starts") * 4 + 32).alias("b"), F.count("*").alias("n")).first()
-    windows = common.broadcast_if_small(windows, -(-(size["b"] or 0) // max(1, size["n"])))
-    same = common.broadcast_if_small(same, 32)
+    windows = common.broadcast_if_small(windows.toDF("__ord", "__key", "__starts"), -(-(size["b"] or 0) // max(1, size["n"])))
+    same = common.broadcast_if_small(same.toDF("__ord", "__key"), 32)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rest = [c for c in docs.columns if c != "text"]
-    d = docs.select(*rest, text.alias("text"), F.coalesce("doc_id", F.lit(anchors.LAST_ID)).alias("ord"), F.xxhash64(text).alias("key"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    cut = d.join(windows, ["ord", "key"]).select(*rest, "text", "starts").mapInArrow(
+    rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept")]
+    d = docs.select(*rest, text.alias("text"), F.coalesce("doc_id", F.lit(anchors.LAST_ID)).alias("__ord"), F.xxhash64(text).alias("__key"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in rest)
+    cut = d.join(windows, ["__ord", "__key"]).select(*rest, "text", "__starts").mapInArrow(
         _cut_words, f"{fields}, n_words bigint, n_removed bigint, kept string")
     words = common.words_of(F.col("text"))
-    whole = d.join(windows, ["ord", "key"], "left_anti").join(same.withColumn("copy", F.lit(True)), ["ord", "key"], "left")
-    whole = whole.withColumn("w", words).withColumn("n_words", F.size("w").cast("long"))
-    lost = F.col("copy").isNotNull() & (F.col("n_words") >= WINDOW)
-    whole = whole.select(*rest, "n_words", F.when(lost, F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-                         F.when(lost, F.lit("")).otherwise(F.col("text") if untouched else F.array_join("w", " ")).alias("kept"))
+    whole = d.join(windows, ["__ord", "__key"], "left_anti").join(same.withColumn("__copy", F.lit(True)), ["__ord", "__key"], "left")
+    whole = whole.withColumn("__w", words).withColumn("__n", F.size("__w").cast("long"))
+    lost = F.col("__copy").isNotNull() & (F.col("__n") >= WINDOW)
+    whole = whole.select(*rest, F.col("__n").alias("n_words"), F.when(lost, F.col("__n")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
+                         F.when(lost, F.lit("")).otherwise(F.col("text") if untouched else F.array_join("__w", " ")).alias("kept"))
     return cut.unionByName(whole)
 
 
 def strip(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated words; documents of which nothing stays go."""
-    d = dedup(docs, untouched=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    inner = [c if c in ("doc_id", "text", "n_chars") else f"__c{i}" for i, c in enumerate(docs.columns)]
+    d = dedup(docs.toDF(*inner), untouched=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return d.withColumn("text", F.col("kept")).withColumn("n_chars", n_chars).select(*docs.columns)
+    return d.withColumn("text", F.col("kept")).withColumn("n_chars", n_chars).select(*inner).toDF(*docs.columns)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

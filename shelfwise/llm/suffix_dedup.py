@@ -151,7 +151,7 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batch):
             data, offsets = anchors.text_bytes(part.column("text"))
             kept, gone, spans = [], [], []
-            runs = part.column("runs")
+            runs = part.column("__runs")
             ends = runs.offsets.to_numpy()
             a, b = (runs.values.field(i).to_numpy() for i in (0, 1))
             for i in range(part.num_rows):
@@ -162,27 +162,27 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone.append(int(out.sum()))
                 spans.append(int((out[1:] & ~out[:-1]).sum() + out[0]))
                 kept.append(data[offsets[i]:offsets[i + 1]][~out].tobytes())
-            names = [c for c in part.schema.names if c not in ("text", "runs")]
+            names = [c for c in part.schema.names if c not in ("text", "__runs")]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in names), pa.array(np.diff(offsets), pa.int64()), pa.array(gone, pa.int64()),
                  pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but the text, and n_bytes, n_removed, n_spans, kept (bytes that stay)."""
+    """The columns of ``docs`` but the text (and those with names given here), and n_bytes, n_removed, n_spans, kept (bytes that stay)."""
     same, runs = removals(docs)
     size = runs.agg(F.sum(F.size("runs") * 8 + 32).alias("b"), F.count("*").alias("n")).first()
-    runs = common.broadcast_if_small(runs, -(-(size["b"] or 0) // max(1, size["n"])))
-    same = common.broadcast_if_small(same, 32)
+    runs = common.broadcast_if_small(runs.toDF("__ord", "__key", "__runs"), -(-(size["b"] or 0) // max(1, size["n"])))
+    same = common.broadcast_if_small(same.toDF("__ord", "__key"), 32)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rest = [c for c in docs.columns if c != "text"]
-    d = docs.select(*rest, text.alias("text"), F.coalesce("doc_id", F.lit(anchors.LAST_ID)).alias("ord"), F.xxhash64(text).alias("key"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    cut = d.join(runs, ["ord", "key"]).select(*rest, "text", "runs").mapInArrow(
+    rest = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept")]
+    d = docs.select(*rest, text.alias("text"), F.coalesce("doc_id", F.lit(anchors.LAST_ID)).alias("__ord"), F.xxhash64(text).alias("__key"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in rest)
+    cut = d.join(runs, ["__ord", "__key"]).select(*rest, "text", "__runs").mapInArrow(
         _cut_bytes, f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    whole = d.join(runs, ["ord", "key"], "left_anti").join(same.withColumn("copy", F.lit(True)), ["ord", "key"], "left")
+    whole = d.join(runs, ["__ord", "__key"], "left_anti").join(same.withColumn("__copy", F.lit(True)), ["__ord", "__key"], "left")
     n, none = F.octet_length("text").cast("long"), F.lit(0).cast("long")
-    lost = F.col("copy").isNotNull() & (n >= WINDOW)
+    lost = F.col("__copy").isNotNull() & (n >= WINDOW)
     whole = whole.select(*rest, n.alias("n_bytes"), F.when(lost, n).otherwise(none).alias("n_removed"),
                          F.when(lost, F.lit(1).cast("long")).otherwise(none).alias("n_spans"),
                          F.when(lost, F.lit("")).otherwise(F.col("text")).cast("binary").alias("kept"))

@@ -57,6 +57,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
         at = np.flatnonzero(often[slot] & free)
         pairs, back, count = np.unique(key[at], return_inverse=True, return_counts=True)
         good = count >= least
+        if least == LEAST and not good.any():
+            break
         if good.any():
             number = np.full(len(pairs), -1, np.int64)
             number[good] = nxt + np.arange(int(good.sum()))
@@ -74,8 +76,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
             stay = np.ones(len(seq), bool)
             stay[at + 1] = False
             seq, last = seq[stay], last[stay]
-        if least == LEAST:
-            break
         least = max(LEAST, least // 4)
     cut = np.flatnonzero(last) + 1
     sym_ends = np.zeros(len(ends), np.int64)

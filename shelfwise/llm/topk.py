@@ -88,7 +88,7 @@ class Search:
             if not len(rows) or not len(cols):
                 return rows[:0], cols[:0], np.empty(0, np.int64)
         x, y = np.nonzero(alive)
-        return rows[x], cols[y], part[x, y].astype(np.int64)
+        return rows[x], cols[y], part[x, y]
 
     def add(self, ids: np.ndarray, m: np.ndarray) -> None:
         at = 0
@@ -99,7 +99,7 @@ class Search:
             c[:have] = m[:have, at:to]
             r, k, s = self.scores(c[self.order])
             other = ids[at:to][k] != self.ids[r]
-            self.keep(r[other], s[other], ids[at:to][k[other]])
+            self.keep(r[other], s[other].astype(np.int64), ids[at:to][k[other]])
             at = to
 
     def keep(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
