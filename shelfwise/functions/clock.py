@@ -37,6 +37,11 @@ class Clock:
             value = _dt.datetime.combine(value, _dt.time())
         return cls(value)
 
+    @classmethod
+    def now(cls) -> "Clock":
+        """The current time in UTC, read once."""
+        return cls(_dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
+
     @property
     def day(self) -> _dt.date:
         return self.as_of.date()
@@ -74,4 +79,5 @@ class Clock:
         return F.datediff(c, self.lit_day()).cast("int")
 
 
+# The pinned clock of the registered queries and tests; runs on a user's tables read the time.
 DEFAULT_AS_OF = _dt.datetime(2001, 3, 1, 12, 0)

@@ -1,93 +1,45 @@
-"""Batch-level table operations of the data generator, as Spark jobs.
+"""Batch-level table operations as Spark jobs.
 
-B7 fan-out, B8 weighted bucket, B9 price chain, B10 discounted price,
-B11 batch dates, B13 eligible batch (FEFO), B14 prescription flag,
-B15 bill number and package label, B17 catalog flattening, B18 sequential
-ids. The generator draws random numbers; here every draw is a deterministic
-function of a key, so results are reproducible and checkable.
+B10 discounted price, B13 eligible batch (FEFO), B14 prescription flag, B17
+catalog flattening, B18 sequential ids, shelf life and margins of batches.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions.exact import half_up_ratio
+from shelfwise.session import checkpoint_dir
 from shelfwise.sources.schemas import PRICE
 
-# ---------------------------------------------------------------------------
-# Fixed values (the generator's weighted choices and formats)
-# ---------------------------------------------------------------------------
-QUANTITY_CHOICES = (1, 2, 3, 4, 5, 10)
-QUANTITY_WEIGHTS = (40, 30, 15, 8, 5, 2)
-PAYMENT_CHOICES = ("Cash", "Card", "UPI", "Insurance")
-PAYMENT_WEIGHTS = (40, 25, 30, 5)
-DISCOUNT_CHOICES = (0, 5, 10, 15)
-DISCOUNT_WEIGHTS = (70, 15, 10, 5)
+# Fixed value: classes sold on prescription only.
 PRESCRIPTION_CLASSES = ("Antibiotic", "Hormone")
-MARKUP_TO_MRP = Decimal("1.1")
-DAYS_PER_YEAR = 365
-BILL_PREFIX = "BIL"
-PACKAGE_UNITS = {"Tablet": "units", "Capsule": "units", "Syrup": "ml", "Cream": "gm"}
-PACKAGE_DEFAULT_UNIT = "ml vial"
-# ---------------------------------------------------------------------------
-
-# Multipliers that decorrelate the per-attribute buckets of one key.
-SALT_QUANTITY, SALT_PAYMENT, SALT_DISCOUNT = 7919, 104729, 1299709
-_KEY_MOD = 1000003
-
-
-def unit_draw(key: Column, salt: int, modulus: int = 100) -> Column:
-    """A deterministic value in [0, modulus) derived from an integer key."""
-    return F.pmod(F.pmod(key, F.lit(_KEY_MOD)) * F.lit(salt) + F.lit(17), F.lit(modulus))
-
-
-def weighted_bucket(key: Column, choices, weights, salt: int) -> Column:
-    """Pick ``choices[i]`` with probability ``weights[i] / sum(weights)``."""
-    u = unit_draw(key, salt, sum(weights))
-    expr, upper = None, 0
-    for choice, w in zip(choices[:-1], weights[:-1]):
-        upper += w
-        expr = F.when(u < upper, F.lit(choice)) if expr is None else expr.when(u < upper, F.lit(choice))
-    return expr.otherwise(F.lit(choices[-1]))
-
-
-def sale_choices(sales: DataFrame) -> DataFrame:
-    key = F.col("sale_id")
-    return sales.select(
-        "sale_id",
-        weighted_bucket(key, QUANTITY_CHOICES, QUANTITY_WEIGHTS, SALT_QUANTITY).alias("quantity_choice"),
-        weighted_bucket(key, PAYMENT_CHOICES, PAYMENT_WEIGHTS, SALT_PAYMENT).alias("payment_choice"),
-        weighted_bucket(key, DISCOUNT_CHOICES, DISCOUNT_WEIGHTS, SALT_DISCOUNT).alias("discount_choice"),
-    )
-
-
-def fan_out(items: DataFrame, n: Column, key: str = "medicine_id") -> DataFrame:
-    """``n`` rows per entity, numbered 1..n (generated inside each row's task)."""
-    return items.select(key, F.explode(F.sequence(F.lit(1), n)).alias("batch_seq"))
+SHORT_DATED_DAYS = 180
 
 
-def batches_per_item(medicines: DataFrame) -> DataFrame:
-    """3 to 8 planned batches per item."""
-    return fan_out(medicines, (F.lit(3) + F.pmod(F.col("medicine_id"), F.lit(6))).cast("int"))
-
-
-def margin_factor(key: Column) -> Column:
-    """A mark-up in [1.20, 1.50] derived from the key, as DECIMAL(3,2)."""
-    return ((F.lit(120) + F.pmod(key, F.lit(31))) * F.lit(Decimal("0.01"))).cast("decimal(3,2)")
+def shelf_life(purchases: DataFrame, short_days: int = SHORT_DATED_DAYS) -> DataFrame:
+    """Days from making to expiry, days left when bought, and whether a batch
+    was bought short-dated."""
+    left = F.datediff("expiry_date", "purchase_date")
+    return purchases.select(
+        "purchase_id", "medicine_id", "manufacturing_date", "expiry_date",
+        F.datediff("expiry_date", "manufacturing_date").alias("shelf_days"),
+        left.alias("days_left_at_purchase"),
+        F.coalesce(left < short_days, F.lit(False)).alias("short_dated"),
+    )
 
 
-def price_chain(purchases: DataFrame) -> DataFrame:
-    """Purchase price -> selling price (x margin) -> MRP (x 1.1), each
-    rounded half-up to cents."""
-    pp = F.col("purchase_price")
-    margin = margin_factor(F.col("purchase_id"))
-    selling = (pp * margin).cast(PRICE)
+def margin_audit(purchases: DataFrame) -> DataFrame:
+    """Selling against purchase price of every batch."""
+    pp, sp = F.col("purchase_price"), F.col("selling_price")
     return purchases.select(
-        "purchase_id", "purchase_price", margin.alias("margin"),
-        selling.alias("selling_price_calc"),
-        (selling * F.lit(MARKUP_TO_MRP)).cast(PRICE).alias("mrp_calc"),
+        "purchase_id", "medicine_id", "purchase_price", "selling_price",
+        (sp - pp).cast(PRICE).alias("unit_margin"),
+        half_up_ratio(sp - pp, pp, multiplier=100, precision=12).alias("margin_percent"),
+        (sp < pp).alias("below_cost"),
     )
 
 
@@ -98,19 +50,6 @@ def discounted_price(sales: DataFrame) -> DataFrame:
     return sales.select("sale_id", "selling_price", "discount_percent", final.alias("final_price"))
 
 
-def batch_dates(purchases: DataFrame) -> DataFrame:
-    """Manufacturing date 30-90 days before purchase, expiry 2 or 3
-    (365-day) years after manufacturing."""
-    key = F.col("purchase_id")
-    offset = (F.lit(30) + F.pmod(key, F.lit(61))).cast("int")
-    years = F.when(F.pmod(key, F.lit(4)) == 3, 3).otherwise(2)
-    mfg = F.date_sub(F.col("purchase_date"), offset)
-    return purchases.select(
-        "purchase_id", "purchase_date", mfg.alias("manufacturing_date_calc"),
-        F.date_add(mfg, (years * DAYS_PER_YEAR).cast("int")).alias("expiry_date_calc"),
-    )
-
-
 def eligible_batches(sales: DataFrame, purchases: DataFrame) -> DataFrame:
     """For every sale, the batch it would be served from - same
     item, stock left, expiring strictly after the sale date - choosing the
@@ -164,37 +103,12 @@ def prescription_flag(medicines: DataFrame) -> DataFrame:
     )
 
 
-def bill_number(sales: DataFrame) -> DataFrame:
-    """B15: 'BIL' + yyMMdd of the sale + '-' + a 3-digit number from the sale id."""
-    seq = (F.lit(100) + F.pmod(F.col("sale_id"), F.lit(900))).cast("string")
-    return sales.select(
-        "sale_id", "sale_date",
-        F.concat(F.lit(BILL_PREFIX), F.date_format("sale_date", "yyMMdd"), F.lit("-"), seq).alias(
-            "bill_no"
-        ),
-    )
-
-
-def package_label(category: Column, size: Column) -> Column:
-    """B15: '<size> units|ml|gm|ml vial' by category."""
-    unit = F.lit(PACKAGE_DEFAULT_UNIT)
-    for cat, u in reversed(list(PACKAGE_UNITS.items())):
-        unit = F.when(category == cat, F.lit(u)).otherwise(unit)
-    return F.concat(size.cast("string"), F.lit(" "), unit)
-
-
-def package_labels(medicines: DataFrame) -> DataFrame:
-    size = ((F.pmod(F.col("medicine_id"), F.lit(10)) + 1) * 10).cast("int")
-    return medicines.select(
-        "medicine_id", "category", size.alias("package_units"),
-        package_label(F.col("category"), size).alias("package_size"),
-    )
-
-
 def nest_catalog(medicines: DataFrame) -> DataFrame:
-    """Each item as a one-entry catalog map<category, array<struct<name, pack>>>."""
+    """One catalog per manufacturer: map<category, array<struct<name, pack>>>."""
     entry = F.struct(F.col("medicine_name").alias("name"), F.col("medicine_id").alias("pack"))
-    return medicines.select(F.create_map(F.col("category"), F.array(entry)).alias("catalog"))
+    items = medicines.groupBy("manufacturer", "category").agg(F.collect_list(entry).alias("items"))
+    return items.groupBy("manufacturer").agg(
+        F.map_from_entries(F.collect_list(F.struct("category", "items"))).alias("catalog"))
 
 
 def flatten_catalog(nested: DataFrame, column: str = "catalog") -> DataFrame:
@@ -212,10 +126,11 @@ def sequential_id(df: DataFrame, order: list[str], start: int = 1, name: str = "
     order (so a repeated leading key still splits on the later columns),
     sorted within each partition, numbered by their position inside it, and
     shifted by the row count of all earlier partitions (a table with one row
-    per partition, so bounded by the partition count). The partition count is
-    explicit so AQE does not coalesce this shuffle: the counting branch and
-    the numbering branch see the same partitions.
+    per partition, so bounded by the partition count). The numbered rows are
+    checkpointed in the shared folder: range bounds are sampled per plan, so
+    counting and numbering must read one and the same outcome.
     """
+    checkpoint_dir(df.sparkSession, local_fallback=True)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     mid = F.monotonically_increasing_id()
@@ -223,7 +138,7 @@ def sequential_id(df: DataFrame, order: list[str], start: int = 1, name: str = "
         *df.columns,
         F.shiftright("_mid", 33).alias("_part"),
         F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"),
-    )
+    ).checkpoint()
     counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

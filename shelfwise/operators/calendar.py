@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 from shelfwise.sources.schemas import MONEY_SUM
 
 
-def date_spine(sales: DataFrame) -> DataFrame:
-    """Every day from the first to the last sale, with weekday
-    (Monday = 0) and a weekend flag."""
-    bounds = sales.agg(F.min("sale_date").alias("_lo"), F.max("sale_date").alias("_hi"))
+def _spine(bounds: DataFrame) -> DataFrame:
     days = bounds.select(
         F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias("day")
     )
@@ -24,6 +21,12 @@ def date_spine(sales: DataFrame) -> DataFrame:
     return days.select("day", wd.alias("weekday"), (wd >= 5).alias("is_weekend"))
 
 
+def date_spine(sales: DataFrame) -> DataFrame:
+    """Every day from the first to the last sale, with weekday
+    (Monday = 0) and a weekend flag."""
+    return _spine(sales.agg(F.min("sale_date").alias("_lo"), F.max("sale_date").alias("_hi")))
+
+
 def daily_sales_filled(sales: DataFrame) -> DataFrame:
     """One row per spine day with transactions, units and revenue (0 on
     days without sales)."""
@@ -32,7 +35,8 @@ def daily_sales_filled(sales: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.sum(q).alias("_u"),
         F.sum(q * F.col("selling_price")).alias("_r"),
     )
-    spine = date_spine(sales)
+    # The bounds come from the daily rows, so the fact is reduced once (the exchange is reused).
+    spine = _spine(daily.agg(F.min("sale_date").alias("_lo"), F.max("sale_date").alias("_hi")))
     return spine.join(daily, spine["day"] == daily["sale_date"], "left").select(
         F.col("day").alias("sale_date"),
         F.coalesce("_n", F.lit(0)).cast("bigint").alias("transactions"),

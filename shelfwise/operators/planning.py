@@ -36,6 +36,10 @@ def _sold_per_item(sales: DataFrame, clock: Clock, window_days: int) -> DataFram
     )
 
 
+# No date is forecast further ahead than a hundred years.
+FORECAST_DAYS = 36500
+
+
 def _floor_div(x: Column, y: Column) -> Column:
     """floor(x / y) for x >= 0, y > 0, exact."""
     return ((x - F.pmod(x, y)) / y).cast("bigint")
@@ -113,7 +117,8 @@ def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFra
                       suppliers: DataFrame, reorder: DataFrame, clock: Clock,
                       window_days: int = rules.SALES_WINDOW_DAYS) -> DataFrame:
     """C11: projected stock-out date (now + floor(days of cover)) and a
-    reorder alert when cover < slowest lead time + safety stock days.
+    reorder alert when cover < slowest lead time + safety stock days. The
+    date is NULL beyond ``FORECAST_DAYS``; the cover is given in full.
 
     Purchases are read once, reduced per (item, supplier) to the live stock
     and the pair itself; the supplier lead time joins those pairs (a fact
@@ -143,7 +148,8 @@ def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFra
     return j.select(
         "medicine_id", stock.alias("current_stock"), units.alias("units_sold_30days"),
         cover_days.alias("cover_days"),
-        F.when(units > 0, F.date_add(clock.lit_day(), cover_days.cast("int"))).alias("stockout_date"),
+        F.when((units > 0) & (cover_days <= FORECAST_DAYS),
+               F.date_add(clock.lit_day(), cover_days.cast("int"))).alias("stockout_date"),
         F.col("lead_time_days").cast("int").alias("lead_time_days"),
         F.col("safety_stock_days").cast("int").alias("safety_stock_days"),
         F.when(alert, "YES").otherwise("NO").alias("reorder_alert"),
@@ -169,26 +175,14 @@ def overstock(medicines: DataFrame, purchases: DataFrame, reorder: DataFrame,
     )
 
 
-def reorder_policy(medicines: DataFrame) -> DataFrame:
-    """Reorder thresholds by emergency flag, with a fast-mover lift
-    (minimum x1.5, reorder quantity x1.3, truncated) for 3 in 10 items.
-
-    The generator draws the levels at random inside fixed ranges; here the
-    position inside each range is a function of the item id.
-    """
-    key = F.col("medicine_id")
-    emerg = F.col("is_emergency") == 1
-    base_min = F.when(emerg, 30 + F.pmod(key, F.lit(31))).otherwise(5 + F.pmod(key, F.lit(21)))
-    max_level = F.when(emerg, 200 + F.pmod(key, F.lit(101))).otherwise(100 + F.pmod(key, F.lit(101)))
-    base_qty = F.when(emerg, 100 + F.pmod(key, F.lit(101))).otherwise(50 + F.pmod(key, F.lit(101)))
-    fast = F.pmod(key, F.lit(10)) < 3
-    return medicines.select(
-        "medicine_id", "is_emergency",
-        F.when(fast, F.floor(base_min * 3 / 2)).otherwise(base_min).cast("int").alias("min_stock_level"),
-        max_level.cast("int").alias("max_stock_level"),
-        F.when(fast, F.floor(base_qty * 13 / 10)).otherwise(base_qty).cast("int").alias(
-            "reorder_quantity"
-        ),
-        F.when(emerg, 7).otherwise(5).cast("int").alias("safety_stock_days"),
-        fast.alias("fast_mover"),
-    )
+def reorder_minimum(medicines: DataFrame, sales: DataFrame, purchases: DataFrame, suppliers: DataFrame,
+                    reorder: DataFrame, clock: Clock, window_days: int = rules.SALES_WINDOW_DAYS) -> DataFrame:
+    """Units an item sells during its slowest supplier's lead time, at the
+    rate of the last ``window_days``, against its rule's minimum."""
+    d = stockout_forecast(medicines, sales, purchases, suppliers, reorder, clock, window_days).select(
+        "medicine_id", "units_sold_30days", "lead_time_days")
+    d = d.join(reorder.select("medicine_id", "min_stock_level"), "medicine_id", "left")
+    need = _floor_div(F.col("units_sold_30days") * F.coalesce("lead_time_days", F.lit(0)) + (window_days - 1), F.lit(window_days).cast("bigint"))
+    return d.select(
+        "medicine_id", "units_sold_30days", "lead_time_days", "min_stock_level", need.alias("demand_in_lead_time"),
+        F.greatest(need - F.coalesce("min_stock_level", F.lit(0)), F.lit(0)).cast("bigint").alias("minimum_gap"))

@@ -10,7 +10,7 @@ choice at rank 20 is deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import rules
@@ -74,3 +74,11 @@ def sales_movement_top(sales: DataFrame, medicines: DataFrame, clock: Clock,
         F.col("_k_" + k).asc_nulls_first() for k in GROUP_KEYS
     ]
     return g.orderBy(*order).limit(n).drop(*["_k_" + k for k in GROUP_KEYS])
+
+
+def payment_mix(sales: DataFrame) -> DataFrame:
+    """Transactions per payment method and discount, and their share of all."""
+    g = sales.groupBy("payment_method", "discount_percent").agg(F.count(F.lit(1)).cast("bigint").alias("transactions"))
+    total = F.sum("transactions").over(Window.partitionBy())  # over the few grouped rows
+    return g.select("payment_method", "discount_percent", "transactions",
+                    half_up_ratio(F.col("transactions"), total, multiplier=100, precision=12).alias("share_percent"))

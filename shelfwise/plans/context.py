@@ -21,14 +21,12 @@ from shelfwise.session import checkpoint_dir
 from shelfwise.sources import adapters, readers
 
 STOCK_VIEW = "current_stock_summary"
-# Other temp views the reference's clean-up step drops if present.
-AUX_VIEWS = ("stock_summary_temp", "expiry_temp")
 
 
 class InventoryContext:
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], as_of=DEFAULT_AS_OF):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], as_of=None):
         self.spark = spark
-        self.clock = Clock.at(as_of)
+        self.clock = Clock.now() if as_of is None else Clock.at(as_of)
         self.tables = tables  # may be lazy (adapters.DomainTables)
         self._stock: DataFrame | None = None
         self._persisted = False
@@ -40,7 +38,7 @@ class InventoryContext:
 
     @classmethod
     def from_files(cls, spark: SparkSession, base: str, fmt: str = "parquet",
-                   as_of=DEFAULT_AS_OF) -> "InventoryContext":
+                   as_of=None) -> "InventoryContext":
         return cls(spark, readers.read_tables(spark, base, fmt), as_of)
 
     @property
@@ -63,10 +61,6 @@ class InventoryContext:
     def reorder(self) -> DataFrame:
         return self.tables["reorder_levels"]
 
-    def register_views(self) -> None:
-        for name, df in self.tables.items():
-            df.createOrReplaceTempView(name)
-
     # -- the shared stock summary (Q1) --------------------------------------
     def stock_summary(self) -> DataFrame:
         if self._stock is None:
@@ -93,5 +87,5 @@ class InventoryContext:
         self._stock, self._persisted = None, False
         return {
             name: self.spark.catalog.dropTempView(name)
-            for name in (STOCK_VIEW, *AUX_VIEWS)
+            for name in (STOCK_VIEW,)
         }

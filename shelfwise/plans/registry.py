@@ -15,7 +15,6 @@ from shelfwise.operators import (
     batches, blocks, calendar, expiry, kpi, planning, quality, sales, stock, suppliers, trends,
     valuation,
 )
-from shelfwise.plans import oracle
 from shelfwise.plans.context import InventoryContext
 from shelfwise.streaming import movements
 
@@ -99,13 +98,18 @@ BLOCKS: dict[str, Query] = {
 }
 
 
+# Criteria of the registered stock filter: the first suppliers by name.
+FILTER_SUPPLIERS = [f"Supplier#{i:09d}" for i in range(60)]
+
+
 def _filter_stock(c: InventoryContext) -> DataFrame:
     live = stock.live_batches(c.purchases, c.medicines, c.suppliers, c.stock_summary(), c.clock)
     return stock.filter_stock(
         live, c.clock,
-        categories=list(oracle.FILTER_STOCK_CATEGORIES),
-        statuses=list(oracle.FILTER_STOCK_STATUSES),
-        expiring_within=oracle.FILTER_STOCK_EXPIRING_DAYS,
+        categories=["SMALL", "PROMO", "STANDARD"],
+        statuses=["LOW STOCK", "ADEQUATE"],
+        suppliers=FILTER_SUPPLIERS,
+        expiring_within=90,
     )
 
 
@@ -152,8 +156,6 @@ TIER_B: dict[str, Query] = {
     "quantity_reconciliation": _q(lambda c: quality.quantity_reconciliation(c.purchases)),
     "date_spine": _q(lambda c: calendar.date_spine(c.sales)),
     "daily_sales_filled": _q(lambda c: calendar.daily_sales_filled(c.sales)),
-    "fan_out": _q(lambda c: batches.batches_per_item(c.medicines)),
-    "weighted_bucket": _q(lambda c: batches.sale_choices(c.sales)),
     "flatten_catalog": _q(lambda c: batches.flatten_catalog(batches.nest_catalog(c.medicines))),
     "sequential_id": _q(
         lambda c: batches.sequential_id(
@@ -161,14 +163,17 @@ TIER_B: dict[str, Query] = {
             ["purchase_date", "purchase_id"], start=10000,
         )
     ),
-    "price_chain": _q(lambda c: batches.price_chain(c.purchases)),
     "discounted_price": _q(lambda c: batches.discounted_price(c.sales)),
-    "batch_dates": _q(lambda c: batches.batch_dates(c.purchases)),
-    "reorder_policy": _q(lambda c: planning.reorder_policy(c.medicines)),
     "eligible_batches": _q(lambda c: batches.eligible_batches(c.sales, c.purchases)),
+    "shelf_life": _q(lambda c: batches.shelf_life(c.purchases)),
+    "margin_audit": _q(lambda c: batches.margin_audit(c.purchases)),
+    "payment_mix": _q(lambda c: sales.payment_mix(c.sales)),
+    "reorder_minimum": _q(
+        lambda c: planning.reorder_minimum(
+            c.medicines, c.sales, c.purchases, c.suppliers, c.reorder, c.clock
+        )
+    ),
     "prescription_flag": _q(lambda c: batches.prescription_flag(c.medicines)),
-    "bill_number": _q(lambda c: batches.bill_number(c.sales)),
-    "package_label": _q(lambda c: batches.package_labels(c.medicines)),
 }
 
 

@@ -9,6 +9,7 @@ spreadsheet exports); nothing is collected on the driver.
 
 usage: python -m shelfwise.plans.script --tables DIR --fmt csv|parquet --out DIR
                                         [--as-of 2026-02-17T12:00] [--master local[4]]
+                                        [--allow-missing]
 (under spark-submit the master comes from the submit command)
 """
 
@@ -30,10 +31,9 @@ from shelfwise.sources.checks import MissingInputError
 CSV_EXPORTS = ("export_stock_status", "export_expiry")
 
 
-def report_frames(ctx: InventoryContext) -> dict[str, Callable[[], DataFrame]]:
+def report_frames(ctx: InventoryContext, allow_missing: bool = False) -> dict[str, Callable[[], DataFrame]]:
     """The script's result sets, in order, each built on demand over one
-    materialized stock summary (a section whose input table is missing is
-    skipped on its own, as the reference's per-section guards do)."""
+    materialized stock summary."""
     c = ctx.clock
 
     def summary() -> DataFrame:
@@ -43,7 +43,7 @@ def report_frames(ctx: InventoryContext) -> dict[str, Callable[[], DataFrame]]:
 
     return {
         "table_row_counts": lambda: kpi.table_row_counts(
-            {t: ctx.tables[t] for t in ctx.tables if _present(ctx, t)}),
+            {t: ctx.tables[t] for t in ctx.tables if not allow_missing or _present(ctx, t)}),
         "current_stock_summary": lambda: stock.stock_summary_report(summary()),
         "low_stock_alert": lambda: stock.low_stock_alert(summary(), ctx.reorder),
         "expiry_alert": lambda: expiry.expiry_alert(ctx.purchases, ctx.medicines, c),
@@ -69,20 +69,22 @@ def _present(ctx: InventoryContext, table: str) -> bool:
         return False
 
 
-def run_report(ctx: InventoryContext, out_dir: str) -> dict[str, int | None]:
+def run_report(ctx: InventoryContext, out_dir: str, allow_missing: bool = False) -> dict[str, int | None]:
     """Write every result set under ``out_dir``.
 
     Returns rows written per result (the reference's "rows returned"
     messages), taken from ``observe`` metrics gathered by the write itself,
-    so no second job counts the rows; ``None`` marks a section skipped
-    because one of its input tables is missing.
+    so no second job counts the rows. A missing table or column stops the
+    run; with ``allow_missing`` its sections are skipped and marked ``None``.
     """
     written: dict[str, int | None] = {}
     try:
-        for name, build in report_frames(ctx).items():
+        for name, build in report_frames(ctx, allow_missing).items():
             try:
                 df = build()
             except MissingInputError:
+                if not allow_missing:
+                    raise
                 written[name] = None
                 continue
             path = subdir(out_dir, name)
@@ -103,14 +105,18 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--tables", required=True, help="folder with <table>.csv or <table>.parquet")
     ap.add_argument("--fmt", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--out", required=True)
-    ap.add_argument("--as-of", default=None, help="ISO timestamp; default: the test clock")
+    ap.add_argument("--as-of", default=None, help="ISO timestamp; default: now (UTC)")
+    ap.add_argument("--allow-missing", action="store_true",
+                    help="skip sections whose tables are missing (exit code 3)")
     ap.add_argument("--master", default=None, help="Spark master when not run by spark-submit")
     args = ap.parse_args(argv)
     spark: SparkSession = build_session(args.master)
-    kwargs = {"as_of": args.as_of} if args.as_of else {}
-    ctx = InventoryContext.from_files(spark, args.tables, args.fmt, **kwargs)
-    for name, rows in run_report(ctx, args.out).items():
+    ctx = InventoryContext.from_files(spark, args.tables, args.fmt, as_of=args.as_of)
+    written = run_report(ctx, args.out, args.allow_missing)
+    for name, rows in written.items():
         print(f"{name}: " + ("skipped (missing input)" if rows is None else f"{rows} rows"))
+    if None in written.values():
+        raise SystemExit(3)
 
 
 if __name__ == "__main__":

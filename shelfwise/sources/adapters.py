@@ -6,8 +6,8 @@ filter over one scan (suppliers and sales add one join), so Catalyst prunes
 the columns a query does not read and pushes its filters into the scan.
 
 Orphan facts, suppliers without purchases and items without a reorder rule
-do not occur in the driver tables by themselves; the modulo filters below
-create them so that the outer-join defaults of the queries are exercised.
+do not occur in the driver tables by themselves. No row is dropped to make
+them: some keys are negated, so both sides of a join keep rows without partner.
 """
 
 from __future__ import annotations
@@ -34,10 +34,15 @@ def _day(c: Column) -> Column:
     return c.cast("date")
 
 
+def _negated(key: str, chosen: Column) -> Column:
+    """The key, negated for the chosen rows: a key that no other table has."""
+    return F.when(chosen, -F.col(key)).otherwise(F.col(key)).cast("bigint")
+
+
 def medicines(part: DataFrame) -> DataFrame:
     size = F.col("p_size")
-    return part.where(F.col("p_partkey") % 50 != 7).select(
-        F.col("p_partkey").cast("bigint").alias("medicine_id"),
+    return part.select(
+        _negated("p_partkey", F.col("p_partkey") % 50 == 7).alias("medicine_id"),
         F.col("p_name").alias("medicine_name"),
         F.col("p_type").alias("category"),
         F.when(size % 4 == 0, "Antibiotic")
@@ -73,10 +78,10 @@ def purchases(lineitem: DataFrame) -> DataFrame:
     price = F.col("l_extendedprice").cast(PRICE)
     ship = _day(F.col("l_shipdate"))
     one_plus_tax = F.lit(1).cast("decimal(4,2)") + F.col("l_tax").cast("decimal(4,2)")
-    return lineitem.where(F.col("l_suppkey") % 25 != 3).select(
+    return lineitem.select(
         (F.col("l_orderkey") * 10 + line).cast("bigint").alias("purchase_id"),
         F.col("l_partkey").cast("bigint").alias("medicine_id"),
-        F.col("l_suppkey").cast("bigint").alias("supplier_id"),
+        _negated("l_suppkey", F.col("l_suppkey") % 25 == 3).alias("supplier_id"),
         F.concat(F.lit("B"), (F.col("l_orderkey") % 2700).cast("string")).alias("batch_no"),
         F.date_sub(ship, 730).alias("manufacturing_date"),
         F.when((line == 5) & (qty == 17), F.lit(None).cast("date"))
@@ -115,8 +120,8 @@ def sales(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 def reorder_levels(part: DataFrame) -> DataFrame:
     size = F.col("p_size")
-    return part.where(F.col("p_partkey") % 10 != 0).select(
-        F.col("p_partkey").cast("bigint").alias("medicine_id"),
+    return part.select(
+        _negated("p_partkey", F.col("p_partkey") % 10 == 0).alias("medicine_id"),
         size.cast("int").alias("min_stock_level"),
         (size * 2 + 50).cast("int").alias("max_stock_level"),
         (size * 3 + 20).cast("int").alias("reorder_quantity"),
@@ -125,12 +130,13 @@ def reorder_levels(part: DataFrame) -> DataFrame:
 
 
 def stock_movements(events: DataFrame) -> DataFrame:
-    """Events as signed stock movements: +4 per 'signup', -3 per 'purchase'."""
+    """Events as signed stock movements: +4 per 'signup', -3 per 'purchase',
+    0 for events that move no stock."""
     kind = F.col("event_type")
-    return events.where(kind.isin("signup", "purchase")).select(
+    return events.select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("bigint").alias("medicine_id"),
-        F.when(kind == "signup", 4).otherwise(-3).cast("int").alias("units"),
+        F.when(kind == "signup", 4).when(kind == "purchase", -3).otherwise(0).cast("int").alias("units"),
     )
 
 

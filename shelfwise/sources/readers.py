@@ -16,17 +16,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.sources.checks import MissingInputError
-from shelfwise.sources.schemas import TABLE_SCHEMAS
+from shelfwise.sources.checks import MissingInputError, require_columns
+from shelfwise.sources.schemas import TABLE_SCHEMAS, USED_COLUMNS
 
 CSV_DATE_FORMAT = "dd-MM-yyyy"
 
 
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read one domain table from CSV in the shipped dialect (FAILFAST)."""
+    """Read one domain table from CSV in the shipped dialect (FAILFAST). The
+    header must name the declared columns in their order."""
     return (
         spark.read.schema(TABLE_SCHEMAS[table])
         .option("header", True)
+        .option("enforceSchema", False)
         .option("dateFormat", CSV_DATE_FORMAT)
         .option("mode", "FAILFAST")
         .csv(path)
@@ -36,10 +38,11 @@ def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
 def read_parquet_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read one domain table from Parquet, cast to the declared schema.
 
-    Columns missing from the files come back as typed NULLs, so a narrower
-    export still satisfies every query.
+    A column that some query reads must be there; the other declared columns
+    come back as typed NULLs where the files lack them.
     """
     df = spark.read.parquet(path)
+    require_columns(df, table, USED_COLUMNS[table])
     present = set(df.columns)
     return df.select(
         [
@@ -112,8 +115,8 @@ def export_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "csv",
     (missing ones as typed NULLs); CSV gets a header and the shipped date
     dialect, so ``read_tables(spark, base, "csv")`` reads it back. With
     ``partition_facts`` (Parquet only) the facts are laid out by
-    ``FACT_PARTITIONS``, one directory per day, each written after a shuffle
-    on that day so every day is written by one task into few files."""
+    ``FACT_PARTITIONS``, one directory per day, after a rebalance on that day:
+    a small day is written by one task, a hot day is split over several."""
     root = base.rstrip("/")
     written = []
     for name, df in tables.items():
@@ -127,7 +130,7 @@ def export_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "csv",
             out.write.mode("overwrite").option("header", True).option("dateFormat", date_format).csv(path)
         elif partition_facts and name in FACT_PARTITIONS:
             day = FACT_PARTITIONS[name]
-            write_parquet(out.repartition(day), path, partition_by=[day])
+            write_parquet(out.hint("rebalance", day), path, partition_by=[day])
         else:
             write_parquet(out, path)
         written.append(name)

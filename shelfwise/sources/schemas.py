@@ -93,8 +93,7 @@ TABLE_SCHEMAS = {
     "reorder_levels": REORDER,
 }
 
-# Columns each query family actually reads; readers prune to these so the
-# Parquet scan's ReadSchema stays narrow.
+# Columns that queries read: a Parquet table without one of them is refused.
 USED_COLUMNS = {
     "medicines_master": [
         "medicine_id", "medicine_name", "category", "therapeutic_class",

@@ -15,13 +15,13 @@ def _dist(df, col):
 def test_label_coverage_matches_fixture_table(spark):
     q = registry.all_queries()
     assert _dist(q["current_stock_summary"](spark, SMALL_SF), "stock_status") == {
-        "OUT OF STOCK": 22, "LOW STOCK": 38, "ADEQUATE": 103, "HIGH STOCK": 33}
+        "OUT OF STOCK": 23, "LOW STOCK": 32, "ADEQUATE": 106, "HIGH STOCK": 39}
     assert _dist(q["low_stock_alert"](spark, SMALL_SF), "alert_priority") == {
-        "1-EMERGENCY": 21, "2-CRITICAL - OUT OF STOCK": 14, "3-HIGH - VERY LOW": 7,
+        "1-EMERGENCY": 20, "2-CRITICAL - OUT OF STOCK": 14, "3-HIGH - VERY LOW": 6,
         "4-MEDIUM - LOW STOCK": 9}
     assert _dist(q["emergency_status"](spark, SMALL_SF), "emergency_status") == {
-        "🔴 CRITICAL - OUT OF STOCK": 5, "🟠 EMERGENCY - BELOW NORMAL": 12,
-        "🟡 WARNING - BELOW EMERGENCY LEVEL": 9, "🟢 ADEQUATE": 13}
+        "🔴 CRITICAL - OUT OF STOCK": 4, "🟠 EMERGENCY - BELOW NORMAL": 9,
+        "🟡 WARNING - BELOW EMERGENCY LEVEL": 11, "🟢 ADEQUATE": 15}
     c = registry.context(spark, SMALL_SF)
     assert _dist(sales.sales_movement(c.sales, c.medicines, c.clock), "movement_category") == {
         "NORMAL MOVING": 36, "SLOW MOVING": 100, "VERY SLOW MOVING": 33}
@@ -31,13 +31,16 @@ def test_edge_case_coverage_matches_fixture_table(spark):
     c = registry.context(spark, SMALL_SF)
     pur = c.purchases
     counts = [c.medicines.count(), c.suppliers.count(), pur.count(), c.sales.count(), c.reorder.count()]
-    assert counts == [196, 10, 5383, 6000, 180]
-    assert pur.join(c.medicines, "medicine_id", "left_anti").count() == 108
+    assert counts == [200, 10, 6000, 6000, 200]  # every row of the driver tables
+    raw = [c.spark.read.parquet(f"{SMALL_SF}/{t}.parquet").count() for t in ("part", "supplier", "lineitem")]
+    assert counts[:3] == raw
+    assert pur.join(c.medicines, "medicine_id", "left_anti").count() == 125
+    assert c.medicines.join(c.reorder, "medicine_id", "left_anti").count() == 23
     assert c.suppliers.join(pur, "supplier_id", "left_anti").count() == 1
     assert (pur.where("purchase_price = 0").count(), pur.where("expiry_date IS NULL").count(),
-            pur.where("quantity_remaining = 0").count()) == (13, 11, 832)
+            pur.where("quantity_remaining = 0").count()) == (13, 15, 918)
     live = pur.where(c.clock.after_now(F.col("expiry_date")) & (F.col("quantity_remaining") > 0))
     d = c.clock.days_until(F.col("expiry_date"))
     band = (F.when(d <= 7, 7).when(d <= 15, 15).when(d <= 30, 30).when(d <= 60, 60)
             .when(d <= 90, 90).otherwise(999))
-    assert _dist(live.withColumn("b", band), "b") == {7: 14, 15: 19, 30: 24, 60: 61, 90: 47, 999: 280}
+    assert _dist(live.withColumn("b", band), "b") == {7: 17, 15: 20, 30: 28, 60: 66, 90: 49, 999: 309}

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.functions.clock import DEFAULT_AS_OF, Clock
 from shelfwise.functions.exact import half_up_ratio
 from shelfwise.operators import batches, joins
 from shelfwise.plans.context import STOCK_VIEW, InventoryContext
@@ -129,7 +130,7 @@ def test_report_run_writes_every_result_from_files(spark, tmp_dir):
     src = InventoryContext.from_driver(spark, SMALL_SF)
     for name in schemas.TABLE_SCHEMAS:
         readers.write_parquet(src.tables[name], f"{tmp_dir}/tables/{name}.parquet")
-    ctx = InventoryContext.from_files(spark, f"{tmp_dir}/tables", "parquet")
+    ctx = InventoryContext.from_files(spark, f"{tmp_dir}/tables", "parquet", as_of=DEFAULT_AS_OF)
     written = script.run_report(ctx, f"{tmp_dir}/out")
     assert len(written) == 13
     assert not spark.catalog.tableExists(STOCK_VIEW)
@@ -160,7 +161,7 @@ def test_csv_tables_without_sales_file(spark, tmp_dir):
     src = InventoryContext.from_driver(spark, SMALL_SF)
     keep = ("medicines_master", "purchases_transactions", "reorder_levels", "suppliers_master")
     readers.export_tables({t: src.tables[t] for t in keep}, tmp_dir, "csv")
-    ctx = InventoryContext.from_files(spark, tmp_dir, "csv")
+    ctx = InventoryContext.from_files(spark, tmp_dir, "csv", as_of=DEFAULT_AS_OF)
     got = stock.current_stock_summary(ctx.medicines, ctx.purchases, ctx.clock)
     assert got.count() == src.medicines.count()
     assert got.agg(F.sum("current_stock")).first()[0] == src.stock_summary().agg(
@@ -169,7 +170,9 @@ def test_csv_tables_without_sales_file(spark, tmp_dir):
         ctx.sales
     from shelfwise.plans import script
 
-    written = script.run_report(ctx, f"{tmp_dir}/out")
+    with pytest.raises(checks.MissingInputError):
+        script.run_report(ctx, f"{tmp_dir}/none")
+    written = script.run_report(ctx, f"{tmp_dir}/out", allow_missing=True)
     assert written["sales_movement_top20"] is None and written["executive_kpis"] is None
     assert written["low_stock_alert"] == stock.low_stock_alert(src.stock_summary(), src.reorder).count()
     assert written["table_row_counts"] == 4
@@ -209,7 +212,7 @@ def test_partitioned_facts_prune_by_clock_and_give_the_same_results(spark, tmp_d
     pur = src.purchases.where("expiry_date IS NULL OR expiry_date BETWEEN '2001-01-01' AND '2001-06-30'")
     tables = {"purchases_transactions": pur, "medicines_master": src.medicines}
     readers.export_tables(tables, tmp_dir, "parquet", partition_facts=True)
-    ctx = InventoryContext.from_files(spark, tmp_dir, "parquet")
+    ctx = InventoryContext.from_files(spark, tmp_dir, "parquet", as_of=DEFAULT_AS_OF)
     alert = expiry.expiry_alert(ctx.purchases, ctx.medicines, ctx.clock)
     plan = alert._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*expiry_date", plan), plan
@@ -231,10 +234,92 @@ def test_report_cli_runs_on_exported_csv_tables(spark, tmp_dir):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     res = subprocess.run(
         [sys.executable, "-m", "shelfwise.plans.script", "--tables", f"{tmp_dir}/tables",
-         "--fmt", "csv", "--out", f"{tmp_dir}/out", "--master", "local[2]"],
+         "--fmt", "csv", "--out", f"{tmp_dir}/out", "--master", "local[2]", "--as-of", "2001-03-01T12:00"],
         cwd=root, capture_output=True, text=True, timeout=600,
         env={**os.environ, "SPARK_LOCAL_IP": "127.0.0.1"},
     )
     assert res.returncode == 0, res.stderr[-2000:]
     lines = [ln for ln in res.stdout.splitlines() if ": " in ln]
-    assert len(lines) == 13 and "low_stock_alert: 51 rows" in res.stdout
+    assert len(lines) == 13 and "low_stock_alert: 49 rows" in res.stdout
+
+
+def test_sequential_id_on_a_wide_table(spark):
+    """Two million rows, eight ranges and a column beside the order key."""
+    n = 2_000_000
+    df = spark.range(n).select((F.col("id") % 1000).alias("k"), F.col("id").alias("tie"), F.sha1(F.col("id").cast("string")).alias("x"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = batches.sequential_id(df, ["k", "tie"])
+        got = out.agg(F.count("*"), F.countDistinct("seq_id"), F.min("seq_id"), F.max("seq_id")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(got) == (n, n, 1, n)
+
+
+def _reorder_csv(path, header):
+    with open(path, "w", newline="") as fh:
+        fh.write(header + "\r\n1000,37,246,170,7,01-02-2026\r\n")
+
+
+@pytest.mark.parametrize("header", [
+    "medicine_id,max_stock_level,min_stock_level,reorder_quantity,safety_stock_days,last_updated",
+    "medicine_id,minimum,max_stock_level,reorder_quantity,safety_stock_days,last_updated"])
+def test_csv_with_another_header_is_refused(spark, tmp_dir, header):
+    _reorder_csv(f"{tmp_dir}/reorder.csv", header)
+    with pytest.raises(Exception, match="CSV header"):
+        readers.read_csv_table(spark, f"{tmp_dir}/reorder.csv", "reorder_levels").collect()
+
+
+def test_parquet_without_a_needed_column_is_refused(spark, tmp_dir):
+    src = InventoryContext.from_driver(spark, SMALL_SF)
+    src.purchases.withColumnRenamed("expiry_date", "expiry").write.parquet(f"{tmp_dir}/p.parquet")
+    with pytest.raises(checks.MissingInputError, match="expiry_date"):
+        readers.read_parquet_table(spark, f"{tmp_dir}/p.parquet", "purchases_transactions")
+
+
+def test_runs_read_the_time_and_registered_queries_a_pinned_clock(spark):
+    before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    ctx = InventoryContext(spark, {})
+    assert dt.timedelta(0) <= ctx.clock.as_of - before < dt.timedelta(minutes=5)
+    assert InventoryContext.from_driver(spark, SMALL_SF).clock == Clock.at(DEFAULT_AS_OF)
+
+
+def test_forecast_of_an_endless_cover_has_no_date(spark):
+    from shelfwise.operators import planning
+
+    day = DEFAULT_AS_OF.date()
+    med = spark.createDataFrame([(1,)], "medicine_id long")
+    sold = spark.createDataFrame([(1, 1, day)], "medicine_id long, quantity_sold int, sale_date date")
+    pur = spark.createDataFrame([(1, 1, 2_000_000_000, day + dt.timedelta(days=90))],
+                                "medicine_id long, supplier_id long, quantity_remaining int, expiry_date date")
+    sup = spark.createDataFrame([(1, 3)], "supplier_id long, lead_time_days int")
+    rule = spark.createDataFrame([(1, 5)], "medicine_id long, safety_stock_days int")
+    row = planning.stockout_forecast(med, sold, pur, sup, rule, Clock.at(DEFAULT_AS_OF)).first()
+    assert row.cover_days == 60_000_000_000 and row.stockout_date is None and row.reorder_alert == "NO"
+
+
+def test_result_order(spark):
+    """Rows come in the order of the report: S1, S2, S3, S5, S6."""
+    from shelfwise.plans import registry
+
+    q = registry.all_queries()
+    keys = {
+        "current_stock_summary": lambda r: -r.current_stock,
+        "low_stock_alert": lambda r: (r.alert_priority, r.current_stock),
+        "expiry_alert": lambda r: (r.expiry_date, -r.quantity_remaining),
+        "stock_by_name": lambda r: r.current_stock,
+        "export_stock_status": lambda r: r.medicine_name,
+        "category_valuation": lambda r: -r.total_investment,
+    }
+    for name, key in keys.items():
+        got = [key(r) for r in q[name](spark, SMALL_SF).collect()]
+        assert got == sorted(got) and len(got) > 1, name
+
+
+def test_catalog_of_many_entries_is_flattened(spark):
+    nested = spark.createDataFrame(
+        [({"a": [("x", 1), ("y", 2)], "b": [("z", 3)]},), ({"a": [("w", 4)]},), ({},)],
+        "catalog map<string, array<struct<name: string, pack: bigint>>>")
+    got = sorted(map(tuple, batches.flatten_catalog(nested).collect()))
+    assert got == [("a", "w", 4), ("a", "x", 1), ("a", "y", 2), ("b", "z", 3)]

@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from shelfwise.plans import oracle, registry
 from tests.compare import compare, duck_connection
 from tests.conftest import SMALL_SF
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.all_queries()
+ORACLE = oracle.oracle_queries()
 
 
 @pytest.fixture(scope="module")
