@@ -33,7 +33,7 @@ from shelfwise.llm import anchors, common
 WINDOW = 20
 GRAM = 5
 STEP = 4  # words per symbol
-GROUP_ROWS = 500_000
+GROUP_ROWS = 100_000
 SALTS = 64
 
 
