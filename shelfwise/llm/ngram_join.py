@@ -11,7 +11,8 @@ frequency. Hot are those that more than ``HOT`` classes hold among their
 smallest hashes, counted over all documents. Every class picks the l from 1 to ``LEVELS`` with the least
 estimated cost, prefix entries read plus sets compared; the expected
 candidates of a hot shingle are its count, those of the others one each. A
-pair is compared only if it shares min(l, l') prefix shingles.
+pair is compared only if it shares min(l, l') prefix shingles, counted no
+further than the sizes of both allow.
 
 The scan keeps the smallest hashes of a set, some more than the first prefix.
 Classes whose prefix reaches into hot shingles (near copies in large groups,
@@ -160,26 +161,32 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
 def cross_pairs(entries: DataFrame, prefix: DataFrame, root: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share enough prefix shingles.
 
-    Pairs that meet in a large bucket count their matches by the prefixes, and
-    only at the first large bucket they share; all others meet in small
+    Two sets of n and m reach the similarity with need = ceil(percent * (n + m)
+    / (100 + percent)) common shingles, so a pair counts only matches among its
+    first n - need + l and m - need + l. Pairs that meet there in a large
+    bucket are made at the smallest such token; all others meet in small
     buckets only, and their meetings are their matches.
     """
     d = entries.join(common.broadcast_if_small(root, 48), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = d.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    d = common.cut(d.join(mixed, "token").select("token", "cls", "n", "l", "root", "large"), "ngram-mixed")
+    d = common.cut(d.join(mixed, "token").select("token", "at", "cls", "n", "l", "root", "large"), "ngram-mixed")
+    least = F.least("a.l", "b.l")
+    # What this pair may miss on either side is known once both sizes are: never more than the width of its prefix.
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+    reach_a, reach_b = ((F.col(f"{x}.n") - need + least).cast("int") for x in "ab")
 
     def meet(side: DataFrame, more=None) -> DataFrame:
         a, b = side.alias("a"), side.alias("b")
         on = ((F.col("a.token") == F.col("b.token")) & (F.col("a.cls") > F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
-              & close(F.col("a.n"), F.col("b.n"), percent))
+              & close(F.col("a.n"), F.col("b.n"), percent) & (F.col("a.at") < reach_a) & (F.col("b.at") < reach_b))
         return a.join(b, on if more is None else on & more).select(
-            F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.least("a.l", "b.l").alias("l"))
+            F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), least.alias("l"))
 
     small = meet(d.where(~F.col("large"))).groupBy("u", "v").agg(F.count("*").alias("k"), F.first("l").alias("l")).where("k >= l")
     large = d.where("large")
-    held = large.groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("tops")).join(prefix.select("cls", "prefix").dropDuplicates(["cls"]), "cls")
-    enough = (F.array_min(F.array_intersect("a.tops", "b.tops")) == F.col("a.token")) & (
-        F.size(F.array_intersect("a.prefix", "b.prefix")) >= F.least("a.l", "b.l"))
+    held = large.groupBy("cls").agg(F.collect_set("token").alias("tops")).join(prefix.select("cls", "prefix").dropDuplicates(["cls"]), "cls")
+    both = F.array_intersect(F.slice("a.prefix", F.lit(1), reach_a), F.slice("b.prefix", F.lit(1), reach_b))
+    enough = (F.size(both) >= least) & (F.array_min(F.array_intersect(both, "a.tops")) == F.col("a.token"))
     return small.select("u", "v").unionByName(meet(large.join(held, "cls"), enough).select("u", "v")).distinct()
 
 
@@ -212,7 +219,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     none = F.array().cast("array<struct<df:bigint,token:bigint>>").alias("hot")
     prefix = prefixes(near.where("cold is not null").select("cls", "doc_id", "n", none, "cold").unionByName(
         ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold")), percent)
-    entries = prefix.select("cls", "doc_id", "n", "l", "own", F.explode("prefix").alias("token"))
+    entries = prefix.select("cls", "doc_id", "n", "l", "own", F.posexplode("prefix").alias("at", "token"))
     often = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token", (F.col("k") > LARGE).alias("large"))
     entries = common.cut(entries.join(common.broadcast_if_small(common.cut(often, "ngram-often"), 16), "token"), "ngram-entries")
 
