@@ -138,9 +138,11 @@ def prefixes(d: DataFrame, percent: int) -> DataFrame:
     d = d.withColumn("width", _width(F.col("n"), percent)).withColumn("own", F.size("cold"))
     work = F.aggregate("hot", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["df"])))
     d = d.withColumn("work", work).withColumn("order", F.concat("cold", "hot.token")).withColumn("known", F.size("order"))
+    # Most candidates are of about the same size, and meet within this much narrower part of the prefix.
+    d = d.withColumn("alike", (F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).cast("int"))
 
     def cost(level: Column) -> Column:
-        reach = F.least(F.col("known"), F.col("width") + level)
+        reach = F.least(F.col("known"), F.col("alike") + level)
         entries = F.least(reach, F.col("own")) + F.element_at("work", F.greatest(reach - F.col("own"), F.lit(0)) + 1)
         return F.struct((entries * (1 + F.col("n") * COMPARE / level)).alias("cost"), level.alias("l"))
 
@@ -200,6 +202,17 @@ def whole_sets(text: DataFrame, chosen: DataFrame, k: int, percent: int, name: s
     return sets if names[0] == names[1] else sets.dropDuplicates(["cls"])  # repeated rows
 
 
+def merged(root: DataFrame, cross: DataFrame) -> DataFrame:
+    """(cls, root) after the links ``cross`` between components: only their roots meet again."""
+    for end in "uv":
+        to = root.select(F.col("cls").alias(end), F.col("root").alias("to"))
+        cross = cross.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    top = components(cross).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rest = top.where("root <> top").join(root.select("root").distinct(), "root", "left_anti")
+    old = root.join(top, "root", "left").select("cls", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(rest.select(F.col("root").alias("cls"), F.col("top").alias("root")))
+
+
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id, cls of every row; links between classes)."""
     text = docs.select("doc_id", "text")
@@ -227,9 +240,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     star = common.cut(compare(pairs, entries, text, k, percent), "ngram-star")
     root = common.cut(components(star).select(F.col("node").alias("cls"), "root"), "ngram-root")
     pairs = common.cut(cross_pairs(entries, prefix, root, percent), "ngram-cross-pairs")
-    links = star.unionByName(common.cut(compare(pairs, entries, text, k, percent), "ngram-cross"))
+    cross = common.cut(compare(pairs, entries, text, k, percent), "ngram-cross")
+    links = star.unionByName(cross)
 
-    root = components(links).select(F.col("node").alias("cls"), "root")
+    root = merged(root, cross)
     named = names.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = named.join(least, "root").select("cls", "component_id")
