@@ -20,7 +20,7 @@ boilerplate) read their text once more for the whole set; so do the classes
 of the pairs that are compared.
 
 Large groups of near copies: each prefix shingle of over ``LARGE`` classes names
-the most central class of its bucket (fewest shingles of its own), every class is compared with those,
+the most central class of its bucket (fewest rarer shingles), every class is compared with those,
 and the links found form components. The join proper then leaves out pairs
 that are in one component already: they can't change the classes. No other
 pair is left out, so the components are those of all links, while a group of
@@ -155,7 +155,7 @@ def prefixes(d: DataFrame, percent: int) -> DataFrame:
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Every class of a large bucket with the most central one of the bucket."""
     large = entries.where("large")
-    hub = large.groupBy("token").agg(F.min(F.struct("own", "cls", "n")).alias("hub"))
+    hub = large.groupBy("token").agg(F.min(F.struct("at", "cls", "n")).alias("hub"))
     met = large.join(hub, "token").where((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n"), percent))
     return met.select(F.greatest("cls", F.col("hub.cls")).alias("u"), F.least("cls", F.col("hub.cls")).alias("v")).distinct()
 
