@@ -8,7 +8,8 @@ need = ceil(similarity * max(n, m)) shingles, and in any order common to all
 sets the first n - need + l of one and m - need + l of the other share at
 least l. The order is: shingles that are not hot by hash, then hot ones by
 frequency. Hot are those that more than ``HOT`` classes hold among their
-smallest hashes, counted over all documents. Every class picks the l from 1 to ``LEVELS`` with the least
+smallest hashes, counted over all documents, or in the whole sets of those
+that are read once more for it. Every class picks the l from 1 to ``LEVELS`` with the least
 estimated cost, prefix entries read plus sets compared; the expected
 candidates of a hot shingle are its count, those of the others one each. A
 pair is compared only if it shares min(l, l') prefix shingles, counted no
@@ -229,6 +230,13 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
         F.size("cold") > width, F.slice("cold", F.lit(1), width + LEVELS)).alias("cold"))
     near = common.cut(near, "ngram-near")
     deep = whole_sets(text, common.cut(near.where("cold is null").select("cls", "doc_id"), "ngram-deep-names"), k, percent, "ngram-deep")
+    # Whole sets show frequent shingles that are not among the smallest hashes: those count as hot as well, for all classes.
+    full = deep.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > HOT)
+    more = common.cut(full.join(common.broadcast_if_small(hot.select("token"), 16), "token", "left_anti"), "ngram-more-hot")
+    hot = common.cut(hot.unionByName(full).groupBy("token").agg(F.max("df").alias("df")), "ngram-all-hot")
+    left = ordered(near.where("cold is not null").select("cls", "doc_id", "n", F.col("cold").alias("tokens")), more)
+    near = common.cut(left.select("cls", "doc_id", "n", F.when(F.size("cold") > width, F.col("cold")).alias("cold")), "ngram-near")
+    deep = deep.unionByName(whole_sets(text, common.cut(near.where("cold is null").select("cls", "doc_id"), "ngram-deep-names"), k, percent, "ngram-deep"))
     none = F.array().cast("array<struct<df:bigint,token:bigint>>").alias("hot")
     prefix = prefixes(near.where("cold is not null").select("cls", "doc_id", "n", none, "cold").unionByName(
         ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold")), percent)
