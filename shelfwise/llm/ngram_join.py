@@ -98,13 +98,13 @@ def _sets(k: int, percent: int, whole: bool):
                 kept = pa.array(h[common.ranges(ends[:-1], width)])
                 at = pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(at, kept)],
-                    ["doc_id", "n", "cls", "tokens"])
+                    [part.column("doc_id"), part.column("key"), pa.array(size, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(at, kept)],
+                    ["doc_id", "key", "n", "cls", "tokens"])
 
     return run
 
 
-_SCHEMA = "doc_id bigint, n bigint, cls binary, tokens array<bigint>"
+_SCHEMA = "doc_id bigint, key bigint, n bigint, cls binary, tokens array<bigint>"
 
 
 def close(n: Column, m: Column, percent: int) -> Column:
@@ -214,9 +214,10 @@ def merged(root: DataFrame, cross: DataFrame) -> DataFrame:
     return old.unionByName(rest.select(F.col("root").alias("cls"), F.col("top").alias("root")))
 
 
-def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id, cls of every row; links between classes)."""
-    text = docs.select("doc_id", "text")
+def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, n, cls of every row, key being the hash of its text; cls and
+    root of every linked class; links between classes)."""
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     rows = common.cut(text.mapInArrow(_sets(k, percent, False), _SCHEMA), "ngram-rows")
     names = rows.where("cls is not null")
     copied = common.cut(names.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").select("cls", "least"), "ngram-copied")
@@ -249,9 +250,13 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     root = common.cut(components(star).select(F.col("node").alias("cls"), "root"), "ngram-root")
     pairs = common.cut(cross_pairs(entries, prefix, root, percent), "ngram-cross-pairs")
     cross = common.cut(compare(pairs, entries, text, k, percent), "ngram-cross")
-    links = star.unionByName(cross)
+    return rows.select("doc_id", "key", "n", "cls"), merged(root, cross), star.unionByName(cross)
+
 
-    root = merged(root, cross)
+def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, component_id, cls of every row; links between classes)."""
+    rows, root, links = grouped(docs, k, percent)
+    names = rows.where("cls is not null")
     named = names.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = named.join(least, "root").select("cls", "component_id")
@@ -268,20 +273,28 @@ def compare(pairs: DataFrame, entries: DataFrame, text: DataFrame, k: int, perce
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the document of smallest id of each group; rows without
+    """``docs`` with one row of each group, that of the smallest id (null last;
+    ties by class and text hash). Groups are told apart by their root and rows by
+    id and text hash, as ids may be null or name several texts. Rows without
     shingles are in no group and stay."""
-    rows = join(docs, k, percent)[0]
-    stay = rows.where(F.col("cls").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "cls")
-    one = stay.where(F.col("cls").isNotNull()).groupBy("doc_id").agg(F.min("cls").alias("cls"), F.count("*").alias("n"))
-    one = common.cut(one.unionByName(stay.where(F.col("cls").isNull()).select("doc_id", "cls", F.lit(1).cast("long").alias("n"))), "ngram-keep")
-    names = one.select("doc_id").distinct()
-    left = docs.join(common.broadcast_if_small(names.withColumnRenamed("doc_id", "__id"), 16), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if one.where("n > 1").isEmpty():
-        return left
-    # Ids that name several rows of a group: one row each stays (rows without words are told apart by text).
-    again = one.where("n > 1").select(F.col("doc_id").alias("__id"))
-    dup = left.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return left.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").unionByName(dup.dropDuplicates(["doc_id"]))
+    rows, root, _ = grouped(docs, k, percent)
+    # Rows equal in id and text, then classes, then groups: each step has few rows left for the next.
+    same = rows.where("cls is not null").groupBy("cls", "doc_id", "key").agg(F.count("*").alias("n"))
+    least = same.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("m"))
+    one = least.join(root, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(
+        F.min(F.struct("m.none", "m.doc_id", "cls", "m.key", "m.n")).alias("m")).select("m.doc_id", "m.key", "m.n")
+    bare = rows.where("cls is null").select("doc_id", "key", F.lit(1).cast("long").alias("n")).distinct()
+    one = common.cut(one.unionByName(bare).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "n"), "ngram-keep")
+    d = docs.withColumn("__key", F.xxhash64("text"))
+
+    def named(which: str) -> DataFrame:
+        names = one.where(which).select("__id", "__k")
+        return d.join(common.broadcast_if_small(names, 24), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
+
+    left = named("n = 1")
+    if not one.where("n > 1").isEmpty():  # repeated rows: one of them stays
+        left = left.unionByName(named("n > 1").dropDuplicates(["doc_id", "__key"]))
+    return left.select(*docs.columns)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,59 @@ def test_large_group_of_near_copies_is_one_component(spark):
     assert all(got[i] == 0 for i in range(81)) and all(got[i] == i for i in range(81, 121))
 
 
+def _groups(rows, k, percent):
+    """Root of every row with shingles, None for the others, by all pairs."""
+    sets = [_shingles(r[1], k) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) if sets[i] else None for i in range(len(rows))]
+
+
+def _holds_one_of_each_group(got, rows, k, percent):
+    """Every row without shingles, and of each group one row of its smallest id."""
+    group, left = _groups(rows, k, percent), list(got)
+    for i, g in enumerate(group):
+        if g is None:
+            left.remove(rows[i])
+    for g in {g for g in group if g is not None}:
+        own = [r for r, h in zip(rows, group) if h == g]
+        ids = [r[0] for r in own if r[0] is not None]
+        least = [r for r in own if r[0] == (min(ids) if ids else None)]
+        hits = [r for r in left if r in least]
+        assert len(hits) == 1, (g, len(hits))
+        left.remove(hits[0])
+    assert not left
+
+
+def test_near_duplicate_stage_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"q{rng.randrange(10 ** 6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, text(), "x") for _ in range(12)]
+    rows += [(None, c, "x"), (None, c + " more", "x"), (None, c, "x")]  # a group of null ids only
+    rows += [(7, a, "x"), (7, b, "x"), (7, a, "x")]  # unlinked texts of one id, one of them twice
+    rows += [(1, d, "x"), (9, d + " more", "x"), (9, e, "x"), (None, e + " more", "x")]  # a copy with the id of a row that stays
+    rows += [(None, None, "x"), (None, "", "x"), (None, " ", "x"), (7, None, "x"), (7, "", "x"), (7, "", "x")]
+    df = common.cut(spark.createDataFrame(rows, "doc_id bigint, text string, key string"), "test-keep")
+    got = [tuple(r) for r in ngram_join.keep_one(df).collect()]
+    _holds_one_of_each_group(got, rows, 5, 80)
+
+
+def test_near_duplicate_stage_equals_all_pairs(docs, empty):
+    got = [tuple(r) for r in ngram_join.keep_one(docs).collect()]
+    _holds_one_of_each_group(got, _rows(), 5, 80)
+    assert ngram_join.keep_one(empty).count() == 0
+
+
 def test_shards_are_gapless_and_even(docs, empty):
     out, versions = sharding.shard(docs, 4, 64)
     rows = out.collect()
