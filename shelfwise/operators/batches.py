@@ -18,6 +18,8 @@ from shelfwise.sources.schemas import PRICE
 # Fixed value: classes sold on prescription only.
 PRESCRIPTION_CLASSES = ("Antibiotic", "Hormone")
 SHORT_DATED_DAYS = 180
+# Most items of one nested catalog row.
+CATALOG_ITEMS = 1 << 13
 
 
 def shelf_life(purchases: DataFrame, short_days: int = SHORT_DATED_DAYS) -> DataFrame:
@@ -103,12 +105,20 @@ def prescription_flag(medicines: DataFrame) -> DataFrame:
     )
 
 
-def nest_catalog(medicines: DataFrame) -> DataFrame:
-    """One catalog per manufacturer: map<category, array<struct<name, pack>>>."""
+def nest_catalog(medicines: DataFrame, most: int = CATALOG_ITEMS) -> DataFrame:
+    """Catalogs of a manufacturer, each map<category, array<struct<name, pack>>>
+    of at most ``most`` items.
+
+    A manufacturer may hold any share of the items, so none is collected whole:
+    items are dealt by position inside the input partitions, and every chunk of
+    ``most`` rows of one partition is nested by itself, per manufacturer.
+    """
     entry = F.struct(F.col("medicine_name").alias("name"), F.col("medicine_id").alias("pack"))
-    items = medicines.groupBy("manufacturer", "category").agg(F.collect_list(entry).alias("items"))
-    return items.groupBy("manufacturer").agg(
-        F.map_from_entries(F.collect_list(F.struct("category", "items"))).alias("catalog"))
+    dealt = medicines.select("manufacturer", "category", entry.alias("_entry"), F.monotonically_increasing_id().alias("_at"))
+    dealt = dealt.withColumn("_chunk", F.col("_at") - F.pmod("_at", F.lit(most)))
+    items = dealt.groupBy("manufacturer", "_chunk", "category").agg(F.collect_list("_entry").alias("items"))
+    return items.groupBy("manufacturer", "_chunk").agg(
+        F.map_from_entries(F.collect_list(F.struct("category", "items"))).alias("catalog")).drop("_chunk")
 
 
 def flatten_catalog(nested: DataFrame, column: str = "catalog") -> DataFrame:

@@ -323,3 +323,15 @@ def test_catalog_of_many_entries_is_flattened(spark):
         "catalog map<string, array<struct<name: string, pack: bigint>>>")
     got = sorted(map(tuple, batches.flatten_catalog(nested).collect()))
     assert got == [("a", "w", 4), ("a", "x", 1), ("a", "y", 2), ("b", "z", 3)]
+
+
+def test_catalogs_of_a_hot_manufacturer_are_bounded(spark):
+    df = spark.range(30_000).select(
+        F.when(F.col("id") < 29_000, "hot").otherwise(F.concat(F.lit("b"), F.col("id") % 7)).alias("manufacturer"),
+        F.concat(F.lit("c"), F.col("id") % 5).alias("category"),
+        F.concat(F.lit("n"), F.col("id") % 1000).alias("medicine_name"), F.col("id").alias("medicine_id"))
+    nested = batches.nest_catalog(df.repartition(2, "manufacturer"))
+    sizes = [(len(r.catalog), sum(map(len, r.catalog.values()))) for r in nested.collect()]
+    assert max(n for _, n in sizes) <= 10_000 and max(c for c, _ in sizes) == 5
+    got = sorted(map(tuple, batches.flatten_catalog(nested).collect()))
+    assert got == sorted(map(tuple, df.select("category", "medicine_name", "medicine_id").collect()))
