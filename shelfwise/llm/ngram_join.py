@@ -25,7 +25,13 @@ the most central class of its bucket (fewest rarer shingles), every class is com
 and the links found form components. The join proper then leaves out pairs
 that are in one component already: they can't change the classes. No other
 pair is left out, so the components are those of all links, while a group of
-m near copies costs about m comparisons in place of m squared.
+m near copies costs about m comparisons in place of m squared. The links that
+``join`` returns are therefore spanning links, enough for the components.
+
+All links are inside components, so ``link_counts`` compares every two classes
+of a component for the number of links: components are dealt in blocks of at
+most about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles, every two blocks
+meet in a task, and only a count per class and block pair leaves it.
 
 Null and empty texts have no shingle, class or link: their component is their
 own id. Rows with equal text are linked, also if ids repeat; null ids don't
@@ -57,6 +63,12 @@ SPARE = 16
 SLICE_BYTES = 1 << 20
 # Cost of comparing two sets, in prefix entries, per shingle of the set.
 COMPARE = 0.05
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 19
+# Small components that are counted together in one task hold about this many shingles.
+BUNDLE_SHINGLES = 1 << 20
+# Shingles of two blocks that are multiplied at once.
+COLUMNS = 4096
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +228,7 @@ def merged(root: DataFrame, cross: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, key, n, cls of every row, key being the hash of its text; cls and
-    root of every linked class; links between classes)."""
+    root of every linked class; spanning links between classes)."""
     text = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     rows = common.cut(text.mapInArrow(_sets(k, percent, False), _SCHEMA), "ngram-rows")
     names = rows.where("cls is not null")
@@ -254,7 +266,7 @@ def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Da
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id, cls of every row; links between classes)."""
+    """(doc_id, n_shingles, component_id, cls of every row; spanning links between classes)."""
     rows, root, links = grouped(docs, k, percent)
     names = rows.where("cls is not null")
     named = names.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -272,6 +284,97 @@ def compare(pairs: DataFrame, entries: DataFrame, text: DataFrame, k: int, perce
     return verify(pairs, whole_sets(text, chosen, k, percent, "ngram-sets"), percent)
 
 
+def common_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of shingles that each set of ``a`` shares with each of ``b``."""
+    out = np.zeros((len(a), len(b)))
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(flat_a, flat_b)
+    sides = []
+    for sets, flat in ((a, flat_a), (b, flat_b)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(both, flat)
+        held = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == flat) if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((row[held][order], at[held][order]))
+    for start in range(0, len(both), COLUMNS):
+        m = []
+        for sets, (row, at) in zip((a, b), sides):
+            lo, hi = np.searchsorted(at, [start, start + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, len(both) - start)), np.float32)
+            part[row[lo:hi], at[lo:hi] - start] = 1
+            m.append(part)
+        out += m[0] @ m[1].T  # at most COLUMNS a cell, exact
+    return out
+
+
+def _count_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        copies = table.column("copies").to_numpy()
+        roots = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        tokens = table.column("tokens").combine_chunks()
+        flat, ends = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
+        classes, rows = np.zeros(len(side), np.int64), np.zeros(len(side), np.int64)
+        order = np.argsort(roots, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            # Side 0 meets side 1; side 2 is a block that meets itself.
+            whole = bool(side[group[0]] == 2)
+            a = group if whole else group[side[group] == 0]
+            b = group if whole else group[side[group] == 1]
+            if not len(a) or not len(b):
+                continue
+            set_a = [flat[ends[i]:ends[i + 1]] for i in a]
+            set_b = set_a if whole else [flat[ends[i]:ends[i + 1]] for i in b]
+            both = common_shingles(set_a, set_b)
+            sizes = np.add.outer([len(x) for x in set_a], [len(x) for x in set_b])
+            link = both * 100 >= (sizes - both) * percent
+            if whole:
+                np.fill_diagonal(link, False)
+            classes[a] += link.sum(1)
+            rows[a] += link @ copies[b]
+            if not whole:
+                classes[b] += link.sum(0)
+                rows[b] += copies[a] @ link
+        out = pa.table({"cls": table.column("cls"), "n_classes": classes, "n_rows": rows})
+        return out.filter(pc.greater(out.column("n_classes"), 0))
+
+    return run
+
+
+def link_counts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_links (other rows that reach the similarity, copies included)
+    and n_classes (different sets among them) of every row."""
+    rows, root, _ = grouped(docs, k, percent)
+    named = rows.where("cls is not null")
+    # Copies of a class count once; the smallest id stands for it (null ids if there is no other).
+    classes = common.cut(named.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "ngram-classes")
+    root = root.unionByName(root.select(F.col("root").alias("cls"), "root")).distinct()  # with the roots themselves
+    linked = common.cut(classes.join(root, "cls"), "ngram-linked")
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    sets = whole_sets(text, linked.select("cls", "doc_id"), k, percent, "ngram-linked-sets").select("cls", "tokens")
+    group = linked.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    group = common.cut(group.withColumn("blocks", F.least(blocks, F.col("m").cast("int"))), "ngram-groups")
+    total = group.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0
+    bundle = F.pmod(F.xxhash64("root"), F.lit(max(1, total // BUNDLE_SHINGLES))).cast("int")
+    d = linked.drop("doc_id", "n").join(group.select("root", "blocks"), "root")
+    own = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")
+    d = d.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = F.col("blocks") == 1
+    d = d.select(
+        "cls", "copies", "root", F.when(~one, F.col("root")).alias("of"),
+        F.when(one, bundle).otherwise(F.least("own", "other")).alias("lo"), F.when(one, 0).otherwise(F.greatest("own", "other")).alias("hi"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    met = d.join(sets, "cls").groupBy("of", "lo", "hi").applyInArrow(_count_links(percent), "cls binary, n_classes bigint, n_rows bigint")
+    count = common.cut(met, "ngram-block-counts").groupBy("cls").agg(F.sum("n_classes").alias("n_classes"), F.sum("n_rows").alias("n_rows"))
+    # Only classes with a link or a copy take part in the join back to the rows.
+    count = classes.select("cls", "copies").join(count, "cls", "left").where("copies > 1 OR n_rows > 0")
+    zero = F.lit(0).cast("long")
+    return rows.select("doc_id", "cls").join(count, "cls", "left").select(
+        "doc_id", (F.coalesce("n_rows", zero) + F.coalesce(F.col("copies") - 1, zero)).alias("n_links"),
+        F.coalesce("n_classes", zero).alias("n_classes"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest id (null last;
     ties by class and text hash). Groups are told apart by their root and rows by
@@ -299,3 +402,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.read(spark, sf_dir, "documents"))[0].drop("cls")
+
+
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(common.read(spark, sf_dir, "documents")).select("doc_id", "n_links")

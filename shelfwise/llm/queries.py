@@ -7,6 +7,7 @@ from shelfwise.llm import bpe, mixing, ngram_join, oracle, quality, sharding, su
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op2_ngram_links": ngram_join.op2_ngram_links,
     "op3_sharding": sharding.op3_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,

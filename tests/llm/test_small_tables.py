@@ -189,6 +189,45 @@ def test_near_duplicate_stage_equals_all_pairs(docs, empty):
     assert ngram_join.keep_one(empty).count() == 0
 
 
+def _link_counts(rows, k, percent):
+    sets = [_shingles(r[1], k) for r in rows]
+    out = []
+    for i, (r, s) in enumerate(zip(rows, sets)):
+        near = [t for j, t in enumerate(sets) if i != j and s and t and 100 * len(s & t) >= percent * len(s | t)]
+        out.append((r[0], len(near), len({frozenset(t) for t in near} - {frozenset(s)})))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_link_counts_equal_all_pairs(spark, monkeypatch, block):
+    """A group above the bucket limit, copies in it, null ids, small groups and texts without a link."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(6)
+    w = [f"t{i}" for i in range(120)]
+    rows = [(0, " ".join(w))]
+    for i in range(1, 60):
+        v = list(w)
+        for _ in range(rng.randrange(1, 3)):
+            v[rng.randrange(120)] = f"n{rng.randrange(10 ** 6)}"
+        rows.append((i if i % 9 else None, " ".join(v)))
+    rows += [(100, rows[3][1]), (3, rows[3][1]), (None, rows[4][1])]
+    rows += [(200 + i, " ".join(f"g{i // 3}x{j}" for j in range(60 + i % 3))) for i in range(9)]
+    rows += [(300, "alone"), (301, None), (None, ""), (None, "b c d e"), (302, "twice"), (303, "twice")]
+    df = common.cut(spark.createDataFrame(rows, "doc_id bigint, text string"), "test-links")
+    got = _plain(ngram_join.link_counts(df, 3, 90).collect())
+    assert got == _plain(_link_counts(rows, 3, 90))
+    assert max(r[1] for r in got) > ngram_join.LARGE
+
+
+def test_link_counts_equal_sql(spark):
+    from shelfwise.llm import queries
+    from tests.compare import compare, duck_connection
+    from tests.conftest import SMALL_SF
+
+    ok, said = compare(queries.QUERIES["op2_ngram_links"](spark, SMALL_SF), duck_connection(SMALL_SF), queries.ORACLE_SQL["op2_ngram_links"])
+    assert ok, said
+
+
 def test_shards_are_gapless_and_even(docs, empty):
     out, versions = sharding.shard(docs, 4, 64)
     rows = out.collect()
