@@ -175,9 +175,10 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
 def strip(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated words; documents of which nothing stays go."""
     inner = [c if c in ("doc_id", "text", "n_chars") else f"__c{i}" for i, c in enumerate(docs.columns)]
-    d = dedup(docs.toDF(*inner), untouched=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    d = docs.toDF(*inner).withColumn("__none", F.col("text").isNull())
+    d = dedup(d, untouched=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return d.withColumn("text", F.col("kept")).withColumn("n_chars", n_chars).select(*inner).toDF(*docs.columns)
+    return d.withColumn("text", F.when(~F.col("__none"), F.col("kept"))).withColumn("n_chars", n_chars).select(*inner).toDF(*docs.columns)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

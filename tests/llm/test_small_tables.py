@@ -476,6 +476,33 @@ def test_pipeline_stages(spark, docs):
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(r.doc_id for r in rows if r.doc_id is not None)
 
 
+def test_repeated_passages_stage_equals_brute_force(docs):
+    got = [tuple(r) for r in substring_dedup.strip(docs).collect()]
+    want = []
+    for r, (d, n, gone, kept) in zip(_rows(), _word_dedup(_rows())):
+        if not gone:
+            want.append(r)
+        elif gone < n:
+            want.append((d, kept, *r[2:4], len(kept), *r[5:]))
+    assert _plain(got) == _plain(want)
+
+
+def test_source_mix_stage_repeats_rows_as_the_mix_says(docs):
+    """Texts and multiplicities: every row as often as ``mix`` gives its source, size and id copies."""
+    from collections import Counter
+
+    rows = _rows()
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r.doc_id, r.source, r["size"]] += r.copies
+    got = Counter(tuple(r) for r in mixing.apply(docs).collect())
+    assert set(got) <= set(rows)
+    by = Counter()
+    for r, n in got.items():
+        by[r[0], r[3], len(WORD.findall(r[1] or ""))] += n
+    assert by == +copies
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_join", "op4_quality_rules", "op5_warc", "op7_suffix_dedup", "op8_topk", "op10_substring_dedup"])
 def test_queries_equal_sql(spark, name):
     from shelfwise.llm import queries
