@@ -114,3 +114,42 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(span.n, 0)::BIGINT A
        sha256(unhex(CASE WHEN span.n IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
 FROM d LEFT JOIN span USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op12_fill_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+h AS (
+  SELECT doc_id, t, n, ('0x' || substr(hex, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(hex, 9, 8))::BIGINT % (n + 1) AS b,
+         ('0x' || substr(hex, 17, 8))::BIGINT % 100 AS x, ('0x' || substr(hex, 25, 8))::BIGINT % 100 AS y FROM d),
+f AS (
+  SELECT doc_id, t, n, least(a, b) AS lo, greatest(a, b) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x >= 90 THEN 'plain'
+              WHEN y < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, lo) AS prefix, substr(t, lo + 1, hi - lo) AS middle, substr(t, hi + 1) AS suffix FROM f)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN lo::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (hi - lo)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+SQL["op13_lexical_search"] = r"""
+WITH dt AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+dn AS (SELECT row_number() OVER () AS r, doc_id, w AS words, len(w) AS n FROM dt WHERE len(w) > 0),
+c AS (SELECT count(*)::HUGEINT AS nd, sum(n)::HUGEINT AS nl FROM dn),
+tf AS (SELECT r, t, count(*)::HUGEINT AS tf FROM (SELECT r, unnest(words) AS t FROM dn) GROUP BY r, t),
+wt AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::HUGEINT AS w FROM tf, c GROUP BY t, nd),
+q AS (SELECT item_id, t, count(*)::HUGEINT AS k FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+s AS (
+  SELECT item_id, dn.r, dn.doc_id,
+         sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nl)))) AS score
+  FROM q JOIN wt USING (t) JOIN tf USING (t) JOIN dn USING (r), c GROUP BY item_id, dn.r, dn.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score::BIGINT AS score FROM o WHERE rank <= 20
+"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, mixing, ngram_join, oracle, quality, sharding, substring_dedup, suffix_dedup, token_files, topk, warc
+from shelfwise.llm import (
+    bpe, fill_middle, language_id, lexical_search, mixing, ngram_join, oracle, quality, sharding, substring_dedup, suffix_dedup,
+    token_files, topk, warc,
+)
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +19,9 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_token_files": token_files.op9_token_files,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_language_id": language_id.op11_language_id,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLE_SQL = oracle.SQL
