@@ -117,6 +117,10 @@ def _stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movements.run_movement_windows(spark, movements.event_glob(sf_dir))
 
 
+def _closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return movements.run_closed_windows(spark, movements.event_glob(sf_dir))
+
+
 def _stream_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = context(spark, sf_dir)
     return movements.run_low_stock_alert(spark, movements.event_glob(sf_dir), c.medicines, c.reorder)
@@ -146,6 +150,7 @@ TIER_C: dict[str, Query] = {
     ),
     "overstock": _q(lambda c: planning.overstock(c.medicines, c.purchases, c.reorder, c.clock)),
     "stock_movement_windows": _stream_windows,
+    "closed_movement_windows": _closed_windows,
     "low_stock_stream_alert": _stream_alert,
 }
 

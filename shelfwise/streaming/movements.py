@@ -6,7 +6,11 @@ raw events, mapped to signed stock movements by the same adapter as batch.
 T1 ``stock_movement_windows``: units per item per tumbling window, with a
 watermark so that state for closed windows is dropped and rows later than
 the watermark are ignored (Spark judges lateness against the watermark
-reached at the end of the previous micro-batch).
+reached at the end of the previous micro-batch). In append mode a window
+comes out once, when the watermark has passed its end, and is final:
+``write_closed_windows`` puts each batch's windows into a folder of their own.
+Windows that are still open are no output; ``open_windows`` reads them from
+the state store of the checkpoint, so "closed and open" is the result so far.
 
 T2 ``running_stock``: units per item since the stream began (state is one
 row per item, bounded by the item count); each micro-batch's updated items
@@ -14,15 +18,16 @@ are labelled against the *static* reorder rules and items inside
 ``foreachBatch`` (a batch join of the changed rows only; AQE broadcasts the
 changed rows when they are small). For a continuously running stream with
 frequent micro-batches, pass persisted two-column projections of the items
-and rules to ``label_stock`` so each batch does not re-read them.
-
-Sink: ``write_changelog`` appends every micro-batch's updated rows, tagged
-with the batch id, to a Parquet folder (written by the executors). A batch
-replayed after a failure writes identical rows under the same id, so
-``latest_per_key`` (max batch id per key, a partial aggregation) is
-unaffected: the result is exactly-once even though the sink is at-least-once.
-Checkpoints and output live under the cluster's shared
-``spark.checkpoint.dir``.
+and rules to ``label_stock`` so each batch does not re-read them. The latest
+labels of all items are a ``KeyedSnapshot`` (see ``sinks``): a read takes one
+snapshot and a bounded number of deltas, however many batches there were.
+
+``write_changelog`` is the plain sink for consumers that want every change: it
+appends every micro-batch's updated rows, tagged with the batch id; a replayed
+batch writes identical rows under the same id, so ``latest_per_key`` is
+unaffected. It keeps growing and is not read by the two queries.
+
+Checkpoints and output live under the cluster's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfwise.functions import rules
 from shelfwise.session import checkpoint_dir, subdir
 from shelfwise.sources import adapters
+from shelfwise.streaming.sinks import MERGE_EVERY, BatchFolders, KeyedSnapshot, latest_per_key
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -126,11 +132,44 @@ def write_changelog(stream: DataFrame, out_path: str, checkpoint: str,
     return writer.start()
 
 
-def latest_per_key(changelog: DataFrame, keys: list[str]) -> DataFrame:
-    """The most recent row per key of a changelog written by ``write_changelog``."""
-    values = [c for c in changelog.columns if c not in keys and c != "_batch_id"]
-    latest = changelog.groupBy(*keys).agg(F.max(F.struct("_batch_id", *values)).alias("_s"))
-    return latest.select(*keys, *[F.col("_s." + c).alias(c) for c in values])
+WINDOW_KEYS = ["window_start", "window_end", "medicine_id"]
+
+
+def _trigger(writer, available_now: bool, processing_time: str | None):
+    if available_now:
+        return writer.trigger(availableNow=True)
+    return writer.trigger(processingTime=processing_time) if processing_time else writer
+
+
+def write_closed_windows(windows: DataFrame, out: BatchFolders, checkpoint: str,
+                         available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+    """T1 in append mode: every window is written once, when it has closed."""
+    writer = windows.writeStream.outputMode("append").foreachBatch(out.write).option(
+        "checkpointLocation", checkpoint)
+    return _trigger(writer, available_now, processing_time).start()
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows that have not closed yet, as of the last micro-batch, from
+    the state store (a batch read; the stream need not run)."""
+    state = utc_session(spark).read.format("statestore").load(checkpoint)
+    w = F.col("key.window")
+    return state.select(
+        w["start"].cast("timestamp_ntz").alias("window_start"),
+        w["end"].cast("timestamp_ntz").alias("window_end"),
+        F.col("key.medicine_id").alias("medicine_id"),
+        F.col("value.sum").cast("bigint").alias("units"),
+        F.col("value.count").cast("bigint").alias("movements"),
+    )
+
+
+def write_alert_snapshot(stock: DataFrame, snapshot: KeyedSnapshot, checkpoint: str, transform,
+                         available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+    """T2 in update mode: the changed items of a batch, labelled, go into the snapshot."""
+    writer = stock.writeStream.outputMode("update").foreachBatch(
+        lambda batch, batch_id: snapshot.apply(transform(batch), batch_id)
+    ).option("checkpointLocation", checkpoint)
+    return _trigger(writer, available_now, processing_time).start()
 
 
 def utc_session(spark: SparkSession) -> SparkSession:
@@ -157,27 +196,33 @@ def event_glob(sf_dir: str) -> str:
     return f"{sf_dir.rstrip('/')}/events[.]parquet"
 
 
-def run_movement_windows(spark: SparkSession, events_path: str) -> DataFrame:
-    """T1 end to end over the files available now; returns the final windows."""
+def _run_windows(spark: SparkSession, events_path: str) -> tuple[BatchFolders, str]:
     run = _run_dir(spark, "stock_movement_windows")
-    q = write_changelog(
-        stock_movement_windows(movements(read_event_stream(utc_session(spark), events_path))),
-        subdir(run, "out"), subdir(run, "checkpoint"),
-    )
-    q.awaitTermination()
-    return latest_per_key(
-        spark.read.parquet(subdir(run, "out")), ["window_start", "window_end", "medicine_id"]
-    )
+    windows = stock_movement_windows(movements(read_event_stream(utc_session(spark), events_path)))
+    out = BatchFolders(spark, subdir(run, "closed"), windows.schema)
+    write_closed_windows(windows, out, subdir(run, "checkpoint")).awaitTermination()
+    return out, subdir(run, "checkpoint")
+
+
+def run_closed_windows(spark: SparkSession, events_path: str) -> DataFrame:
+    """T1 over the files available now: the windows that have closed."""
+    return _run_windows(spark, events_path)[0].read()
+
+
+def run_movement_windows(spark: SparkSession, events_path: str) -> DataFrame:
+    """T1 over the files available now: closed windows, and the open ones as they stand."""
+    closed, checkpoint = _run_windows(spark, events_path)
+    return closed.read().unionByName(open_windows(spark, checkpoint))
 
 
 def run_low_stock_alert(spark: SparkSession, events_path: str, medicines: DataFrame,
-                        reorder: DataFrame) -> DataFrame:
+                        reorder: DataFrame, merge_every: int = MERGE_EVERY) -> DataFrame:
     """T2 end to end over the files available now; returns the latest labels per item."""
     run = _run_dir(spark, "low_stock_stream_alert")
-    q = write_changelog(
-        running_stock(movements(read_event_stream(utc_session(spark), events_path))),
-        subdir(run, "out"), subdir(run, "checkpoint"),
-        transform=lambda b: label_stock(b, medicines, reorder),
-    )
-    q.awaitTermination()
-    return latest_per_key(spark.read.parquet(subdir(run, "out")), ["medicine_id"])
+    stock = running_stock(movements(read_event_stream(utc_session(spark), events_path)))
+    static = spark.createDataFrame([], stock.schema)
+    snapshot = KeyedSnapshot(spark, subdir(run, "items"), label_stock(static, medicines, reorder).schema,
+                             ["medicine_id"], merge_every)
+    write_alert_snapshot(stock, snapshot, subdir(run, "checkpoint"),
+                         lambda b: label_stock(b, medicines, reorder)).awaitTermination()
+    return snapshot.read()

@@ -8,7 +8,7 @@ from shelfwise.plans import registry
 from tests.conftest import SMALL_SF
 
 QUERIES = registry.all_queries()
-STREAMING = {"stock_movement_windows", "low_stock_stream_alert"}
+STREAMING = {"stock_movement_windows", "closed_movement_windows", "low_stock_stream_alert"}
 
 
 def physical(df) -> str:
