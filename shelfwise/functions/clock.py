@@ -61,10 +61,13 @@ class Clock:
         """``c > now``."""
         return c > self.lit_day()
 
+    def not_before(self, c: Column) -> Column:
+        """``c >= now``."""
+        return c >= self.lit_day() if self.at_midnight else c > self.lit_day()
+
     def within_next(self, c: Column, days: int) -> Column:
         """``c BETWEEN now AND now + days``."""
-        lower = c >= self.lit_day() if self.at_midnight else c > self.lit_day()
-        return lower & (c <= self.lit_day(days))
+        return self.not_before(c) & (c <= self.lit_day(days))
 
     def not_after(self, c: Column, days: int) -> Column:
         """``c <= now + days`` (no lower bound)."""

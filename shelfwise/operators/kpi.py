@@ -43,15 +43,19 @@ def executive_kpis(medicines: DataFrame, purchases: DataFrame, sales: DataFrame,
     """Q8: one row, eleven KPIs."""
     q, pp, sp = F.col("quantity_remaining"), F.col("purchase_price"), F.col("selling_price")
     exp = F.col("expiry_date")
+    # "expiry > now", and "expiry BETWEEN now AND now + 30", which at midnight starts
+    # a day earlier: the rows are cut to the union of both, the sums to their own range.
+    live = clock.after_now(exp)
 
     per_item = (
-        purchases.where(clock.after_now(exp))
+        purchases.where(clock.not_before(exp))
         .groupBy("medicine_id")
         .agg(
-            F.sum(F.when(q > 0, q)).alias("_stock"),
+            F.count(F.when(live, 1)).alias("_rows"),
+            F.sum(F.when(live & (q > 0), q)).alias("_stock"),
             F.sum(F.when(clock.within_next(exp, RISK_WINDOW_DAYS), q * pp)).alias("_risk"),
-            F.sum(q * pp).alias("_inv"),
-            F.sum(q * sp).alias("_rev"),
+            F.sum(F.when(live, q * pp)).alias("_inv"),
+            F.sum(F.when(live, q * sp)).alias("_rev"),
         )
     )
     # Items and per-item purchases meet in one FULL OUTER join on the key
@@ -74,7 +78,7 @@ def executive_kpis(medicines: DataFrame, purchases: DataFrame, sales: DataFrame,
     k_stock = j.agg(
         F.count(F.when(is_item, 1)).cast("bigint").alias("total_medicines"),
         F.count(F.when(is_item & emerg, 1)).cast("bigint").alias("emergency_medicines"),
-        F.count("medicine_id").cast("bigint").alias("medicines_in_stock"),
+        F.count(F.when(F.col("_rows") > 0, F.col("medicine_id"))).cast("bigint").alias("medicines_in_stock"),
         F.count(F.when(is_item & (cs < mn), 1)).cast("bigint").alias("low_stock_count"),
         F.count(F.when(is_item & (cs == 0), 1)).cast("bigint").alias("out_of_stock_count"),
         F.count(F.when(is_item & emerg & (cs < mn * 2), 1)).cast("bigint").alias(

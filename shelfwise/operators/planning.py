@@ -10,12 +10,12 @@ so every join below is 1:1 on ``medicine_id`` and skew-free.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import rules
 from shelfwise.functions.clock import Clock
-from shelfwise.functions.exact import half_up_ratio
+from shelfwise.functions.exact import half_up_ratio, int_div
 from shelfwise.sources.schemas import MONEY_SUM
 
 
@@ -40,11 +40,6 @@ def _sold_per_item(sales: DataFrame, clock: Clock, window_days: int) -> DataFram
 FORECAST_DAYS = 36500
 
 
-def _floor_div(x: Column, y: Column) -> Column:
-    """floor(x / y) for x >= 0, y > 0, exact."""
-    return ((x - F.pmod(x, y)) / y).cast("bigint")
-
-
 def emergency_coverage(medicines: DataFrame, purchases: DataFrame, reorder: DataFrame,
                        clock: Clock) -> DataFrame:
     """Share of emergency items holding at least their emergency level
@@ -141,7 +136,7 @@ def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFra
     )
     units = F.coalesce(F.col("_sold"), F.lit(0)).cast("bigint")
     stock = F.coalesce(F.col("_stock"), F.lit(0)).cast("bigint")
-    cover_days = F.when(units > 0, _floor_div(stock * window_days, F.when(units > 0, units)))
+    cover_days = F.when(units > 0, int_div(stock * window_days, F.when(units > 0, units)))
     horizon = F.coalesce("lead_time_days", F.lit(0)) + F.coalesce("safety_stock_days", F.lit(0))
     # cover < horizon  <=>  stock * window < horizon * units  (exact, no division)
     alert = (units > 0) & (stock * window_days < horizon * units)
@@ -182,7 +177,7 @@ def reorder_minimum(medicines: DataFrame, sales: DataFrame, purchases: DataFrame
     d = stockout_forecast(medicines, sales, purchases, suppliers, reorder, clock, window_days).select(
         "medicine_id", "units_sold_30days", "lead_time_days")
     d = d.join(reorder.select("medicine_id", "min_stock_level"), "medicine_id", "left")
-    need = _floor_div(F.col("units_sold_30days") * F.coalesce("lead_time_days", F.lit(0)) + (window_days - 1), F.lit(window_days).cast("bigint"))
+    need = int_div(F.col("units_sold_30days") * F.coalesce("lead_time_days", F.lit(0)) + (window_days - 1), F.lit(window_days).cast("bigint"))
     return d.select(
         "medicine_id", "units_sold_30days", "lead_time_days", "min_stock_level", need.alias("demand_in_lead_time"),
         F.greatest(need - F.coalesce("min_stock_level", F.lit(0)), F.lit(0)).cast("bigint").alias("minimum_gap"))

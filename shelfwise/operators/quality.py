@@ -72,6 +72,13 @@ def quantity_reconciliation(purchases: DataFrame) -> DataFrame:
     )
 
 
+def preview(df: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
+    """The first ``n`` rows by ``keys``, the other columns breaking ties, so
+    that every run shows the same rows (a per-task top n, then a merge)."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.orderBy(*keys, *rest).limit(n)
+
+
 def type_report(df: DataFrame, table: str) -> list[tuple[str, str, str]]:
     """B2: (table, column, type) from the declared schema - metadata only,
     no job runs."""

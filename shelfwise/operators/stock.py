@@ -156,6 +156,20 @@ def stock_by_name(medicines: DataFrame, purchases: DataFrame, reorder: DataFrame
     ).orderBy("current_stock", "medicine_name")
 
 
+def of_suppliers(purchases: DataFrame, suppliers: DataFrame, cities: list[str] | None = None,
+                 max_lead_time_days: int | None = None) -> DataFrame:
+    """C6's supplier criterion: the purchases from suppliers with the given
+    attributes, by a semi-join on the id. The suppliers are chosen in their own
+    table, so the criterion holds however many they are, and the chosen ids can
+    filter the scan of the purchases at run time."""
+    chosen = suppliers
+    if cities is not None:
+        chosen = chosen.where(F.col("city").isin(*cities))
+    if max_lead_time_days is not None:
+        chosen = chosen.where(F.col("lead_time_days") <= max_lead_time_days)
+    return purchases.join(chosen.select("supplier_id"), "supplier_id", "left_semi")
+
+
 def live_batches(purchases: DataFrame, medicines: DataFrame, suppliers: DataFrame,
                  summary: DataFrame, clock: Clock) -> DataFrame:
     """Unexpired, non-empty batches with item, supplier and item status columns."""

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from shelfwise.functions import rules
 from shelfwise.functions.clock import Clock
 from shelfwise.functions.exact import half_up_ratio
+from shelfwise.operators import valuation
+from shelfwise.operators.distinct import KIND, one_row_per_value
 from shelfwise.sources.schemas import MONEY_SUM
 
 # Expiry bands by days left (upper bounds inclusive).
@@ -92,17 +94,32 @@ def category_distribution(purchases: DataFrame, sales: DataFrame, medicines: Dat
 
 
 def sales_trend_rollup(sales: DataFrame) -> DataFrame:
-    """C4: units and revenue by year / quarter / month with subtotals
-    (ROLLUP) and the change against the previous period of the same level."""
-    d = F.col("sale_date")
-    monthly = sales.groupBy(
-        F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month")
-    ).agg(
+    """C4: units and revenue by year / quarter / month with subtotals, and the
+    change of both against the previous period of the same level.
+
+    The calendar is dense: every month from the first to the last sale is a
+    row, an empty one with 0 units, so that the previous row is the previous
+    period. Changes of the first period, and of the total, are NULL. Sales
+    without a date belong to no period: they make rows of their own (period
+    columns NULL), count in the total, and are nobody's previous period.
+
+    The fact is reduced to one row per month before anything else; the
+    calendar, the rollup and the windows have as many rows as there are months.
+    """
+    monthly = sales.groupBy(F.trunc("sale_date", "month").alias("_month")).agg(
         F.sum("quantity_sold").alias("_u"),
         F.sum(F.col("quantity_sold") * F.col("selling_price")).alias("_r"),
     )
-    rolled = monthly.rollup("year", "quarter", "month").agg(
-        F.sum("_u").cast("bigint").alias("units"),
+    # The bounds come from the monthly rows, so the fact is reduced once (the exchange is reused).
+    bounds = monthly.agg(F.min("_month").alias("_lo"), F.max("_month").alias("_hi"))
+    months = bounds.where(F.col("_lo").isNotNull()).select(
+        F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias("_start"))
+    dense = months.join(monthly, months["_start"] == monthly["_month"], "full_outer")
+    start = F.col("_start")
+    rolled = dense.select(
+        F.year(start).alias("year"), F.quarter(start).alias("quarter"), F.month(start).alias("month"), "_u", "_r"
+    ).rollup("year", "quarter", "month").agg(
+        F.coalesce(F.sum("_u"), F.lit(0)).cast("bigint").alias("units"),
         F.coalesce(F.sum("_r"), F.lit(0)).cast(MONEY_SUM).alias("revenue"),
         F.grouping_id().alias("_gid"),
     )
@@ -113,10 +130,15 @@ def sales_trend_rollup(sales: DataFrame) -> DataFrame:
         .otherwise("total")
     )
     w = Window.partitionBy("_gid").orderBy("year", "quarter", "month")
-    prev = F.lag("units").over(w)
-    return rolled.select(
+
+    def previous(c: str):
+        return F.when(F.lag("year").over(w).isNotNull(), F.lag(c).over(w))
+
+    with_previous = rolled.withColumns({"prev_units": previous("units"), "prev_revenue": previous("revenue")})
+    return with_previous.select(
         "year", "quarter", "month", level.alias("period_level"), "units", "revenue",
-        prev.alias("prev_units"), (F.col("units") - prev).alias("units_change"),
+        "prev_units", (F.col("units") - F.col("prev_units")).alias("units_change"),
+        "prev_revenue", (F.col("revenue") - F.col("prev_revenue")).cast(MONEY_SUM).alias("revenue_change"),
     )
 
 
@@ -147,25 +169,52 @@ def seasonal_uplift(sales: DataFrame, medicines: DataFrame) -> DataFrame:
     )
 
 
+def _to_levels(distinct: DataFrame, sums: list[str]) -> DataFrame:
+    """Deal item rows (kind 0) and batch rows (kind 1) to the levels above them."""
+    none, no_item = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def row(level: str, category, item, batch, of_item: bool):
+        return F.struct(
+            F.lit(level).alias("level"), category.alias("category"), item.alias("medicine_id"), batch.alias("_batch"),
+            *[(F.col(s) if of_item else F.lit(None).cast(distinct.schema[s].dataType)).alias(s) for s in sums],
+            (F.least(F.col("_known"), F.lit(1)) if of_item else no_item).alias("_items"),
+            (F.col("_batches") if of_item and level == "item" else no_item).alias("_item_batches"),
+        )
+
+    category, item, batch = F.col("category"), F.col("medicine_id"), F.col("_batch")
+    items = F.array(row("item", category, item, none, True), row("category", category, no_item, none, True),
+                    row("total", none, no_item, none, True))
+    batches = F.array(row("category", category, no_item, batch, False), row("total", none, no_item, batch, False))
+    kept = distinct.where((F.col(KIND) == 0) | batch.isNotNull())
+    return kept.select(F.inline(F.when(F.col(KIND) == 0, items).otherwise(batches)))
+
+
 def drilldown_rollup(purchases: DataFrame, medicines: DataFrame, clock: Clock) -> DataFrame:
-    """Live stock measures by ROLLUP(category, item) with a level label."""
-    q, pp, sp = F.col("quantity_remaining"), F.col("purchase_price"), F.col("selling_price")
-    per_item = _live(purchases, clock).groupBy("medicine_id").agg(
-        F.sum(q).alias("_u"), F.sum(q * pp).alias("_v"), F.sum(q * sp).alias("_r")
-    )
-    j = per_item.join(
-        medicines.select("medicine_id", "medicine_name", "category"), "medicine_id", "left"
-    ).withColumn("category", F.coalesce("category", F.lit(UNCATEGORIZED)))
-    rolled = j.rollup("category", "medicine_id").agg(
-        F.max("medicine_name").alias("medicine_name"),
-        F.sum("_u").cast("bigint").alias("units"),
-        F.coalesce(F.sum("_v"), F.lit(0)).cast(MONEY_SUM).alias("stock_value"),
-        F.coalesce(F.sum("_r"), F.lit(0)).cast(MONEY_SUM).alias("potential_revenue"),
-        F.grouping_id().alias("_gid"),
-    )
-    level = F.when(F.col("_gid") == 0, "item").when(F.col("_gid") == 1, "category").otherwise("total")
-    return rolled.select(
-        level.alias("level"), "category", "medicine_id",
-        F.when(F.col("_gid") == 0, F.col("medicine_name")).alias("medicine_name"),
-        "units", "stock_value", "potential_revenue",
-    )
+    """All measures of the category valuation (Q4) at three levels: item,
+    category and total. A group without live stock is left out.
+
+    The purchases are reduced per (item, batch), then to one row per item and
+    one per (category, batch). Only those rows are dealt to the levels above,
+    where batch rows are made distinct again, so that a batch number of many
+    items or categories counts once at each level. The names meet the rows last.
+    """
+    sums = list(valuation.MEASURES)
+    rows = valuation.with_category(valuation.per_item_batch(purchases, clock), medicines).withColumn(
+        "_known", F.when(F.col("_item").isNotNull(), 1).otherwise(0).cast("bigint")
+    ).withColumn("_batches", F.when(F.col("_batch").isNotNull(), 1).otherwise(0).cast("bigint"))
+    distinct = one_row_per_value(rows, ["category"], ["medicine_id", "_batch"], [*sums, "_known", "_batches"])
+    group, added = ["level", "category", "medicine_id"], [*sums, "_items", "_item_batches"]
+    dealt = _to_levels(distinct, sums)
+    once = dealt.groupBy(*group, "_batch").agg(*[F.sum(s).cast(dealt.schema[s].dataType).alias(s) for s in added])
+    g = once.groupBy(*group).agg(
+        *[F.sum(s).cast(dealt.schema[s].dataType).alias(s) for s in sums],
+        F.coalesce(F.sum("_items"), F.lit(0)).alias("unique_medicines"),
+        (F.coalesce(F.sum("_item_batches"), F.lit(0)) + F.count("_batch")).alias("total_batches"),
+    ).where(F.col("_rows") > 0)
+    # One narrow pass for the denominator: a window over all items would be one task.
+    all_value = F.col("quantity_remaining") * F.col("purchase_price")
+    total = purchases.where(clock.after_now(F.col("expiry_date"))).agg(
+        F.coalesce(F.sum(all_value), F.lit(0)).cast(MONEY_SUM).alias("_total"))
+    return g.crossJoin(F.broadcast(total)).join(
+        medicines.select("medicine_id", "medicine_name"), "medicine_id", "left"
+    ).select("level", "category", "medicine_id", "medicine_name", *valuation.measure_columns(F.col("_total")))

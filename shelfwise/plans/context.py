@@ -53,6 +53,12 @@ class InventoryContext:
     def purchases(self) -> DataFrame:
         return self.tables["purchases_transactions"]
 
+    @property
+    def purchases_by_expiry(self) -> DataFrame:
+        """The purchases, for queries whose predicate rejects a NULL expiry: a
+        source that computes the date offers a form whose scan takes the bound."""
+        return getattr(self.tables, "purchases_by_expiry", None) or self.purchases
+
     @property
     def sales(self) -> DataFrame:
         return self.tables["sales_transactions"]
@@ -64,7 +70,7 @@ class InventoryContext:
     # -- the shared stock summary (Q1) --------------------------------------
     def stock_summary(self) -> DataFrame:
         if self._stock is None:
-            self._stock = stock.current_stock_summary(self.medicines, self.purchases, self.clock)
+            self._stock = stock.current_stock_summary(self.medicines, self.purchases_by_expiry, self.clock)
         return self._stock
 
     def materialize_stock(self, checkpoint: bool = False) -> DataFrame:

@@ -47,10 +47,10 @@ TIER_A: dict[str, Query] = {
     "table_row_counts": _q(lambda c: kpi.table_row_counts(c.tables)),
     "current_stock_summary": _q(lambda c: stock.stock_summary_report(c.stock_summary())),
     "low_stock_alert": _q(lambda c: stock.low_stock_alert(c.stock_summary(), c.reorder)),
-    "expiry_alert": _q(lambda c: expiry.expiry_alert(c.purchases, c.medicines, c.clock)),
-    "total_investment": _q(lambda c: valuation.total_investment(c.purchases, c.clock)),
+    "expiry_alert": _q(lambda c: expiry.expiry_alert(c.purchases_by_expiry, c.medicines, c.clock)),
+    "total_investment": _q(lambda c: valuation.total_investment(c.purchases_by_expiry, c.clock)),
     "category_valuation": _q(
-        lambda c: valuation.category_valuation(c.purchases, c.medicines, c.clock)
+        lambda c: valuation.category_valuation(c.purchases_by_expiry, c.medicines, c.clock)
     ),
     "emergency_status": _q(lambda c: stock.emergency_status(c.stock_summary(), c.reorder)),
     "sales_movement_top20": _q(
@@ -60,22 +60,22 @@ TIER_A: dict[str, Query] = {
         lambda c: suppliers.supplier_performance(c.suppliers, c.purchases, c.clock)
     ),
     "executive_kpis": _q(
-        lambda c: kpi.executive_kpis(c.medicines, c.purchases, c.sales, c.reorder, c.clock)
+        lambda c: kpi.executive_kpis(c.medicines, c.purchases_by_expiry, c.sales, c.reorder, c.clock)
     ),
     "export_stock_status": _q(
-        lambda c: stock.export_stock_status(c.medicines, c.purchases, c.reorder, c.clock)
+        lambda c: stock.export_stock_status(c.medicines, c.purchases_by_expiry, c.reorder, c.clock)
     ),
-    "export_expiry": _q(lambda c: expiry.export_expiry(c.purchases, c.medicines, c.clock)),
+    "export_expiry": _q(lambda c: expiry.export_expiry(c.purchases_by_expiry, c.medicines, c.clock)),
     "kpi_union": _q(lambda c: kpi.kpi_union(c.medicines, c.reorder, c.purchases, c.clock)),
     "stock_by_name": _q(
-        lambda c: stock.stock_by_name(c.medicines, c.purchases, c.reorder, c.clock)
+        lambda c: stock.stock_by_name(c.medicines, c.purchases_by_expiry, c.reorder, c.clock)
     ),
 }
 
 
 BLOCKS: dict[str, Query] = {
     "join_left_on_residual": _q(
-        lambda c: blocks.join_left_on_residual(c.medicines, c.purchases, c.clock)
+        lambda c: blocks.join_left_on_residual(c.medicines, c.purchases_by_expiry, c.clock)
     ),
     "join_fact_dim_orphans": _q(lambda c: blocks.join_fact_dim_orphans(c.purchases, c.medicines)),
     "join_dim_fact_zero_rows": _q(
@@ -87,28 +87,28 @@ BLOCKS: dict[str, Query] = {
     "agg_multi_distinct": _q(lambda c: blocks.agg_multi_distinct(c.purchases)),
     "agg_conditional_sum": _q(lambda c: blocks.agg_conditional_sum(c.purchases, c.clock)),
     "agg_avg_null_as_zero": _q(
-        lambda c: blocks.agg_avg_null_as_zero(c.medicines, c.purchases, c.clock)
+        lambda c: blocks.agg_avg_null_as_zero(c.medicines, c.purchases_by_expiry, c.clock)
     ),
     "agg_group_non_key": _q(lambda c: blocks.agg_group_non_key(c.sales, c.medicines)),
     "agg_group_expr": _q(lambda c: blocks.agg_group_expr(c.purchases, c.medicines)),
     "expr_safe_ratio": _q(lambda c: blocks.expr_safe_ratio(c.purchases)),
     "expr_day_bands": _q(lambda c: blocks.expr_day_bands(c.purchases, c.clock)),
     "sort_case_rank": _q(lambda c: blocks.sort_case_rank(c.stock_summary(), c.reorder)),
-    "share_of_total": _q(lambda c: blocks.share_of_total(c.purchases, c.medicines, c.clock)),
+    "share_of_total": _q(lambda c: blocks.share_of_total(c.purchases_by_expiry, c.medicines, c.clock)),
 }
 
 
-# Criteria of the registered stock filter: the first suppliers by name.
-FILTER_SUPPLIERS = [f"Supplier#{i:09d}" for i in range(60)]
+# Criterion of the registered stock filter: the suppliers of these cities, the same share at any size.
+FILTER_CITIES = [f"NATION_{i}" for i in range(15)]
 
 
 def _filter_stock(c: InventoryContext) -> DataFrame:
-    live = stock.live_batches(c.purchases, c.medicines, c.suppliers, c.stock_summary(), c.clock)
+    offered = stock.of_suppliers(c.purchases_by_expiry, c.suppliers, cities=FILTER_CITIES)
+    live = stock.live_batches(offered, c.medicines, c.suppliers, c.stock_summary(), c.clock)
     return stock.filter_stock(
         live, c.clock,
         categories=["SMALL", "PROMO", "STANDARD"],
         statuses=["LOW STOCK", "ADEQUATE"],
-        suppliers=FILTER_SUPPLIERS,
         expiring_within=90,
     )
 
@@ -127,19 +127,19 @@ def _stream_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TIER_C: dict[str, Query] = {
-    "expiry_band_distribution": _q(lambda c: trends.expiry_band_distribution(c.purchases, c.clock)),
+    "expiry_band_distribution": _q(lambda c: trends.expiry_band_distribution(c.purchases_by_expiry, c.clock)),
     "category_distribution": _q(
-        lambda c: trends.category_distribution(c.purchases, c.sales, c.medicines, c.clock)
+        lambda c: trends.category_distribution(c.purchases_by_expiry, c.sales, c.medicines, c.clock)
     ),
     "supplier_order_history": _q(
-        lambda c: suppliers.supplier_order_history(c.suppliers, c.purchases)
+        lambda c: suppliers.supplier_order_history(c.suppliers, c.purchases, c.clock)
     ),
     "sales_trend_rollup": _q(lambda c: trends.sales_trend_rollup(c.sales)),
     "seasonal_uplift": _q(lambda c: trends.seasonal_uplift(c.sales, c.medicines)),
     "filter_stock": _q(_filter_stock),
-    "drilldown_rollup": _q(lambda c: trends.drilldown_rollup(c.purchases, c.medicines, c.clock)),
+    "drilldown_rollup": _q(lambda c: trends.drilldown_rollup(c.purchases_by_expiry, c.medicines, c.clock)),
     "emergency_coverage": _q(
-        lambda c: planning.emergency_coverage(c.medicines, c.purchases, c.reorder, c.clock)
+        lambda c: planning.emergency_coverage(c.medicines, c.purchases_by_expiry, c.reorder, c.clock)
     ),
     "days_of_cover": _q(lambda c: planning.days_of_cover(c.stock_summary(), c.sales, c.clock)),
     "stock_health": _q(lambda c: planning.stock_health(c.stock_summary(), c.reorder)),
@@ -148,7 +148,7 @@ TIER_C: dict[str, Query] = {
             c.medicines, c.sales, c.purchases, c.suppliers, c.reorder, c.clock
         )
     ),
-    "overstock": _q(lambda c: planning.overstock(c.medicines, c.purchases, c.reorder, c.clock)),
+    "overstock": _q(lambda c: planning.overstock(c.medicines, c.purchases_by_expiry, c.reorder, c.clock)),
     "stock_movement_windows": _stream_windows,
     "closed_movement_windows": _closed_windows,
     "low_stock_stream_alert": _stream_alert,
@@ -157,6 +157,7 @@ TIER_C: dict[str, Query] = {
 
 TIER_B: dict[str, Query] = {
     "null_profile": _q(lambda c: quality.null_profiles({t: c.tables[t] for t in c.tables})),
+    "sales_preview": _q(lambda c: quality.preview(c.sales, ["sale_date", "sale_id"])),
     "date_range_profile": _q(lambda c: quality.date_range_profile(c.purchases, c.sales)),
     "quantity_reconciliation": _q(lambda c: quality.quantity_reconciliation(c.purchases)),
     "date_spine": _q(lambda c: calendar.date_spine(c.sales)),

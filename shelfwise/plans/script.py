@@ -26,7 +26,7 @@ from shelfwise.operators import expiry, kpi, sales, stock, suppliers, valuation
 from shelfwise.plans.context import STOCK_VIEW, InventoryContext
 from shelfwise.session import build_session, subdir
 from shelfwise.sources import readers
-from shelfwise.sources.checks import MissingInputError
+from shelfwise.sources.checks import MissingInputError, require_views
 
 CSV_EXPORTS = ("export_stock_status", "export_expiry")
 
@@ -39,6 +39,7 @@ def report_frames(ctx: InventoryContext, allow_missing: bool = False) -> dict[st
     def summary() -> DataFrame:
         if not ctx.spark.catalog.tableExists(STOCK_VIEW):
             ctx.materialize_stock()
+        require_views(ctx.spark, STOCK_VIEW)  # the sections below read the one snapshot
         return ctx.stock_summary()
 
     return {
@@ -46,18 +47,18 @@ def report_frames(ctx: InventoryContext, allow_missing: bool = False) -> dict[st
             {t: ctx.tables[t] for t in ctx.tables if not allow_missing or _present(ctx, t)}),
         "current_stock_summary": lambda: stock.stock_summary_report(summary()),
         "low_stock_alert": lambda: stock.low_stock_alert(summary(), ctx.reorder),
-        "expiry_alert": lambda: expiry.expiry_alert(ctx.purchases, ctx.medicines, c),
-        "category_valuation": lambda: valuation.category_valuation(ctx.purchases, ctx.medicines, c),
+        "expiry_alert": lambda: expiry.expiry_alert(ctx.purchases_by_expiry, ctx.medicines, c),
+        "category_valuation": lambda: valuation.category_valuation(ctx.purchases_by_expiry, ctx.medicines, c),
         "emergency_status": lambda: stock.emergency_status(summary(), ctx.reorder),
         "sales_movement_top20": lambda: sales.sales_movement_top(ctx.sales, ctx.medicines, c),
         "supplier_performance": lambda: suppliers.supplier_performance(ctx.suppliers, ctx.purchases, c),
         "executive_kpis": lambda: kpi.executive_kpis(
-            ctx.medicines, ctx.purchases, ctx.sales, ctx.reorder, c),
+            ctx.medicines, ctx.purchases_by_expiry, ctx.sales, ctx.reorder, c),
         "export_stock_status": lambda: stock.export_stock_status(
-            ctx.medicines, ctx.purchases, ctx.reorder, c),
-        "export_expiry": lambda: expiry.export_expiry(ctx.purchases, ctx.medicines, c),
+            ctx.medicines, ctx.purchases_by_expiry, ctx.reorder, c),
+        "export_expiry": lambda: expiry.export_expiry(ctx.purchases_by_expiry, ctx.medicines, c),
         "kpi_union": lambda: kpi.kpi_union(ctx.medicines, ctx.reorder, ctx.purchases, c),
-        "stock_by_name": lambda: stock.stock_by_name(ctx.medicines, ctx.purchases, ctx.reorder, c),
+        "stock_by_name": lambda: stock.stock_by_name(ctx.medicines, ctx.purchases_by_expiry, ctx.reorder, c),
     }
 
 

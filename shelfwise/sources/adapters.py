@@ -12,6 +12,7 @@ them: some keys are negated, so both sides of a join keep rows without partner.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.sources.schemas import PRICE
 
+FIRST_DAY = dt.date(2000, 1, 1)
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -51,11 +54,15 @@ def medicines(part: DataFrame) -> DataFrame:
         .otherwise("PPI")
         .alias("therapeutic_class"),
         F.col("p_brand").alias("manufacturer"),
+        F.concat(size.cast("string"), F.lit(" per pack")).alias("package_size"),
+        F.lower("p_type").alias("unit_type"),
         F.when(size % 5 == 0, 1).otherwise(0).cast("int").alias("is_emergency"),
         F.when((F.col("p_type") == "SMALL") & (F.col("p_partkey") % 5 < 3), 1)
         .otherwise(0)
         .cast("int")
         .alias("is_refrigerated"),
+        F.date_add(F.lit(FIRST_DAY), size.cast("int")).alias("created_date"),
+        F.when(F.col("p_retailprice") > 0, 1).otherwise(0).cast("int").alias("is_active"),
     )
 
 
@@ -67,12 +74,23 @@ def suppliers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     ).select(
         F.col("s_suppkey").cast("bigint").alias("supplier_id"),
         F.col("s_name").alias("supplier_name"),
+        F.concat(F.lit("Desk of "), "s_name").alias("contact_person"),
+        F.when(F.col("s_nationkey") % 5 != 0, F.concat(F.lit("+"), F.col("s_suppkey").cast("string"))).alias("phone"),
+        F.concat(F.lit("desk"), F.col("s_suppkey").cast("string"), F.lit("@example.com")).alias("email"),
         F.col("n_name").alias("city"),
+        F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("GST"), F.col("s_suppkey").cast("string"))).alias("gst_number"),
+        F.when(F.col("s_acctbal") >= 5000, "30 days").otherwise("15 days").alias("payment_terms"),
         (F.col("s_suppkey") % 5 + 1).cast("int").alias("lead_time_days"),
+        F.when(F.col("s_acctbal") >= 0, 1).otherwise(0).cast("int").alias("is_active"),
     )
 
 
-def purchases(lineitem: DataFrame) -> DataFrame:
+def _undated() -> Column:
+    """Lines without an expiry date; never NULL, so that its negation is its complement."""
+    return F.coalesce((F.col("l_linenumber") == 5) & (F.col("l_quantity") == 17), F.lit(False))
+
+
+def _purchases(lineitem: DataFrame, expiry: Column) -> DataFrame:
     line = F.col("l_linenumber")
     qty = F.col("l_quantity")
     price = F.col("l_extendedprice").cast(PRICE)
@@ -84,9 +102,7 @@ def purchases(lineitem: DataFrame) -> DataFrame:
         _negated("l_suppkey", F.col("l_suppkey") % 25 == 3).alias("supplier_id"),
         F.concat(F.lit("B"), (F.col("l_orderkey") % 2700).cast("string")).alias("batch_no"),
         F.date_sub(ship, 730).alias("manufacturing_date"),
-        F.when((line == 5) & (qty == 17), F.lit(None).cast("date"))
-        .otherwise(ship)
-        .alias("expiry_date"),
+        expiry.alias("expiry_date"),
         (qty.cast("int") + line * 10).cast("int").alias("quantity_purchased"),
         F.when(line == 7, F.lit(0)).otherwise(qty.cast("int")).cast("int").alias(
             "quantity_remaining"
@@ -95,10 +111,28 @@ def purchases(lineitem: DataFrame) -> DataFrame:
         .otherwise(price)
         .alias("purchase_price"),
         (price * one_plus_tax).cast(PRICE).alias("selling_price"),
+        F.when(F.col("l_returnflag") != "R", (price * F.lit(2)).cast(PRICE)).alias("mrp"),
         F.date_sub(ship, 700).alias("purchase_date"),
     )
 
 
+def purchases(lineitem: DataFrame) -> DataFrame:
+    """All purchases in one scan: for queries that don't filter by expiry."""
+    ship = _day(F.col("l_shipdate"))
+    return _purchases(lineitem, F.when(_undated(), F.lit(None).cast("date")).otherwise(ship))
+
+
+def purchases_by_expiry(lineitem: DataFrame) -> DataFrame:
+    """The same rows as disjoint branches, dated and undated. The expiry date of
+    the first is the raw column, so a bound on it reaches the scan as a pushed
+    filter; the second is a constant NULL, so the optimizer drops the whole
+    branch under any predicate that rejects NULL. (Without such a predicate the
+    table would be read twice: use ``purchases`` there.)"""
+    dated = _purchases(lineitem.where(~_undated()), _day(F.col("l_shipdate")))
+    undated = _purchases(lineitem.where(_undated()), F.lit(None).cast("date"))
+    return dated.unionByName(undated)
+
+
 def sales(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Sales are lineitems dated by their order.
 
@@ -114,7 +148,10 @@ def sales(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("l_extendedprice").cast(PRICE).alias("selling_price"),
         F.round(F.col("l_discount") * 100).cast("int").alias("discount_percent"),
         _day(F.col("o_orderdate")).alias("sale_date"),
+        F.date_format("o_orderdate", "HH:mm").alias("sale_time"),
         F.col("o_orderpriority").alias("payment_method"),
+        (F.col("l_returnflag") == "R").alias("prescription_required"),
+        F.concat(F.lit("BILL"), F.col("l_orderkey").cast("string")).alias("bill_no"),
     )
 
 
@@ -126,6 +163,7 @@ def reorder_levels(part: DataFrame) -> DataFrame:
         (size * 2 + 50).cast("int").alias("max_stock_level"),
         (size * 3 + 20).cast("int").alias("reorder_quantity"),
         F.when(size % 5 == 0, 7).otherwise(5).cast("int").alias("safety_stock_days"),
+        F.when(size % 7 != 0, F.date_add(F.lit(FIRST_DAY), size.cast("int"))).alias("last_updated"),
     )
 
 
@@ -160,6 +198,12 @@ class DomainTables(Mapping):
         self._raw: dict[str, DataFrame] = {}
         self._built: dict[str, DataFrame] = {}
 
+    @property
+    def purchases_by_expiry(self) -> DataFrame:
+        if "purchases_by_expiry" not in self._built:
+            self._built["purchases_by_expiry"] = purchases_by_expiry(self._driver("lineitem"))
+        return self._built["purchases_by_expiry"]
+
     def _driver(self, name: str) -> DataFrame:
         if name not in self._raw:
             self._raw[name] = read_driver(self.spark, self.sf_dir, name)

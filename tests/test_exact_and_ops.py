@@ -311,6 +311,7 @@ def test_result_order(spark):
         "stock_by_name": lambda r: r.current_stock,
         "export_stock_status": lambda r: r.medicine_name,
         "category_valuation": lambda r: -r.total_investment,
+        "supplier_performance": lambda r: (r.percentage_expiring_soon, -r.total_purchase_value),
     }
     for name, key in keys.items():
         got = [key(r) for r in q[name](spark, SMALL_SF).collect()]

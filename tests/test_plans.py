@@ -54,9 +54,38 @@ def test_fefo_pick_forms_no_range_join(plans):
     assert "Window [last(" in plan
 
 
-def test_stock_summary_pushes_date_filter_into_scan(plans):
-    plan = plans["current_stock_summary"]
-    assert "l_shipdate" in plan and "2001-03-02" in plan  # expiry > 2001-03-01 on the raw column
+BY_EXPIRY = ["current_stock_summary", "expiry_alert", "total_investment", "category_valuation", "executive_kpis",
+             "export_stock_status", "export_expiry", "stock_by_name", "expiry_band_distribution", "drilldown_rollup"]
+
+
+@pytest.mark.parametrize("name", BY_EXPIRY)
+def test_expiry_bound_reaches_the_scan(plans, name):
+    """The scan of the purchases is pruned by date, and only the dated branch is left."""
+    scans = [x for x in re.findall(r"FileScan parquet .*", plans[name]) if "l_shipdate" in x]
+    assert scans and all("GreaterThanOrEqual(l_shipdate,2001-03-02T00:00)" in x for x in scans), scans
+
+
+def test_all_purchases_are_read_once_without_an_expiry_bound(plans):
+    assert len(re.findall(r"FileScan parquet", plans["quantity_reconciliation"])) == 1
+
+
+@pytest.mark.parametrize("name", ["category_valuation", "supplier_performance", "supplier_order_history", "agg_multi_distinct"])
+def test_distinct_counts_copy_no_input_rows(plans, name):
+    assert "Expand" not in plans[name]
+
+
+@pytest.mark.parametrize("name", ["category_valuation", "agg_multi_distinct"])
+def test_distinct_counts_read_the_purchases_once(plans, name):
+    assert len([x for x in re.findall(r"FileScan parquet .*", plans[name]) if "l_partkey" in x]) == 1
+
+
+def test_supplier_names_stay_out_of_the_shuffle_of_the_purchases(plans):
+    plan = plans["supplier_performance"].splitlines()
+    at = [i for i, x in enumerate(plan) if "FileScan" in x and "l_suppkey" in x]
+    assert at
+    for i in at:  # up from each scan of the fact, the first aggregate has no supplier name
+        above = next(x for x in reversed(plan[:i]) if "HashAggregate" in x or "SortAggregate" in x)
+        assert "s_name" not in above and "supplier_name" not in above
 
 
 def test_top20_uses_take_ordered(plans):
