@@ -1,15 +1,14 @@
 """BPE encoding and decoding over a table of distinct words.
 
-A task cuts its documents into blocks of bounded text. A block is its own
-small dictionary: the distinct words and, for every document, the numbers of
-its words in order. The (word, block, number) rows of all blocks are sorted by
-word, each distinct word is encoded once, and its ids go back to the blocks,
-where the numbers, position by position, become ids. So a word crosses the
-shuffle once per block, never once per occurrence.
-
-Both branches (words and documents) read the same input; a block is named by
-the digest of its ids and texts, and a block whose dictionary is incomplete
-raises an error, so the input must be a stored table (``common.cut``).
+A task cuts its documents into blocks of about ``BLOCK_BYTES`` of text. A block
+is its own small dictionary: the distinct words and, for every document, the
+numbers of its words in order. The blocks are written once to the shared folder;
+all that follows reads them, so no text is parsed twice, and a block keeps its
+words whatever task is run again. Spark explodes the dictionaries to (word,
+block, number) rows and sorts them by word; each distinct word is encoded once,
+and its ids go back to the blocks, where the numbers, position by position,
+become ids. So a word crosses the shuffle once per block, never once per
+occurrence, and no word has more rows than there are blocks.
 
 Cutting at white space is exact for a tokenizer whose pre-tokenizer drops
 white space; ``Vocabulary`` checks that. A word of letters and closing
@@ -21,13 +20,13 @@ the vocabulary: it is packed into one row, joined by broadcast, and read by
 position. Pieces are joined by a blank, as the library does without decoder.
 
 Null and empty texts have no ids and decode to an empty text. Null ids and
-repeated rows are kept as rows. An empty table gives an empty table. Other
-columns of the input are ignored.
+repeated rows are kept as rows. A text longer than a block is a block of its
+own, and must fit its task some times over. An empty table gives an empty table.
+Other columns of the input, also ones named like a result, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import common
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
 # Entries of the sorted word table that a task encodes and packs at once.
 PACK_ROWS = 200_000
 # Letters that every Unicode version knows, then closing punctuation. Without U+0130,
@@ -97,13 +96,9 @@ def encode_words(text: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, lens
 
 
-def _block(batch: pa.RecordBatch) -> tuple[bytes, pa.Array, np.ndarray, np.ndarray]:
-    """(name, distinct words by falling frequency, codes of all words, words of each row)."""
+def _block(batch: pa.RecordBatch) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
+    """(rows, distinct words by falling frequency, codes of all words, words of each row)."""
     text = pc.fill_null(batch.column("text"), "")
-    digest = hashlib.blake2b(digest_size=16)
-    for a in (batch.column("doc_id").cast(pa.int64()), pc.binary_length(text.cast(pa.large_string()))):
-        digest.update(repr(a.null_count).encode() + pc.fill_null(a, -1).to_numpy(zero_copy_only=False).tobytes())
-    digest.update("\0".join(text.to_pylist()).encode("utf-8", "surrogatepass"))
     flat, offsets = common.flat_words(text)
     coded = flat.dictionary_encode()
     chunks = coded.dictionary
@@ -125,34 +120,33 @@ def _block(batch: pa.RecordBatch) -> tuple[bytes, pa.Array, np.ndarray, np.ndarr
     order = np.argsort(-often, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    return digest.digest(), pieces.dictionary.take(pa.array(order)).cast(pa.string()), rank[out], counts
+    return batch.num_rows, pieces.dictionary.take(pa.array(order)).cast(pa.string()), rank[out], counts
 
 
-def _words_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in common.slices(batch, limit=BLOCK_BYTES):
-            name, words, _, _ = _block(part)
-            yield pa.RecordBatch.from_arrays(
-                [words, pa.array([name] * len(words), pa.binary()), pa.array(np.arange(len(words)), pa.int32())],
-                ["word", "block", "code"])
+_BLOCKS = "block bigint, doc_ids array<bigint>, counts array<bigint>, words array<string>, codes binary"
 
 
-def _rows_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
+    from pyspark import TaskContext
 
+    # Partition and count name a block: the table of blocks holds one attempt of each task.
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part in common.slices(batch, limit=BLOCK_BYTES):
-            name, words, codes, counts = _block(part)
+            _, words, codes, counts = _block(part)
             packed = zstandard.compress(codes.astype("<u4").tobytes(), 3)
+            one = pa.array([0, len(words)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.binary()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                 pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([len(words)], pa.int64()),
+                [pa.array([number], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                 pa.array([counts.tolist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(one, words),
                  pa.array([packed], pa.binary())],
-                ["block", "doc_ids", "counts", "n_words", "codes"])
+                ["block", "doc_ids", "counts", "words", "codes"])
+            number += 1
 
 
 def _encoder(text: str):
-    def pack(batches: list[pa.RecordBatch], known: dict) -> pa.RecordBatch:
+    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(batches).combine_chunks()
         word = t.column("word").combine_chunks().dictionary_encode()
         block = t.column("block").combine_chunks().dictionary_encode()
@@ -169,7 +163,8 @@ def _encoder(text: str):
             rows[1].append(code[s].astype("<u4").tobytes())
             rows[2].append(lens[w[s]].astype("<u4").tobytes())
             rows[3].append(flat[common.ranges(starts[w[s]], lens[w[s]])].astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], ["block", "codes", "lens", "ids"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["block", "codes", "lens", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -177,10 +172,10 @@ def _encoder(text: str):
             held.append(batch)
             n += batch.num_rows
             if n >= PACK_ROWS:
-                yield pack(held, {})
+                yield pack(held)
                 held, n = [], 0
         if n:
-            yield pack(held, {})
+            yield pack(held)
 
     return run
 
@@ -198,7 +193,7 @@ def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
         lens, starts = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         lens[code], starts[code] = size, np.cumsum(size) - size
         if (lens < 0).any():
-            raise RuntimeError("a block lost words: the input must be a stored table, see the module text")
+            raise RuntimeError("a block lost words")
         codes = np.frombuffer(zstandard.decompress(row["codes"]), "<u4").astype(np.int64)
         ids = flat[common.ranges(starts[codes], lens[codes])]
         upto = np.concatenate([[0], np.cumsum(lens[codes])])
@@ -209,20 +204,21 @@ def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
 
-def word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def word_table(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Encoded entries of the block dictionaries; each distinct word is encoded where its rows meet."""
-    entries = docs.select("doc_id", "text").mapInArrow(_words_of_blocks, "word string, block binary, code int")
+    entries = blocks.select("block", F.posexplode("words").alias("code", "word"))
     by_word = entries.repartition("word").sortWithinPartitions("word")
-    return by_word.mapInArrow(_encoder(vocabulary.text), "block binary, codes binary, lens binary, ids binary")
+    return by_word.mapInArrow(_encoder(vocabulary.text), "block bigint, codes binary, lens binary, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """doc_id, ids (array of int) of every row of ``docs``."""
     vocabulary = vocabulary or Vocabulary()
-    rows = docs.select("doc_id", "text").mapInArrow(
-        _rows_of_blocks, "block binary, doc_ids array<bigint>, counts array<bigint>, n_words bigint, codes binary")
-    words = word_table(docs, vocabulary)
-    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    blocks = common.cut(rows.mapInArrow(_blocks, _BLOCKS), "bpe-blocks")
+    words = word_table(blocks, vocabulary)
+    documents = blocks.select("block", "doc_ids", "counts", F.size("words").cast("bigint").alias("n_words"), "codes")
+    return documents.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
