@@ -1,10 +1,10 @@
 """BPE encoding and decoding over a table of distinct words.
 
-A task cuts its documents into blocks of about ``BLOCK_BYTES`` of text. A block
-is its own small dictionary: the distinct words and, for every document, the
-numbers of its words in order. The blocks are written once to the shared folder;
-all that follows reads them, so no text is parsed twice, and a block keeps its
-words whatever task is run again. Spark explodes the dictionaries to (word,
+A task cuts its documents into blocks of about ``BLOCK_BYTES`` of text, parsed in
+slices of ``SLICE_BYTES``. A block is its own small dictionary: the distinct words
+and, for every document, the numbers of its words in order. The blocks are
+written once to the shared folder; all that follows reads them, so no text is
+parsed twice, and a block keeps its words whatever task is run again. Spark explodes the dictionaries to (word,
 block, number) rows and sorts them by word; each distinct word is encoded once,
 and its ids go back to the blocks, where the numbers, position by position,
 become ids. So a word crosses the shuffle once per block, never once per
@@ -20,7 +20,7 @@ the vocabulary: it is packed into one row, joined by broadcast, and read by
 position. Pieces are joined by a blank, as the library does without decoder.
 
 Null and empty texts have no ids and decode to an empty text. Null ids and
-repeated rows are kept as rows. A text longer than a block is a block of its
+repeated rows are kept as rows. A text longer than a slice is a slice of its
 own, and must fit its task some times over. An empty table gives an empty table.
 Other columns of the input, also ones named like a result, are ignored.
 """
@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import common
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 # Entries of the sorted word table that a task encodes and packs at once.
 PACK_ROWS = 200_000
 # Letters that every Unicode version knows, then closing punctuation. Without U+0130,
@@ -123,30 +124,65 @@ def _block(batch: pa.RecordBatch) -> tuple[int, pa.Array, np.ndarray, np.ndarray
     return batch.num_rows, pieces.dictionary.take(pa.array(order)).cast(pa.string()), rank[out], counts
 
 
-_BLOCKS = "block bigint, doc_ids array<bigint>, counts array<bigint>, words array<string>, codes binary"
+_BLOCKS = ("block bigint, doc_ids array<array<bigint>>, counts array<array<bigint>>, codes array<binary>, words array<string>")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(a: np.ndarray) -> bytes:
+    """Numbers as zstandard over byte planes: the planes of small numbers vanish."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpack(b: bytes) -> np.ndarray:
     import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def _dictionary(slices: list[tuple]) -> tuple[pa.Array, list[np.ndarray]]:
+    """One dictionary for the slices of a block, words by falling frequency, and the codes of each slice in it."""
+    words = pa.concat_arrays([w for _, w, _, _ in slices]).dictionary_encode()
+    number = words.indices.to_numpy()
+    edges = np.cumsum([0, *(len(w) for _, w, _, _ in slices)])
+    own = [number[a:b] for a, b in zip(edges, edges[1:])]
+    often = np.zeros(len(words.dictionary), np.int64)
+    for to, (_, _, codes, _) in zip(own, slices):
+        often[to] += np.bincount(codes, minlength=len(to))
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    return words.dictionary.take(pa.array(order)), [rank[to[codes]] for to, (_, _, codes, _) in zip(own, slices)]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     # Partition and count name a block: the table of blocks holds one attempt of each task.
-    number = TaskContext.get().partitionId() << 32
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def flush() -> pa.RecordBatch:
+        words, codes = _dictionary(held)
+        columns = [number], [[d for d, *_ in held]], [[c.tolist() for *_, c in held]], [list(map(pack, codes))]
+        kinds = pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.binary())
+        words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), words], ["block", "doc_ids", "counts", "codes", "words"])
+
     for batch in batches:
-        for part in common.slices(batch, limit=BLOCK_BYTES):
+        for part in common.slices(batch, limit=SLICE_BYTES):
             _, words, codes, counts = _block(part)
-            packed = zstandard.compress(codes.astype("<u4").tobytes(), 3)
-            one = pa.array([0, len(words)], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                 pa.array([counts.tolist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(one, words),
-                 pa.array([packed], pa.binary())],
-                ["block", "doc_ids", "counts", "words", "codes"])
-            number += 1
+            held.append((part.column("doc_id").to_pylist(), words, codes, counts))
+            size += part.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield flush()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield flush()
 
 
 def _encoder(text: str):
-    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def encoded(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(batches).combine_chunks()
         word = t.column("word").combine_chunks().dictionary_encode()
         block = t.column("block").combine_chunks().dictionary_encode()
@@ -172,19 +208,17 @@ def _encoder(text: str):
             held.append(batch)
             n += batch.num_rows
             if n >= PACK_ROWS:
-                yield pack(held)
+                yield encoded(held)
                 held, n = [], 0
         if n:
-            yield pack(held)
+            yield encoded(held)
 
     return run
 
 
 def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of the documents of one block."""
-    import zstandard
-
-    out = []
+    out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})]
     code = np.frombuffer(b"".join(words.column("codes").to_pylist()), "<u4").astype(np.int64)
     size = np.frombuffer(b"".join(words.column("lens").to_pylist()), "<u4").astype(np.int64)
     flat = np.frombuffer(b"".join(words.column("ids").to_pylist()), "<u4").astype(np.int32)
@@ -194,14 +228,15 @@ def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
         lens[code], starts[code] = size, np.cumsum(size) - size
         if (lens < 0).any():
             raise RuntimeError("a block lost words")
-        codes = np.frombuffer(zstandard.decompress(row["codes"]), "<u4").astype(np.int64)
-        ids = flat[common.ranges(starts[codes], lens[codes])]
-        upto = np.concatenate([[0], np.cumsum(lens[codes])])
-        ends = upto[np.concatenate([[0], np.cumsum(np.asarray(row["counts"], np.int64))])]
-        out.append(pa.table({
-            "doc_id": pa.array(row["doc_ids"], pa.int64()),
-            "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))}))
-    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+        for doc_ids, counts, packed in zip(row["doc_ids"], row["counts"], row["codes"]):
+            codes = unpack(packed).astype(np.int64)
+            ids = flat[common.ranges(starts[codes], lens[codes])]
+            upto = np.concatenate([[0], np.cumsum(lens[codes])])
+            ends = upto[np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])]
+            out.append(pa.table({
+                "doc_id": pa.array(doc_ids, pa.int64()),
+                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))}))
+    return pa.concat_tables(out)
 
 
 def word_table(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -216,7 +251,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     vocabulary = vocabulary or Vocabulary()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     blocks = common.cut(rows.mapInArrow(_blocks, _BLOCKS), "bpe-blocks")
-    words = word_table(blocks, vocabulary)
+    words = common.cut(word_table(blocks, vocabulary), "bpe-words")
+    common.release(docs.sparkSession)  # the (word, block, number) rows have done their work
     documents = blocks.select("block", "doc_ids", "counts", F.size("words").cast("bigint").alias("n_words"), "codes")
     return documents.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +46,51 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return subdir(subdir(base, "llm"), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with every column but the used ones renamed by its position, so
+    that no user column can clash with one of ours, and the new names in order.
+    ``select(*names).toDF(*docs.columns)`` brings the old names back."""
+    names = [c if c in used else f"__c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+_SCRATCH: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    and the table survives the loss of any executor."""
+    and the table survives the loss of any executor. Inside ``scratch`` the
+    table lives until the end of the block; with ``keep``, of the block around it."""
     path = work_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark drops them once the
+    driver has collected the objects that refer to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are ``cut`` inside the block are deleted at its end. What the
+    block hands on must be cut with ``keep`` (or be read to its end)."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in paths:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        release(spark)
+
+
 def one_by_one(files: DataFrame, key: str, most: int = 20_000) -> DataFrame:
     """Deal a small table of file names over about as many tasks as files:
     their number is given, so that adaptive execution doesn't join the tasks."""
