@@ -35,7 +35,9 @@ meet in a task, and only a count per class and block pair leaves it.
 
 Null and empty texts have no shingle, class or link: their component is their
 own id. Rows with equal text are linked, also if ids repeat; null ids don't
-count for the smallest id. An empty table gives no rows. Two different
+count for the smallest id. An empty table gives no rows. Other columns don't
+matter; ``keep_one`` carries them along whatever their names. A very long text
+is one row of its shingles, which must fit its task some times over. Two different
 shingles of a pair share a 64-bit hash with a chance of about n * m / 2**64.
 """
 
@@ -149,14 +151,25 @@ def prefixes(d: DataFrame, percent: int) -> DataFrame:
     """cls, doc_id, n, l, own (shingles that are not hot), prefix: the adaptive
     prefix of every class. The order is known to its end, or as far as cold goes."""
     d = d.withColumn("width", _width(F.col("n"), percent)).withColumn("own", F.size("cold"))
-    work = F.aggregate("hot", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["df"])))
-    d = d.withColumn("work", work).withColumn("order", F.concat("cold", "hot.token")).withColumn("known", F.size("order"))
+    d = d.withColumn("order", F.concat("cold", "hot.token")).withColumn("known", F.size("order"))
     # Most candidates are of about the same size, and meet within this much narrower part of the prefix.
     d = d.withColumn("alike", (F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).cast("int"))
 
+    def reach(level: Column) -> Column:
+        return F.least(F.col("known"), F.col("alike") + level)
+
+    def deep(level: Column) -> Column:  # hot shingles within reach
+        return F.greatest(reach(level) - F.col("own"), F.lit(0))
+
+    def counts(hot: Column) -> Column:
+        return F.aggregate(hot, F.lit(0).cast("long"), lambda a, x: a + x["df"])
+
+    # The levels differ by their last few hot shingles only: one sum for what all reach, and those few.
+    d = d.withColumn("deep", deep(F.lit(1)))
+    d = d.withColumn("base", counts(F.slice("hot", F.lit(1), F.col("deep")))).withColumn("last", F.slice("hot", F.col("deep") + 1, F.lit(LEVELS)))
+
     def cost(level: Column) -> Column:
-        reach = F.least(F.col("known"), F.col("alike") + level)
-        entries = F.least(reach, F.col("own")) + F.element_at("work", F.greatest(reach - F.col("own"), F.lit(0)) + 1)
+        entries = F.least(reach(level), F.col("own")) + F.col("base") + counts(F.slice("last", F.lit(1), deep(level) - F.col("deep")))
         return F.struct((entries * (1 + F.col("n") * COMPARE / level)).alias("cost"), level.alias("l"))
 
     most = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.col("known") - F.col("width")))
@@ -380,6 +393,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ties by class and text hash). Groups are told apart by their root and rows by
     id and text hash, as ids may be null or name several texts. Rows without
     shingles are in no group and stay."""
+    docs, inner, known = *common.aside(docs, "doc_id", "text"), docs.columns
     rows, root, _ = grouped(docs, k, percent)
     # Rows equal in id and text, then classes, then groups: each step has few rows left for the next.
     same = rows.where("cls is not null").groupBy("cls", "doc_id", "key").agg(F.count("*").alias("n"))
@@ -397,7 +411,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     left = named("n = 1")
     if not one.where("n > 1").isEmpty():  # repeated rows: one of them stays
         left = left.unionByName(named("n > 1").dropDuplicates(["doc_id", "__key"]))
-    return left.select(*docs.columns)
+    return left.select(*inner).toDF(*known)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
