@@ -216,9 +216,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame) -> DataFrame:
     """(ord, key) of the documents whose whole text a smaller id has."""
-    names = keyed(docs).select("ord", "key", F.sha2("text", 256).alias("sha"))
+    names = keyed(docs).select("ord", "key", F.unhex(F.sha2("text", 256)).alias("sha"))
     names = common.cut(names, "text-names")
     first = names.groupBy("sha").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
+    # One row per text that has copies; joined by broadcast while small, so that no group of copies meets in a task.
+    first = common.broadcast_if_small(common.cut(first.select("sha", "first"), "text-firsts"), 64)
     return common.cut(names.join(first, "sha").where("ord > first").select("ord", "key").distinct(), "text-copies")
 
 
@@ -232,6 +234,8 @@ def affected(texts: DataFrame, marks, within: bool, size: int | None = None) ->
         _pack(marks, parts, within),
         "block binary, part int, hashes binary, places binary, doc_ids array<bigint>, keys array<bigint>, offsets array<bigint>"), "anchors")
     met = packed.where("part >= 0").select("block", "part", "hashes", "places").groupBy("part").applyInArrow(_meet, "block binary, at binary")
+    met = common.cut(met, "shared-anchors")
+    common.release(texts.sparkSession)
     blocks = packed.where("part < 0").select("block", "doc_ids", "keys", "offsets")
     return common.cut(blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(
         _give_back, "ord bigint, key bigint, places binary"), "affected")

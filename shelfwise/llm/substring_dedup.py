@@ -16,7 +16,9 @@ task holds one Arrow batch and the open node.
 Exact copies of a text with a smaller id repeat every window; they are told
 by their text hash and don't enter the tree. Null and empty texts have no
 words. Null ids come last and don't count as earlier than each other. Rows
-equal in id and text have the same result. An empty table gives no rows.
+equal in id and text have the same result. An empty table gives no rows. A very
+long text is cut into words at once and must fit its task some times over.
+``dedup`` and ``strip`` carry other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,11 +42,13 @@ SALTS = 64
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch):
-            starts, _, offsets = anchors.shared_windows(part, anchors.word_units, GRAM, WINDOW)
+            flat, ends = common.flat_words(part.column("text"))
+            word = common.word_hashes(flat)
+            units = lambda _, k: (common.gram_hashes(word, k), ends)  # noqa: B023, E731  used at once
+            starts, _, offsets = anchors.shared_windows(part, units, GRAM, WINDOW)
             if not len(starts):
                 continue
-            flat, _ = common.flat_words(part.column("text"))
-            four = common.gram_hashes(common.word_hashes(flat), STEP)
+            four = common.gram_hashes(word, STEP)
             row = np.searchsorted(offsets, starts, "right") - 1
             low = [four[starts + STEP * i] >> np.uint64(32) for i in range(1, 5)]
             yield pa.RecordBatch.from_arrays(
@@ -59,27 +63,33 @@ _PREFIX = ["p1", "xxhash64(p1, shiftright(p2, 32))", "xxhash64(p1, p2)", "xxhash
 
 
 def grouped(suffixes: DataFrame, most: int = GROUP_ROWS) -> tuple[DataFrame, bool]:
-    """Adds ``grp`` (prefix of variable length) and ``salt``; whether any group is salted."""
-    left, grp, salted = suffixes, None, F.lit(False)
-    levels = []
-    for depth, prefix in enumerate(_PREFIX):
-        large = common.cut(left.groupBy(F.expr(prefix).alias("c")).count().where(F.col("count") > most).select("c"), "large-prefixes")
-        if large.isEmpty():
-            break
-        levels.append((depth, large))
-        left = left.join(common.broadcast_if_small(large, 16), F.expr(prefix) == F.col("c"), "left_semi")
-    out = suffixes.withColumn("grp", F.expr(_PREFIX[0]))
-    for depth, large in levels:
-        mark = large.select(F.col("c").alias("mark"))
-        out = out.join(common.broadcast_if_small(mark, 16), F.col("grp") == F.col("mark"), "left")
-        longer = F.expr(_PREFIX[depth + 1]) if depth < 4 else F.col("grp")
-        if depth == 4:
-            salted = F.col("mark").isNotNull()
-        out = out.withColumn("grp", F.when(F.col("mark").isNotNull(), longer).otherwise(F.col("grp")))
-        out = out.withColumn("salted", salted).drop("mark")
-    if not levels:
-        out = out.withColumn("salted", F.lit(False))
-    return out.withColumn("salt", F.when(F.col("salted"), F.pmod(F.xxhash64("ord", "key"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")), len(levels) == 5
+    """Adds ``grp`` (prefix of variable length) and ``salt``; whether any group is salted.
+
+    Suffixes whose first symbol is in a large group are stored, and only they
+    are counted again for longer prefixes; the others keep the first symbol."""
+    first = F.expr(_PREFIX[0])
+    large = common.cut(suffixes.groupBy(first.alias("c")).count().where(F.col("count") > most).select("c"), "large-prefixes")
+    plain = [F.lit(False).alias("salted"), F.lit(0).alias("salt")]
+    if large.isEmpty():
+        return suffixes.select("*", first.alias("grp"), *plain), False
+    marks = common.broadcast_if_small(large, 16)
+    some = common.cut(suffixes.join(marks, first == F.col("c"), "left_semi"), "large-suffixes")
+    rest = suffixes.join(marks, first == F.col("c"), "left_anti").select("*", first.alias("grp"), *plain)
+    some = some.withColumn("grp", first).withColumn("salted", F.lit(False))
+    for depth in range(5):
+        if depth:
+            large = common.cut(some.groupBy("grp").count().where(F.col("count") > most).select(F.col("grp").alias("c")), "large-prefixes")
+            if large.isEmpty():
+                break
+        mark = common.broadcast_if_small(large.select(F.col("c").alias("mark")), 16)
+        some = some.join(mark, F.col("grp") == F.col("mark"), "left")
+        held = F.col("mark").isNotNull()
+        if depth < 4:
+            some = some.withColumn("grp", F.when(held, F.expr(_PREFIX[depth + 1])).otherwise(F.col("grp"))).drop("mark")
+        else:
+            some = some.withColumn("salted", held).drop("mark")
+    salt = F.when(F.col("salted"), F.pmod(F.xxhash64("ord", "key"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    return rest.unionByName(some.withColumn("salt", salt)), depth == 4 and not large.isEmpty()
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +131,17 @@ def repeated(suffixes: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(whole copies as ord, key; window starts to remove as ord, key, starts)."""
-    same = copies(docs)
-    texts = anchors.keyed(docs)
-    texts = texts.join(common.broadcast_if_small(same, 32), ["ord", "key"], "left_anti")
-    info = anchors.affected(texts, anchors.anchor_marks(anchors.word_units, GRAM, WINDOW), within=True)
-    suffixes = anchors.with_info(texts, info, anchors.bytes_per_row(info, "places")[0]).mapInArrow(_suffixes, _SUFFIX)
-    starts = repeated(suffixes).groupBy("ord", "key").agg(F.collect_set(F.col("start").cast("int")).alias("starts"))
-    return same, common.cut(starts, "removed-windows")
+    spark = docs.sparkSession
+    with common.scratch(spark):
+        same = copies(docs)
+        texts = anchors.keyed(docs)
+        texts = texts.join(common.broadcast_if_small(same, 32), ["ord", "key"], "left_anti")
+        with common.scratch(spark):
+            info = anchors.affected(texts, anchors.anchor_marks(anchors.word_units, GRAM, WINDOW), within=True)
+            info = common.cut(info, "affected", keep=True)
+        suffixes = anchors.with_info(texts, info, anchors.bytes_per_row(info, "places")[0]).mapInArrow(_suffixes, _SUFFIX)
+        starts = repeated(suffixes).groupBy("ord", "key").agg(F.collect_set(F.col("start").cast("int")).alias("starts"))
+        return common.cut(same, "text-copies", keep=True), common.cut(starts, "removed-windows", keep=True)
 
 
 copies = anchors.copies
@@ -158,7 +172,9 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
     windows = common.broadcast_if_small(windows.toDF("__ord", "__key", "__starts"), -(-(size["b"] or 0) // max(1, size["n"])))
     same = common.broadcast_if_small(same.toDF("__ord", "__key"), 32)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept")]
+    results = ["n_words", "n_removed", "kept"]
+    docs, names, known = *common.aside(docs, "doc_id", "text"), docs.columns
+    rest = [n for n, c in zip(names, known) if c not in ("text", *results)]
     d = docs.select(*rest, text.alias("text"), F.coalesce("doc_id", F.lit(anchors.LAST_ID)).alias("__ord"), F.xxhash64(text).alias("__key"))
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in rest)
     cut = d.join(windows, ["__ord", "__key"]).select(*rest, "text", "__starts").mapInArrow(
@@ -169,7 +185,8 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
     lost = F.col("__copy").isNotNull() & (F.col("__n") >= WINDOW)
     whole = whole.select(*rest, F.col("__n").alias("n_words"), F.when(lost, F.col("__n")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
                          F.when(lost, F.lit("")).otherwise(F.col("text") if untouched else F.array_join("__w", " ")).alias("kept"))
-    return cut.unionByName(whole)
+    out = cut.unionByName(whole).select(*rest, *results)
+    return out.toDF(*[known[names.index(n)] for n in rest], *results)
 
 
 def strip(docs: DataFrame) -> DataFrame:

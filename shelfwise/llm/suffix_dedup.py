@@ -14,7 +14,8 @@ Exact copies of a text with a smaller id are told by their text hash and don't
 enter the arrays. Null and empty texts have no bytes. Null ids come last and
 are not smaller than each other; the same holds for different texts with one
 id. Rows equal in id and text have the same result. An empty table gives no
-rows. Other columns are carried along by ``dedup``.
+rows. A very long text is cut into windows at once and must fit its task some
+times over. ``dedup`` carries other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,24 +127,28 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(whole copies as ord, key; removed runs as ord, key, runs)."""
-    same = anchors.copies(docs)
-    texts = anchors.keyed(docs)
-    texts = texts.join(common.broadcast_if_small(same, 32), ["ord", "key"], "left_anti")
-    info = anchors.affected(texts, anchors.anchor_marks(anchors.byte_units, GRAM, WINDOW), within=False)
-    row, size = anchors.bytes_per_row(info, "places")
-    # Second round: anchors with 16 bytes of context on the side where a window has them.
-    info = anchors.affected(anchors.with_info(texts, info, row), anchors.context_marks(GRAM), within=False, size=size * 16)
-    row, size = anchors.bytes_per_row(info, "places")
-    shards = max(8, size // 8 * SEGMENT_BYTES // SHARD_BYTES)
-    found = anchors.with_info(texts, info, row)
-    members = common.cut(found.mapInArrow(_segments(int(shards)), _SEGMENT), "segments")
-    distinct = members.groupBy("shard", "segment").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    firsts = distinct.groupBy("shard").applyInArrow(_shard, "name binary, firsts array<bigint>")
-    named = members.mapInArrow(_named, "ord bigint, key bigint, start bigint, name binary")
-    runs = named.join(firsts, "name").select("ord", "key", "start", "firsts").mapInArrow(
-        _judge, "ord bigint, key bigint, start bigint, stop bigint")
-    runs = runs.groupBy("ord", "key").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("a"), F.col("stop").cast("int").alias("b"))).alias("runs"))
-    return same, common.cut(runs, "removed-runs")
+    spark = docs.sparkSession
+    with common.scratch(spark):
+        same = anchors.copies(docs)
+        texts = anchors.keyed(docs)
+        texts = texts.join(common.broadcast_if_small(same, 32), ["ord", "key"], "left_anti")
+        with common.scratch(spark):
+            info = anchors.affected(texts, anchors.anchor_marks(anchors.byte_units, GRAM, WINDOW), within=False)
+            row, size = anchors.bytes_per_row(info, "places")
+            # Second round: anchors with 16 bytes of context on the side where a window has them.
+            info = anchors.affected(anchors.with_info(texts, info, row), anchors.context_marks(GRAM), within=False, size=size * 16)
+            row, size = anchors.bytes_per_row(info, "places")
+            shards = max(8, size // 8 * SEGMENT_BYTES // SHARD_BYTES)
+            found = anchors.with_info(texts, info, row)
+            members = common.cut(found.mapInArrow(_segments(int(shards)), _SEGMENT), "segments", keep=True)
+        distinct = members.groupBy("shard", "segment").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+        firsts = common.cut(distinct.groupBy("shard").applyInArrow(_shard, "name binary, firsts array<bigint>"), "segment-firsts")
+        common.release(spark)
+        named = members.mapInArrow(_named, "ord bigint, key bigint, start bigint, name binary")
+        runs = named.join(firsts, "name").select("ord", "key", "start", "firsts").mapInArrow(
+            _judge, "ord bigint, key bigint, start bigint, stop bigint")
+        runs = runs.groupBy("ord", "key").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("a"), F.col("stop").cast("int").alias("b"))).alias("runs"))
+        return common.cut(same, "text-copies", keep=True), common.cut(runs, "removed-runs", keep=True)
 
 
 def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +180,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     runs = common.broadcast_if_small(runs.toDF("__ord", "__key", "__runs"), -(-(size["b"] or 0) // max(1, size["n"])))
     same = common.broadcast_if_small(same.toDF("__ord", "__key"), 32)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rest = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept")]
+    results = ["n_bytes", "n_removed", "n_spans", "kept"]
+    docs, names, known = *common.aside(docs, "doc_id", "text"), docs.columns
+    rest = [n for n, c in zip(names, known) if c not in ("text", *results)]
     d = docs.select(*rest, text.alias("text"), F.coalesce("doc_id", F.lit(anchors.LAST_ID)).alias("__ord"), F.xxhash64(text).alias("__key"))
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in rest)
     cut = d.join(runs, ["__ord", "__key"]).select(*rest, "text", "__runs").mapInArrow(
@@ -186,7 +193,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     whole = whole.select(*rest, n.alias("n_bytes"), F.when(lost, n).otherwise(none).alias("n_removed"),
                          F.when(lost, F.lit(1).cast("long")).otherwise(none).alias("n_spans"),
                          F.when(lost, F.lit("")).otherwise(F.col("text")).cast("binary").alias("kept"))
-    return cut.unionByName(whole)
+    out = cut.unionByName(whole).select(*rest, *results)
+    return out.toDF(*[known[names.index(n)] for n in rest], *results)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
