@@ -19,7 +19,10 @@ and up to ``FIXES`` single copies are added or taken to close what is left.
 
 Documents with null or empty text have size 0 and take nothing. Repeated rows
 each have their own copies; the result does not depend on row order. Sources
-without words have target 0. Everything is DataFrame operations.
+without words have target 0. Null ids are ids like any other; a text of any
+length counts by its words. An empty table gives no rows. Other columns don't
+matter to ``mix``; ``apply`` carries them along whatever their names.
+Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -155,13 +158,14 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
+    docs, names, known = *common.aside(docs, "doc_id", "text", "source"), docs.columns
     taken = common.cut(mix(docs).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-copies")
     d = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
     if not taken.where("rows > 1").isEmpty():  # repeated rows: one of them stands for all
         d = d.dropDuplicates(["doc_id", "__key"])
     taken = taken.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("copies").alias("__copies"))
     d = d.join(common.broadcast_if_small(taken, 32), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
-    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*names).toDF(*known)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

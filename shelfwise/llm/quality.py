@@ -11,6 +11,9 @@ of its words is depleted and rejected.
 Copies of one text count once, so a text is not rejected for being copied.
 Null texts have no words and fail the base rules; null hosts form a host of
 their own. Rows equal in id and text share one verdict, given for each row.
+A very long text is one row of word and line arrays, which must fit its task
+some times over. An empty table gives no rows. Other columns don't matter to
+``judge``; ``keep_good`` carries them along whatever their names.
 Everything is DataFrame operations; text is never shuffled, only hashes are.
 """
 
@@ -125,6 +128,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that pass, with the lines above the limits taken out of the text."""
+    docs, names, known = *common.aside(docs, "doc_id", "text", "source", "n_chars"), docs.columns
     verdict, out = judge(docs)
     good = verdict.where("kept").select("__id", "__text").distinct()
     gone = out.groupBy("__id", "__text").agg(F.collect_set("h").alias("__gone"))
@@ -132,4 +136,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(normal_line(x)))), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
     n_chars = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return d.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
+    return d.withColumn("n_chars", n_chars).withColumn("text", text).select(*names).toDF(*known)

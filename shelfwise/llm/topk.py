@@ -132,8 +132,9 @@ def search(table: DataFrame, every: int = EVERY, top: int = TOP, block: int = QU
     vectors = common.cut(quantised(table), "vectors")
     queries = common.cut(vectors.where(F.col("vec_id") % every == 0).distinct(), "vector-queries")
     blocks = max(1, -(-queries.count() // block))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     parts = None
-    for b in range(blocks):  # one block of queries at a time is held by the driver
+    for b in range(blocks):  # a block's result is written and its broadcast let go before the next
         held = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).toArrow().combine_chunks()
         v = held.column("v").combine_chunks() if held.num_rows else None
         if v is None:
@@ -141,11 +142,13 @@ def search(table: DataFrame, every: int = EVERY, top: int = TOP, block: int = QU
         m = matrix(v.flatten().to_numpy(), v.offsets.to_numpy().astype(np.int64))
         shared = spark.sparkContext.broadcast((held.column("vec_id").to_numpy(), m))
         got = vectors.mapInArrow(_task(shared, top), "query_id bigint, vec_id bigint, score bigint")
+        got = common.cut(got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top), "vector-best")
+        shared.unpersist()
+        del shared, held, m
         parts = got if parts is None else parts.unionByName(got)
     if parts is None:
-        parts = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        parts = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint, rank int")
+    return parts.select("query_id", "rank", "vec_id", "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,16 @@ page id is a response; the others are revisits that name it and carry the
 HTTP header, with the full length, but no payload.
 
 Archives are closed at ``ARCHIVE_BYTES``, written under the shared folder
-through Arrow file systems under a temporary name and moved at the end; a
-repeated task writes the same archive again.
+through Arrow file systems under a temporary name and moved at the end. Their
+names hold a digest of their contents, and the returned table names the archives
+of one attempt of every task; those of a lost attempt are never read.
 
 Null html is an empty payload. Rows that share the largest id of their group
 (repeated rows) are all responses; a null id is never the largest unless all
 are null, and then all rows of the group are responses. Null urls have no
 target header; line ends in urls are escaped. An empty table gives no archive.
+Other columns are ignored. A record must fit its task some times over, however
+long its payload is; an archive with one long record is as long as that.
 """
 
 from __future__ import annotations
@@ -128,8 +131,11 @@ def _writer(folder: str, dictionary: bytes, limit: int):
         task, number, parts, size, n = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def close():
-            name = f"pages-{task:08d}-{number:06d}.warc.zst"
-            put(folder, name, archive_head(dictionary) + b"".join(parts))
+            # Rows come in the order of a shuffle, so a second attempt may deal them otherwise:
+            # the name says what the archive holds, and the table names those of one attempt.
+            data = archive_head(dictionary) + b"".join(parts)
+            name = f"pages-{task:08d}-{number:06d}-{hashlib.blake2b(data, digest_size=8).hexdigest()}.warc.zst"
+            put(folder, name, data)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "n_records"])
 
         for batch in batches:
@@ -160,15 +166,22 @@ def plan(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def sample(pages: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[bytes]:
-    """Payloads the dictionary is trained on; their number and bytes are bounded."""
+    """Payloads the dictionary is trained on; their number and bytes are bounded.
+    Rows are picked by hashes and lengths; html is read for those picked only."""
+    key = F.xxhash64("html").alias("k")
     small = pages.where(F.octet_length("html").between(1, most // 16)).select("page_id", "html")
-    out, size = [], 0
-    for r in small.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(rows).toLocalIterator():
-        out.append(record(r["page_id"], None, r["html"].encode(), "response"))
-        size += len(out[-1])
+    picked, size = [], 0
+    for r in small.select(F.xxhash64("page_id").alias("h"), "page_id", key, F.octet_length("html").alias("b")).orderBy(
+            "h", "page_id", "k").limit(rows).collect():
         if size >= most:
             break
-    return out
+        size += r["b"]
+        picked.append((r["page_id"], r["k"]))
+    chosen = pages.sparkSession.createDataFrame(list(set(picked)), "page_id bigint, k bigint").withColumnRenamed("page_id", "id")
+    found = small.select("page_id", "html", key).join(
+        F.broadcast(chosen), ["k"]).where(F.col("page_id").eqNullSafe(F.col("id"))).dropDuplicates(["page_id", "k"]).collect()
+    html = {(r["page_id"], r["k"]): r["html"] for r in found}
+    return [record(p, None, html[p, k].encode(), "response") for p, k in picked]
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, limit: int = ARCHIVE_BYTES) -> DataFrame:
