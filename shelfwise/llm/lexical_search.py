@@ -207,6 +207,12 @@ class Walk:
             if not len(near):
                 continue
             items = np.flatnonzero(np.isin(tree.node, near))
+            # Leaves of the items against the leaf of documents.
+            have = np.flatnonzero(leaves[leaf])
+            reach = slack * (tree.rows[np.ix_(items, used[have])] @ leaves[leaf, have])
+            items = items[reach >= np.maximum(1, self.least[items])]
+            if not len(items):
+                continue
             s = slice(edges[leaf], edges[leaf + 1])
             self.score(items, leaf * LEAF, ids, null, row[s], code[s], part[s])
 
