@@ -235,7 +235,6 @@ def affected(texts: DataFrame, marks, within: bool, size: int | None = None) ->
         "block binary, part int, hashes binary, places binary, doc_ids array<bigint>, keys array<bigint>, offsets array<bigint>"), "anchors")
     met = packed.where("part >= 0").select("block", "part", "hashes", "places").groupBy("part").applyInArrow(_meet, "block binary, at binary")
     met = common.cut(met, "shared-anchors")
-    common.release(texts.sparkSession)
     blocks = packed.where("part < 0").select("block", "doc_ids", "keys", "offsets")
     return common.cut(blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(
         _give_back, "ord bigint, key bigint, places binary"), "affected")

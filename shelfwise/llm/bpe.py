@@ -196,9 +196,9 @@ def _encoder(text: str):
         for i in range(len(block.dictionary)):
             s = slice(edges[i], edges[i + 1])
             rows[0].append(block.dictionary[i].as_py())
-            rows[1].append(code[s].astype("<u4").tobytes())
-            rows[2].append(lens[w[s]].astype("<u4").tobytes())
-            rows[3].append(flat[common.ranges(starts[w[s]], lens[w[s]])].astype("<u4").tobytes())
+            rows[1].append(pack(code[s]))
+            rows[2].append(pack(lens[w[s]]))
+            rows[3].append(pack(flat[common.ranges(starts[w[s]], lens[w[s]])]))
         return pa.RecordBatch.from_arrays(
             [pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["block", "codes", "lens", "ids"])
 
@@ -219,9 +219,8 @@ def _encoder(text: str):
 def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of the documents of one block."""
     out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})]
-    code = np.frombuffer(b"".join(words.column("codes").to_pylist()), "<u4").astype(np.int64)
-    size = np.frombuffer(b"".join(words.column("lens").to_pylist()), "<u4").astype(np.int64)
-    flat = np.frombuffer(b"".join(words.column("ids").to_pylist()), "<u4").astype(np.int32)
+    code, size, flat = (np.concatenate([np.empty(0, np.int64), *map(unpack, words.column(c).to_pylist())]).astype(np.int64)
+                        for c in ("codes", "lens", "ids"))
     for row in documents.to_pylist():
         n = row["n_words"]
         lens, starts = np.full(n, -1, np.int64), np.zeros(n, np.int64)
@@ -252,7 +251,6 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     blocks = common.cut(rows.mapInArrow(_blocks, _BLOCKS), "bpe-blocks")
     words = common.cut(word_table(blocks, vocabulary), "bpe-words")
-    common.release(docs.sparkSession)  # the (word, block, number) rows have done their work
     documents = blocks.select("block", "doc_ids", "counts", F.size("words").cast("bigint").alias("n_words"), "codes")
     return documents.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -55,24 +54,26 @@ def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
 
 
 _SCRATCH: list[list[str]] = []
+# Spark drops the shuffle files of a statement when it ends (they would live as long as the session's driver otherwise).
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    and the table survives the loss of any executor. Inside ``scratch`` the
-    table lives until the end of the block; with ``keep``, of the block around it."""
-    path = work_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    and the table survives the loss of any executor. The shuffle files of the
+    statement go when it ends, as nothing reads them again. Inside ``scratch``
+    the table lives until the end of the block; with ``keep``, of the block around it."""
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     if len(_SCRATCH) > keep:
         _SCRATCH[-1 - keep].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs: Spark drops them once the
-    driver has collected the objects that refer to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
@@ -88,7 +89,6 @@ def scratch(spark: SparkSession):
         for path in paths:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        release(spark)
 
 
 def one_by_one(files: DataFrame, key: str, most: int = 20_000) -> DataFrame:

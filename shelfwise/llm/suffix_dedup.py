@@ -143,7 +143,6 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             members = common.cut(found.mapInArrow(_segments(int(shards)), _SEGMENT), "segments", keep=True)
         distinct = members.groupBy("shard", "segment").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
         firsts = common.cut(distinct.groupBy("shard").applyInArrow(_shard, "name binary, firsts array<bigint>"), "segment-firsts")
-        common.release(spark)
         named = members.mapInArrow(_named, "ord bigint, key bigint, start bigint, name binary")
         runs = named.join(firsts, "name").select("ord", "key", "start", "firsts").mapInArrow(
             _judge, "ord bigint, key bigint, start bigint, stop bigint")
