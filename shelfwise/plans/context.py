@@ -10,22 +10,24 @@ lost) or writes it as a checkpoint under the cluster's shared
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.functions.clock import DEFAULT_AS_OF, Clock
 from shelfwise.operators import stock
-from shelfwise.session import checkpoint_dir
+from shelfwise.session import checkpoint_dir, footer_session
 from shelfwise.sources import adapters, readers
 
 STOCK_VIEW = "current_stock_summary"
 
 
 class InventoryContext:
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], as_of=None):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], as_of=None,
+                 reopen: Callable[[SparkSession], Mapping[str, DataFrame]] | None = None):
         self.spark = spark
+        self._reopen = reopen  # opens the same tables in another session
         self.clock = Clock.now() if as_of is None else Clock.at(as_of)
         self.tables = tables  # may be lazy (adapters.DomainTables)
         self._stock: DataFrame | None = None
@@ -34,12 +36,19 @@ class InventoryContext:
     # -- construction -----------------------------------------------------
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF) -> "InventoryContext":
-        return cls(spark, adapters.domain_tables(spark, sf_dir), as_of)
+        return cls(spark, adapters.domain_tables(spark, sf_dir), as_of,
+                   lambda s: adapters.domain_tables(s, sf_dir))
 
     @classmethod
     def from_files(cls, spark: SparkSession, base: str, fmt: str = "parquet",
                    as_of=None) -> "InventoryContext":
-        return cls(spark, readers.read_tables(spark, base, fmt), as_of)
+        return cls(spark, readers.read_tables(spark, base, fmt), as_of,
+                   lambda s: readers.read_tables(s, base, fmt))
+
+    def footer_tables(self) -> Mapping[str, DataFrame]:
+        """The tables, opened so that counts and bounds of plain columns come from
+        the Parquet footers (``session.footer_session``)."""
+        return self.tables if self._reopen is None else self._reopen(footer_session(self.spark))
 
     @property
     def medicines(self) -> DataFrame:

@@ -44,7 +44,7 @@ def _q(build: Callable[[InventoryContext], DataFrame]) -> Query:
 
 
 TIER_A: dict[str, Query] = {
-    "table_row_counts": _q(lambda c: kpi.table_row_counts(c.tables)),
+    "table_row_counts": _q(lambda c: kpi.table_row_counts(c.footer_tables())),
     "current_stock_summary": _q(lambda c: stock.stock_summary_report(c.stock_summary())),
     "low_stock_alert": _q(lambda c: stock.low_stock_alert(c.stock_summary(), c.reorder)),
     "expiry_alert": _q(lambda c: expiry.expiry_alert(c.purchases_by_expiry, c.medicines, c.clock)),

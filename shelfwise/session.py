@@ -63,6 +63,21 @@ def build_session(
     return spark
 
 
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A child session (same SparkContext, own SQL conf) that reads Parquet with
+    aggregate push-down: COUNT, MIN and MAX over plain columns without a filter
+    are answered from the file footers, and no row group is read. Other queries
+    are better off with the default reader, so it is a session of its own."""
+    child = spark.newSession()
+    for key, value in spark.conf.getAll.items():  # inherit the caller's SQL settings
+        if key.startswith("spark.sql.") and child.conf.isModifiable(key):
+            child.conf.set(key, value)
+    v1 = [x for x in child.conf.get("spark.sql.sources.useV1SourceList").split(",") if x.strip() != "parquet"]
+    child.conf.set("spark.sql.sources.useV1SourceList", ",".join(v1))
+    child.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return child
+
+
 def checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 

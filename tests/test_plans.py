@@ -54,6 +54,30 @@ def test_fefo_pick_forms_no_range_join(plans):
     assert "Window [last(" in plan
 
 
+def test_row_counts_come_from_the_footers(plans):
+    scans = re.findall(r"BatchScan parquet .*", plans["table_row_counts"])
+    plain = [x for x in scans if "part.parquet" in x or ("lineitem.parquet" in x and "count(*)" in x)]
+    assert len(plain) == 3 and all("PushedAggregation: [COUNT(*)]" in x for x in plain), scans
+
+
+def test_profiles_of_plain_tables_come_from_the_footers(spark, tmp_dir):
+    from shelfwise.operators import quality
+    from shelfwise.plans.context import InventoryContext
+    from shelfwise.sources import readers
+
+    source = InventoryContext.from_driver(spark, SMALL_SF)
+    readers.export_tables(source.tables, tmp_dir, "parquet")
+    ctx = InventoryContext.from_files(spark, tmp_dir, "parquet", as_of="2001-03-01T12:00")
+    tables = ctx.footer_tables()
+    ranges = quality.date_range_profile(tables["purchases_transactions"], tables["sales_transactions"])
+    plan = physical(ranges)
+    assert len(re.findall(r"PushedAggregation: \[MIN\(", plan)) == 2
+    assert set(map(tuple, ranges.collect())) == set(map(tuple, quality.date_range_profile(source.purchases, source.sales).collect()))
+    nulls = quality.null_profile(tables["reorder_levels"], "reorder_levels")
+    assert "PushedAggregation: [COUNT(*), COUNT(" in physical(nulls)
+    assert set(map(tuple, nulls.collect())) == set(map(tuple, quality.null_profile(source.reorder, "reorder_levels").collect()))
+
+
 BY_EXPIRY = ["current_stock_summary", "expiry_alert", "total_investment", "category_valuation", "executive_kpis",
              "export_stock_status", "export_expiry", "stock_by_name", "expiry_band_distribution", "drilldown_rollup"]
 
