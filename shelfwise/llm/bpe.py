@@ -42,7 +42,8 @@ from shelfwise.llm import common
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 2 << 20
 # Entries of the sorted word table that a task encodes and packs at once.
-PACK_ROWS = 200_000
+PACK_ROWS = 50_000
+LIBRARY_ROWS = 10_000
 # Letters that every Unicode version knows, then closing punctuation. Without U+0130,
 # whose lower case ends in a mark that the tokenizer joins to the punctuation.
 CLOSED = "^(?P<word>[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)(?P<mark>[.,!?;:]+)$"
@@ -89,9 +90,11 @@ def encode_words(text: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     model = tok.model.tokenize
     for i, w in zip(np.flatnonzero(plain).tolist(), words.filter(pa.array(plain)).to_pylist()):
         found[i] = [t.id for t in model(w)]
-    rest = np.flatnonzero(~plain).tolist()
-    for i, e in zip(rest, tok.encode_batch_fast(words.take(pa.array(rest, pa.int64())).to_pylist(), add_special_tokens=False)):
-        found[i] = e.ids
+    rest = np.flatnonzero(~plain)
+    for a in range(0, len(rest), LIBRARY_ROWS):  # the library's results are large objects
+        at = rest[a:a + LIBRARY_ROWS]
+        for i, e in zip(at.tolist(), tok.encode_batch_fast(words.take(pa.array(at)).to_pylist(), add_special_tokens=False)):
+            found[i] = e.ids
     lens = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.fromiter((x for ids in found for x in ids), np.int32, int(lens.sum()))
     return flat, lens
@@ -124,7 +127,9 @@ def _block(batch: pa.RecordBatch) -> tuple[int, pa.Array, np.ndarray, np.ndarray
     return batch.num_rows, pieces.dictionary.take(pa.array(order)).cast(pa.string()), rank[out], counts
 
 
-_BLOCKS = ("block bigint, doc_ids array<array<bigint>>, counts array<array<bigint>>, codes array<binary>, words array<string>")
+# Two rows a block: its words, and its documents.
+_BLOCKS = ("kind string, block bigint, doc_ids array<array<bigint>>, counts array<array<bigint>>, codes array<binary>, "
+           "n_words bigint, words array<string>")
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -164,10 +169,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         words, codes = _dictionary(held)
-        columns = [number], [[d for d, *_ in held]], [[c.tolist() for *_, c in held]], [list(map(pack, codes))]
-        kinds = pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.binary())
-        words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), words], ["block", "doc_ids", "counts", "codes", "words"])
+        columns = (["brief", "lasting"], [number, number], [None, [d for d, *_ in held]], [None, [c.tolist() for *_, c in held]],
+                   [None, list(map(pack, codes))], [len(words), len(words)])
+        lists = pa.list_(pa.list_(pa.int64()))
+        kinds = pa.string(), pa.int64(), lists, lists, pa.list_(pa.binary()), pa.int64()
+        words = pa.ListArray.from_arrays(pa.array([0, len(words), len(words)], pa.int32()), words)
+        return pa.RecordBatch.from_arrays(
+            [*map(pa.array, columns, kinds), words], ["kind", "block", "doc_ids", "counts", "codes", "n_words", "words"])
 
     for batch in batches:
         for part in common.slices(batch, limit=SLICE_BYTES):
@@ -249,9 +257,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """doc_id, ids (array of int) of every row of ``docs``."""
     vocabulary = vocabulary or Vocabulary()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    blocks = common.cut(rows.mapInArrow(_blocks, _BLOCKS), "bpe-blocks")
-    words = common.cut(word_table(blocks, vocabulary), "bpe-words")
-    documents = blocks.select("block", "doc_ids", "counts", F.size("words").cast("bigint").alias("n_words"), "codes")
+    with common.two_tables(rows.mapInArrow(_blocks, _BLOCKS), "bpe-blocks", "kind") as (dictionaries, documents):
+        words = common.cut(word_table(dictionaries, vocabulary), "bpe-words")
+    documents = documents.select("block", "doc_ids", "counts", "n_words", "codes")
     return documents.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 

@@ -63,17 +63,40 @@ def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     and the table survives the loss of any executor. The shuffle files of the
     statement go when it ends, as nothing reads them again. Inside ``scratch``
     the table lives until the end of the block; with ``keep``, of the block around it."""
+    path = _write(df, name)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> str:
     spark = df.sparkSession
     path = work_folder(spark, name)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    if len(_SCRATCH) > keep:
-        _SCRATCH[-1 - keep].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+@contextmanager
+def two_tables(df: DataFrame, name: str, kind: str):
+    """Write ``df`` once and read it as two tables, the rows with ``kind`` "brief" and
+    "lasting". The brief ones are deleted at the end of the block."""
+    path = _write(df, name, (kind,))
+    spark = df.sparkSession
+    stored = spark.read.schema(df.schema).parquet(path)
+    try:
+        yield tuple(stored.where(F.col(kind) == k).drop(kind) for k in ("brief", "lasting"))  # each reads its own folder
+    finally:
+        _delete(spark, subdir(path, f"{kind}=brief"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @contextmanager
@@ -87,8 +110,7 @@ def scratch(spark: SparkSession):
     finally:
         _SCRATCH.pop()
         for path in paths:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, path)
 
 
 def one_by_one(files: DataFrame, key: str, most: int = 20_000) -> DataFrame:
