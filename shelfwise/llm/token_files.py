@@ -1,9 +1,12 @@
 """Binary token files with Re-Pair grammar compression.
 
-Documents in ascending id are cut into shards of about ``SHARD_TOKENS`` ids
-(one longer document is a shard of its own). In a shard, frequent id pairs are
+Documents in ascending id are dealt into ranges of about ``BUCKET_TOKENS`` ids, as
+many as the table needs, and each range is cut into shards of about
+``SHARD_TOKENS`` ids (one longer document is a shard of its own). A range may end
+inside the rows of one id, or of the null ids. In a shard, frequent id pairs are
 replaced by nonterminals, round by round with falling thresholds, until no
-pair occurs ``LEAST`` times; pairs never cross a document. A file holds the
+pair occurs ``LEAST`` times, where a rule costs as much as it saves; pairs never
+cross a document. A file holds the
 rules, the expansion length of every rule, the offset of every document and
 the symbols that are left. ``read_document`` decodes one document alone;
 ``read_ids`` decodes part of it: expansion lengths say which symbol holds an
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,7 +40,8 @@ from shelfwise.llm import bpe, common
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 BUCKET_TOKENS = 8 << 20
-LEAST = 16
+# A rule takes 12 bytes in a file and saves at least 2 at each place.
+LEAST = 7
 MAGIC = b"RPTOK001"
 
 
@@ -198,9 +203,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.append(flat[a:b], END_ID).astype("<u4") for a, b in zip(ends[:-1], ends[1:])]
         rows = [r.astype("<u2") if r.max() < 65536 else r for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("bucket"), pa.array([len(r) for r in rows], pa.int64()),
+            [batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
              pa.array([bytes([r.itemsize]) + zip_.compress(r.tobytes()) for r in rows], pa.binary())],
-            ["doc_id", "bucket", "n", "packed"])
+            ["doc_id", "n", "packed"])
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -212,7 +217,7 @@ def unpack(b: bytes) -> np.ndarray:
 def _writer(folder: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        bucket, number, n = None, 0, 0
+        bucket, number, n = TaskContext.get().partitionId(), 0, 0
 
         def flush():
             ids = np.concatenate([unpack(p).astype(np.int64) for _, p in held])
@@ -225,11 +230,9 @@ def _writer(folder: str, shard_tokens: int):
 
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (row["bucket"] != bucket or n + row["n"] > shard_tokens):
+                if held and n + row["n"] > shard_tokens:
                     yield flush()
-                    number = number + 1 if row["bucket"] == bucket else 0
-                    held, n = [], 0
-                bucket = row["bucket"]
+                    number, held, n = number + 1, [], 0
                 held.append((row["doc_id"], row["packed"]))
                 n += row["n"]
         if held:
@@ -238,34 +241,23 @@ def _writer(folder: str, shard_tokens: int):
     return run
 
 
-def bounds(docs: DataFrame, buckets: int) -> list[int]:
-    """Splitting ids; their number is the number of buckets, not of documents."""
-    marks = [i / buckets for i in range(1, buckets)]
-    row = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, marks)) if marks else F.lit(0.5), 100 * buckets).alias("p")).first()[0]
-    return sorted(set(row)) if marks and row else []
-
-
 def write(docs: DataFrame, folder: str, vocabulary: bpe.Vocabulary | None = None,
           shard_tokens: int = SHARD_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Write the files; returns their table: bucket, number, name, start, n_tokens, n_docs."""
-    stats = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()[0] or 0
-    cuts = bounds(docs, max(1, min(4096, stats // (4 * bucket_tokens) + 1)))
-    bucket = F.lit(0)
-    if cuts:  # the number of bounds that are not above the id
-        at = F.array(*map(F.lit, cuts))
-        bucket = F.coalesce(F.size(F.filter(at, lambda x: x < F.col("doc_id"))), F.lit(0))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket) + 1
-    ids = bpe.encode(docs, vocabulary).withColumn("bucket", bucket.cast("int"))
-    packed = ids.mapInArrow(_packed, "doc_id bigint, bucket int, n bigint, packed binary")
-    ordered = packed.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "n", "packed")
-    files = common.cut(ordered.mapInArrow(
-        _writer(folder, shard_tokens), "bucket int, number int, name string, n_tokens bigint, n_docs bigint"), "token-files")
-    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = files.groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens"))  # at most 4097 rows
-    total = total.select("bucket", before(W.orderBy("bucket")).alias("base"))
-    return common.cut(files.join(F.broadcast(total), "bucket").select(
-        "bucket", "number", "name", (F.col("base") + before(W.partitionBy("bucket").orderBy("number"))).alias("start"),
-        "n_tokens", "n_docs"), "token-index")
+    with common.scratch(docs.sparkSession):
+        # Stored, as the range bounds are sampled from it before it is dealt.
+        packed = common.cut(bpe.encode(docs, vocabulary).mapInArrow(_packed, "doc_id bigint, n bigint, packed binary"), "token-rows")
+        buckets = max(1, -(-(packed.agg(F.sum("n")).first()[0] or 0) // bucket_tokens))
+        order = [F.col("doc_id").asc_nulls_first(), "n", "packed"]
+        ordered = packed.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+        files = common.cut(ordered.mapInArrow(
+            _writer(folder, shard_tokens), "bucket int, number int, name string, n_tokens bigint, n_docs bigint"), "token-files")
+        before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        total = files.groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens"))  # one row per range
+        total = common.cut(total.select("bucket", before(W.orderBy("bucket")).alias("base")), "token-ranges")
+        return common.cut(files.join(common.broadcast_if_small(total, 24), "bucket").select(
+            "bucket", "number", "name", (F.col("base") + before(W.partitionBy("bucket").orderBy("number"))).alias("start"),
+            "n_tokens", "n_docs"), "token-index", keep=True)
 
 
 def _reader(folder: str):
