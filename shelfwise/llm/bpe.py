@@ -197,14 +197,15 @@ def _encoder(text: str):
         flat, lens = encode_words(text, word.dictionary)
         starts = np.cumsum(lens) - lens
         w, b = word.indices.to_numpy(), block.indices.to_numpy()
-        order = np.argsort(b, kind="stable")
-        w, code = w[order], t.column("code").to_numpy()[order]
+        code = t.column("code").to_numpy()
+        order = np.lexsort((code, b))  # rising codes of a block are kept as differences
+        w, code = w[order], code[order]
         edges = np.searchsorted(b[order], np.arange(len(block.dictionary) + 1))
         rows: list[list] = [[], [], [], []]
         for i in range(len(block.dictionary)):
             s = slice(edges[i], edges[i + 1])
             rows[0].append(block.dictionary[i].as_py())
-            rows[1].append(pack(code[s]))
+            rows[1].append(pack(np.diff(code[s], prepend=0)))
             rows[2].append(pack(lens[w[s]]))
             rows[3].append(pack(flat[common.ranges(starts[w[s]], lens[w[s]])]))
         return pa.RecordBatch.from_arrays(
@@ -227,8 +228,10 @@ def _encoder(text: str):
 def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of the documents of one block."""
     out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})]
-    code, size, flat = (np.concatenate([np.empty(0, np.int64), *map(unpack, words.column(c).to_pylist())]).astype(np.int64)
-                        for c in ("codes", "lens", "ids"))
+    def numbers(column: str, of=lambda a: a) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.int64), *(of(unpack(b).astype(np.int64)) for b in words.column(column).to_pylist())])
+
+    code, size, flat = numbers("codes", np.cumsum), numbers("lens"), numbers("ids").astype(np.int32)
     for row in documents.to_pylist():
         n = row["n_words"]
         lens, starts = np.full(n, -1, np.int64), np.zeros(n, np.int64)
