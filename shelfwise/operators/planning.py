@@ -108,17 +108,12 @@ def stock_health(summary: DataFrame, reorder: DataFrame) -> DataFrame:
     )
 
 
-def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFrame,
-                      suppliers: DataFrame, reorder: DataFrame, clock: Clock,
-                      window_days: int = rules.SALES_WINDOW_DAYS) -> DataFrame:
-    """C11: projected stock-out date (now + floor(days of cover)) and a
-    reorder alert when cover < slowest lead time + safety stock days. The
-    date is NULL beyond ``FORECAST_DAYS``; the cover is given in full.
-
-    Purchases are read once, reduced per (item, supplier) to the live stock
-    and the pair itself; the supplier lead time joins those pairs (a fact
-    row per pair, not per batch), and the per-item result meets the items.
-    """
+def _supply_and_demand(medicines: DataFrame, sales: DataFrame, purchases: DataFrame, suppliers: DataFrame,
+                       reorder: DataFrame, clock: Clock, window_days: int) -> DataFrame:
+    """Per item: live stock, slowest lead time of its suppliers, units sold in
+    the window, and its rule. Purchases are read once, reduced per (item,
+    supplier) to the live stock and the pair itself; the supplier lead time
+    joins those pairs (a row per pair, not per batch)."""
     q = F.col("quantity_remaining")
     live = clock.after_now(F.col("expiry_date")) & (q > 0)
     pairs = purchases.groupBy("medicine_id", "supplier_id").agg(F.sum(F.when(live, q)).alias("_s"))
@@ -127,13 +122,21 @@ def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFra
         .groupBy("medicine_id")
         .agg(F.sum("_s").alias("_stock"), F.max("lead_time_days").alias("lead_time_days"))
     )
-    sold = _sold_per_item(sales, clock, window_days)
-    j = (
+    return (
         medicines.select("medicine_id")
         .join(per_item, "medicine_id", "left")
-        .join(sold, "medicine_id", "left")
-        .join(reorder.select("medicine_id", "safety_stock_days"), "medicine_id", "left")
+        .join(_sold_per_item(sales, clock, window_days), "medicine_id", "left")
+        .join(reorder.select("medicine_id", "safety_stock_days", "min_stock_level"), "medicine_id", "left")
     )
+
+
+def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFrame,
+                      suppliers: DataFrame, reorder: DataFrame, clock: Clock,
+                      window_days: int = rules.SALES_WINDOW_DAYS) -> DataFrame:
+    """C11: projected stock-out date (now + floor(days of cover)) and a
+    reorder alert when cover < slowest lead time + safety stock days. The
+    date is NULL beyond ``FORECAST_DAYS``; the cover is given in full."""
+    j = _supply_and_demand(medicines, sales, purchases, suppliers, reorder, clock, window_days)
     units = F.coalesce(F.col("_sold"), F.lit(0)).cast("bigint")
     stock = F.coalesce(F.col("_stock"), F.lit(0)).cast("bigint")
     cover_days = F.when(units > 0, int_div(stock * window_days, F.when(units > 0, units)))
@@ -174,9 +177,9 @@ def reorder_minimum(medicines: DataFrame, sales: DataFrame, purchases: DataFrame
                     reorder: DataFrame, clock: Clock, window_days: int = rules.SALES_WINDOW_DAYS) -> DataFrame:
     """Units an item sells during its slowest supplier's lead time, at the
     rate of the last ``window_days``, against its rule's minimum."""
-    d = stockout_forecast(medicines, sales, purchases, suppliers, reorder, clock, window_days).select(
-        "medicine_id", "units_sold_30days", "lead_time_days")
-    d = d.join(reorder.select("medicine_id", "min_stock_level"), "medicine_id", "left")
+    d = _supply_and_demand(medicines, sales, purchases, suppliers, reorder, clock, window_days).select(
+        "medicine_id", F.coalesce(F.col("_sold"), F.lit(0)).cast("bigint").alias("units_sold_30days"),
+        F.col("lead_time_days").cast("int").alias("lead_time_days"), "min_stock_level")
     need = int_div(F.col("units_sold_30days") * F.coalesce("lead_time_days", F.lit(0)) + (window_days - 1), F.lit(window_days).cast("bigint"))
     return d.select(
         "medicine_id", "units_sold_30days", "lead_time_days", "min_stock_level", need.alias("demand_in_lead_time"),

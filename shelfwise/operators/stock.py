@@ -3,8 +3,8 @@ report, Q10a stock export, Q12 stock by name.
 
 Plan shape shared by all of them: the purchases fact is reduced to one row
 per ``medicine_id`` first (partial aggregation before the shuffle, so an
-item holding a third of all batches costs one row per map task), and only
-that per-item result is joined to the item and reorder dimensions. The
+item holding a third of all rows costs one row per map task, and where its
+distinct batches are counted one per map task and batch), and only that per-item result is joined to the item and reorder dimensions. The
 dimension joins are therefore 1:1 on the key and never skewed. Spark picks
 broadcast or shuffle for them from measured sizes (AQE); nothing here
 forces a broadcast of a table that grows with the data.
