@@ -18,10 +18,10 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from shelfwise.plans import registry  # noqa: E402
 from shelfwise.session import build_session  # noqa: E402
 
-STREAMING = {"stock_movement_windows", "low_stock_stream_alert"}
+STREAMING = {"stock_movement_windows", "closed_movement_windows", "low_stock_stream_alert"}
 
 
 def summarize(plan: str) -> list[str]:
@@ -46,13 +46,15 @@ def summarize(plan: str) -> list[str]:
                    "TakeOrderedAndProject", "Generate"):
             if body.startswith(op + " ") or body.startswith(op + "("):
                 ops[op] += 1
-        if body.startswith("FileScan"):
+        if body.startswith(("FileScan", "BatchScan")):
             table = re.search(r"\[file:[^\]]*/([\w.]+)\]", body)
             pushed = re.search(r"PushedFilters: \[([^\]]*)\]", body)
             schema = re.search(r"ReadSchema: (\S+)", body)
+            counted = re.search(r"PushedAggregation: \[([^\]]*)\]", body)
             scans.append(
                 f"{table.group(1) if table else '?'}: read {schema.group(1) if schema else '?'}"
                 + (f"; pushed [{pushed.group(1)}]" if pushed and pushed.group(1) else "")
+                + (f"; from the footers [{counted.group(1)}]" if counted and counted.group(1) else "")
             )
     out = [
         "- shuffles: " + (", ".join(f"{k} x{v}" for k, v in sorted(exchanges.items())) or "none"),
@@ -79,7 +81,7 @@ def main() -> None:
         "skewed ones. Streaming queries are not listed (they run a stream).",
         "",
     ]
-    for name, q in entry.queries().items():
+    for name, q in registry.all_queries().items():
         if name in STREAMING:
             continue
         plan = q(spark, args.sf_dir)._jdf.queryExecution().executedPlan().toString()
