@@ -147,35 +147,51 @@ def ordered(sets: DataFrame, hot: DataFrame) -> DataFrame:
     return d.withColumn("cold", F.array_except("tokens", "hot.token"))
 
 
-def prefixes(d: DataFrame, percent: int) -> DataFrame:
-    """cls, doc_id, n, l, own (shingles that are not hot), prefix: the adaptive
-    prefix of every class. The order is known to its end, or as far as cold goes."""
-    d = d.withColumn("width", _width(F.col("n"), percent)).withColumn("own", F.size("cold"))
-    d = d.withColumn("order", F.concat("cold", "hot.token")).withColumn("known", F.size("order"))
+def choose(n: np.ndarray, own: np.ndarray, hot: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(l, prefix length) of the least cost for sets of n shingles, of which
+    ``own`` are not hot, then the hot ones (their counts are hot[ends[i]:ends[i + 1]])."""
+    start, known = ends[:-1], own + np.diff(ends)
+    width = n - np.ceil(n * percent / 100).astype(np.int64)
     # Most candidates are of about the same size, and meet within this much narrower part of the prefix.
-    d = d.withColumn("alike", (F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).cast("int"))
-
-    def reach(level: Column) -> Column:
-        return F.least(F.col("known"), F.col("alike") + level)
-
-    def deep(level: Column) -> Column:  # hot shingles within reach
-        return F.greatest(reach(level) - F.col("own"), F.lit(0))
-
-    def counts(hot: Column) -> Column:
-        return F.aggregate(hot, F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    alike = n - np.ceil(n * (2 * percent) / (100 + percent)).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(hot, dtype=np.int64)])
+    level = np.arange(1, LEVELS + 1)
+    reach = np.minimum(known[:, None], alike[:, None] + level)
+    deep = np.maximum(reach - own[:, None], 0)
+    entries = np.minimum(reach, own[:, None]) + upto[start[:, None] + deep] - upto[start][:, None]
+    cost = entries * (1 + n[:, None] * COMPARE / level)
+    most = np.maximum(1, np.minimum(LEVELS, known - width))
+    best = np.where(level <= most[:, None], cost, np.inf).argmin(1) + 1 if len(n) else np.empty(0, np.int64)
+    return best, np.minimum(known, width + best)
+
+
+def _prefixes(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cold, hot = batch.column("cold"), batch.column("hot")
+            n, own = batch.column("n").to_numpy(), pc.list_value_length(cold).to_numpy().astype(np.int64)
+            pairs, count = hot.flatten(), pc.list_value_length(hot).to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(count)])
+            level, size = choose(n, own, pairs.field("df").to_numpy(), ends, percent)
+            # The order of a set: its cold shingles, then its hot ones.
+            order = np.concatenate([cold.flatten().to_numpy(), pairs.field("token").to_numpy()])
+            from_cold = np.minimum(size, own)
+            first = np.stack([np.cumsum(own) - own, own.sum() + ends[:-1]], 1).reshape(-1)
+            taken = np.stack([from_cold, size - from_cold], 1).reshape(-1)
+            prefix = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(order[common.ranges(first, taken)]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), batch.column("doc_id"), batch.column("n"), pa.array(level, pa.int32()), pa.array(own, pa.int32()), prefix],
+                ["cls", "doc_id", "n", "l", "own", "prefix"])
 
-    # The levels differ by their last few hot shingles only: one sum for what all reach, and those few.
-    d = d.withColumn("deep", deep(F.lit(1)))
-    d = d.withColumn("base", counts(F.slice("hot", F.lit(1), F.col("deep")))).withColumn("last", F.slice("hot", F.col("deep") + 1, F.lit(LEVELS)))
+    return run
 
-    def cost(level: Column) -> Column:
-        entries = F.least(reach(level), F.col("own")) + F.col("base") + counts(F.slice("last", F.lit(1), deep(level) - F.col("deep")))
-        return F.struct((entries * (1 + F.col("n") * COMPARE / level)).alias("cost"), level.alias("l"))
 
-    most = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.col("known") - F.col("width")))
-    best = F.array_min(F.transform(F.sequence(F.lit(1), most), cost))["l"]
-    return d.withColumn("l", best).select(
-        "cls", "doc_id", "n", "l", "own", F.slice("order", F.lit(1), F.least(F.col("known"), F.col("width") + F.col("l"))).alias("prefix"))
+def prefixes(d: DataFrame, percent: int) -> DataFrame:
+    """cls, doc_id, n, l, own (shingles that are not hot), prefix: the adaptive
+    prefix of every class. The order is known to its end, or as far as cold goes."""
+    return d.select("cls", "doc_id", "n", "hot", "cold").mapInArrow(
+        _prefixes(percent), "cls binary, doc_id bigint, n bigint, l int, own int, prefix array<bigint>")
 
 
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -264,8 +280,8 @@ def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Da
     near = common.cut(left.select("cls", "doc_id", "n", F.when(F.size("cold") > width, F.col("cold")).alias("cold")), "ngram-near")
     deep = deep.unionByName(whole_sets(text, common.cut(near.where("cold is null").select("cls", "doc_id"), "ngram-deep-names"), k, percent, "ngram-deep"))
     none = F.array().cast("array<struct<df:bigint,token:bigint>>").alias("hot")
-    prefix = prefixes(near.where("cold is not null").select("cls", "doc_id", "n", none, "cold").unionByName(
-        ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold")), percent)
+    prefix = common.cut(prefixes(near.where("cold is not null").select("cls", "doc_id", "n", none, "cold").unionByName(
+        ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold")), percent), "ngram-prefixes")
     entries = prefix.select("cls", "doc_id", "n", "l", "own", F.posexplode("prefix").alias("at", "token"))
     often = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token", (F.col("k") > LARGE).alias("large"))
     entries = common.cut(entries.join(common.broadcast_if_small(common.cut(often, "ngram-often"), 16), "token"), "ngram-entries")
