@@ -109,9 +109,9 @@ def stock_health(summary: DataFrame, reorder: DataFrame) -> DataFrame:
 
 
 def _supply_and_demand(medicines: DataFrame, sales: DataFrame, purchases: DataFrame, suppliers: DataFrame,
-                       reorder: DataFrame, clock: Clock, window_days: int) -> DataFrame:
+                       reorder: DataFrame, clock: Clock, window_days: int, rule: str) -> DataFrame:
     """Per item: live stock, slowest lead time of its suppliers, units sold in
-    the window, and its rule. Purchases are read once, reduced per (item,
+    the window, and the column ``rule`` of its rule. Purchases are read once, reduced per (item,
     supplier) to the live stock and the pair itself; the supplier lead time
     joins those pairs (a row per pair, not per batch)."""
     q = F.col("quantity_remaining")
@@ -126,7 +126,7 @@ def _supply_and_demand(medicines: DataFrame, sales: DataFrame, purchases: DataFr
         medicines.select("medicine_id")
         .join(per_item, "medicine_id", "left")
         .join(_sold_per_item(sales, clock, window_days), "medicine_id", "left")
-        .join(reorder.select("medicine_id", "safety_stock_days", "min_stock_level"), "medicine_id", "left")
+        .join(reorder.select("medicine_id", rule), "medicine_id", "left")
     )
 
 
@@ -136,7 +136,7 @@ def stockout_forecast(medicines: DataFrame, sales: DataFrame, purchases: DataFra
     """C11: projected stock-out date (now + floor(days of cover)) and a
     reorder alert when cover < slowest lead time + safety stock days. The
     date is NULL beyond ``FORECAST_DAYS``; the cover is given in full."""
-    j = _supply_and_demand(medicines, sales, purchases, suppliers, reorder, clock, window_days)
+    j = _supply_and_demand(medicines, sales, purchases, suppliers, reorder, clock, window_days, "safety_stock_days")
     units = F.coalesce(F.col("_sold"), F.lit(0)).cast("bigint")
     stock = F.coalesce(F.col("_stock"), F.lit(0)).cast("bigint")
     cover_days = F.when(units > 0, int_div(stock * window_days, F.when(units > 0, units)))
@@ -177,7 +177,7 @@ def reorder_minimum(medicines: DataFrame, sales: DataFrame, purchases: DataFrame
                     reorder: DataFrame, clock: Clock, window_days: int = rules.SALES_WINDOW_DAYS) -> DataFrame:
     """Units an item sells during its slowest supplier's lead time, at the
     rate of the last ``window_days``, against its rule's minimum."""
-    d = _supply_and_demand(medicines, sales, purchases, suppliers, reorder, clock, window_days).select(
+    d = _supply_and_demand(medicines, sales, purchases, suppliers, reorder, clock, window_days, "min_stock_level").select(
         "medicine_id", F.coalesce(F.col("_sold"), F.lit(0)).cast("bigint").alias("units_sold_30days"),
         F.col("lead_time_days").cast("int").alias("lead_time_days"), "min_stock_level")
     need = int_div(F.col("units_sold_30days") * F.coalesce("lead_time_days", F.lit(0)) + (window_days - 1), F.lit(window_days).cast("bigint"))
