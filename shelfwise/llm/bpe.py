@@ -28,7 +28,7 @@ Other columns of the input, also ones named like a result, are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -225,28 +225,38 @@ def _encoder(text: str):
     return run
 
 
-def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of the documents of one block."""
-    out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})]
-    def numbers(column: str, of=lambda a: a) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.int64), *(of(unpack(b).astype(np.int64)) for b in words.column(column).to_pylist())])
-
-    code, size, flat = numbers("codes", np.cumsum), numbers("lens"), numbers("ids").astype(np.int32)
-    for row in documents.to_pylist():
-        n = row["n_words"]
-        lens, starts = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        lens[code], starts[code] = size, np.cumsum(size) - size
-        if (lens < 0).any():
-            raise RuntimeError("a block lost words")
-        for doc_ids, counts, packed in zip(row["doc_ids"], row["counts"], row["codes"]):
-            codes = unpack(packed).astype(np.int64)
-            ids = flat[common.ranges(starts[codes], lens[codes])]
-            upto = np.concatenate([[0], np.cumsum(lens[codes])])
-            ends = upto[np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])]
-            out.append(pa.table({
-                "doc_id": pa.array(doc_ids, pa.int64()),
-                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))}))
-    return pa.concat_tables(out)
+IDS = "doc_id bigint, ids array<int>"
+
+
+def as_ids(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """A slice of documents as rows with their ids."""
+    return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
+
+
+def _assembler(finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table]):
+    def assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
+        """Ids of the documents of one block, finished slice by slice."""
+        out = [finish(pa.array([], pa.int64()), np.empty(0, np.int32), np.zeros(1, np.int64))]
+
+        def numbers(column: str, of=lambda a: a) -> np.ndarray:
+            return np.concatenate([np.empty(0, np.int64), *(of(unpack(b).astype(np.int64)) for b in words.column(column).to_pylist())])
+
+        code, size, flat = numbers("codes", np.cumsum), numbers("lens"), numbers("ids").astype(np.int32)
+        for row in documents.to_pylist():
+            n = row["n_words"]
+            lens, starts = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+            lens[code], starts[code] = size, np.cumsum(size) - size
+            if (lens < 0).any():
+                raise RuntimeError("a block lost words")
+            for doc_ids, counts, packed in zip(row["doc_ids"], row["counts"], row["codes"]):
+                codes = unpack(packed).astype(np.int64)
+                ids = flat[common.ranges(starts[codes], lens[codes])]
+                upto = np.concatenate([[0], np.cumsum(lens[codes])])
+                ends = upto[np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])]
+                out.append(finish(pa.array(doc_ids, pa.int64()), ids, ends))
+        return pa.concat_tables(out)
+
+    return assemble
 
 
 def word_table(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -256,14 +266,15 @@ def word_table(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return by_word.mapInArrow(_encoder(vocabulary.text), "block bigint, codes binary, lens binary, ids binary")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """doc_id, ids (array of int) of every row of ``docs``."""
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, finish=as_ids, schema: str = IDS) -> DataFrame:
+    """doc_id, ids (array of int) of every row of ``docs``; or what ``finish``, a table of ``schema``,
+    makes of (doc_ids, ids, ends) of a slice in the Python task that has its ids."""
     vocabulary = vocabulary or Vocabulary()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     with common.two_tables(rows.mapInArrow(_blocks, _BLOCKS), "bpe-blocks", "kind") as (dictionaries, documents):
         words = common.cut(word_table(dictionaries, vocabulary), "bpe-words")
     documents = documents.select("block", "doc_ids", "counts", "n_words", "codes")
-    return documents.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
+    return documents.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assembler(finish), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -192,20 +192,21 @@ def get(uri: str, name: str) -> bytes:
 
 
 # -- writing and reading on Spark --------------------------------------------------
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids with the end id, packed, so that the shuffle carries few bytes."""
+PACKED = "doc_id bigint, n bigint, packed binary"
+
+
+def _packed(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """Ids with the end id, packed where they are made: neither the JVM nor a second
+    Python worker of the task holds them, and the shuffle carries few bytes."""
     import zstandard
 
-    for batch in batches:
-        ids = batch.column("ids")
-        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        zip_ = zstandard.ZstdCompressor(level=1)
-        rows = [np.append(flat[a:b], END_ID).astype("<u4") for a, b in zip(ends[:-1], ends[1:])]
-        rows = [r.astype("<u2") if r.max() < 65536 else r for r in rows]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
-             pa.array([bytes([r.itemsize]) + zip_.compress(r.tobytes()) for r in rows], pa.binary())],
-            ["doc_id", "n", "packed"])
+    zip_ = zstandard.ZstdCompressor(level=1)
+    packed = []
+    for a, b in zip(ends[:-1], ends[1:]):
+        row = np.append(ids[a:b], END_ID).astype("<u4")
+        row = row.astype("<u2") if row.max() < 65536 else row
+        packed.append(bytes([row.itemsize]) + zip_.compress(row.tobytes()))
+    return pa.table({"doc_id": doc_ids, "n": pa.array(np.diff(ends) + 1, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -220,8 +221,8 @@ def _writer(folder: str, shard_tokens: int):
         bucket, number, n = TaskContext.get().partitionId(), 0, 0
 
         def flush():
-            ids = np.concatenate([unpack(p).astype(np.int64) for _, p in held])
-            ends = np.cumsum([len(unpack(p)) for _, p in held])
+            rows = [unpack(p) for _, p in held]
+            ids, ends = np.concatenate(rows).astype(np.int64), np.cumsum([len(r) for r in rows])
             name = f"tokens-{bucket:08d}-{number:08d}.rp"
             put(folder, name, dump([d for d, _ in held], ends, ids))
             return pa.RecordBatch.from_arrays(
@@ -245,8 +246,9 @@ def write(docs: DataFrame, folder: str, vocabulary: bpe.Vocabulary | None = None
           shard_tokens: int = SHARD_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Write the files; returns their table: bucket, number, name, start, n_tokens, n_docs."""
     with common.scratch(docs.sparkSession):
-        # Stored, as the range bounds are sampled from it before it is dealt.
-        packed = common.cut(bpe.encode(docs, vocabulary).mapInArrow(_packed, "doc_id bigint, n bigint, packed binary"), "token-rows")
+        with common.scratch(docs.sparkSession):  # blocks and words go before the files are written
+            # Stored, as the range bounds are sampled from it before it is dealt.
+            packed = common.cut(bpe.encode(docs, vocabulary, _packed, PACKED), "token-rows", keep=True)
         buckets = max(1, -(-(packed.agg(F.sum("n")).first()[0] or 0) // bucket_tokens))
         order = [F.col("doc_id").asc_nulls_first(), "n", "packed"]
         ordered = packed.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
