@@ -50,6 +50,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.llm import common
@@ -194,6 +195,16 @@ def prefixes(d: DataFrame, percent: int) -> DataFrame:
         _prefixes(percent), "cls binary, doc_id bigint, n bigint, l int, own int, prefix array<bigint>")
 
 
+def shared_entries(prefix: DataFrame) -> DataFrame:
+    """cls, n, l, at, token, large: the prefix shingles that more than one class has.
+    All entries meet once by shingle, as a number and a place; neither the shingles
+    nor the classes pass through the driver, as both grow with the documents."""
+    met = prefix.select("number", F.posexplode("prefix").alias("at", "token"))
+    met = met.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1")
+    met = met.select("number", "at", "token", (F.col("k") > LARGE).alias("large"))
+    return met.join(prefix.select("number", "cls", "n", "l").hint("merge"), "number").drop("number")
+
+
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Every class of a large bucket with the most central one of the bucket."""
     large = entries.where("large")
@@ -280,17 +291,16 @@ def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Da
     near = common.cut(left.select("cls", "doc_id", "n", F.when(F.size("cold") > width, F.col("cold")).alias("cold")), "ngram-near")
     deep = deep.unionByName(whole_sets(text, common.cut(near.where("cold is null").select("cls", "doc_id"), "ngram-deep-names"), k, percent, "ngram-deep"))
     none = F.array().cast("array<struct<df:bigint,token:bigint>>").alias("hot")
-    prefix = common.cut(prefixes(near.where("cold is not null").select("cls", "doc_id", "n", none, "cold").unionByName(
-        ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold")), percent), "ngram-prefixes")
-    entries = prefix.select("cls", "doc_id", "n", "l", "own", F.posexplode("prefix").alias("at", "token"))
-    often = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token", (F.col("k") > LARGE).alias("large"))
-    entries = common.cut(entries.join(common.broadcast_if_small(common.cut(often, "ngram-often"), 16), "token"), "ngram-entries")
+    prefix = prefixes(near.where("cold is not null").select("cls", "doc_id", "n", none, "cold").unionByName(
+        ordered(deep, hot).select("cls", "doc_id", "n", "hot", "cold")), percent)
+    prefix = common.cut(prefix.withColumn("number", F.monotonically_increasing_id()), "ngram-prefixes")  # stored, so it lasts
+    entries = common.cut(shared_entries(prefix), "ngram-entries")
 
     pairs = common.cut(star_pairs(entries, percent), "ngram-star-pairs")
-    star = common.cut(compare(pairs, entries, text, k, percent), "ngram-star")
+    star = common.cut(compare(pairs, prefix, text, k, percent), "ngram-star")
     root = common.cut(components(star).select(F.col("node").alias("cls"), "root"), "ngram-root")
     pairs = common.cut(cross_pairs(entries, prefix, root, percent), "ngram-cross-pairs")
-    cross = common.cut(compare(pairs, entries, text, k, percent), "ngram-cross")
+    cross = common.cut(compare(pairs, prefix, text, k, percent), "ngram-cross")
     return rows.select("doc_id", "key", "n", "cls"), merged(root, cross), star.unionByName(cross)
 
 
@@ -306,10 +316,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     return out, links
 
 
-def compare(pairs: DataFrame, entries: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+def compare(pairs: DataFrame, named: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that reach the similarity; whole sets are read for their classes only."""
     chosen = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    chosen = common.cut(entries.select("cls", "doc_id").distinct().join(chosen, "cls"), "ngram-chosen")
+    chosen = common.cut(named.select("cls", "doc_id").distinct().join(chosen, "cls"), "ngram-chosen")
     return verify(pairs, whole_sets(text, chosen, k, percent, "ngram-sets"), percent)
 
 
