@@ -125,6 +125,12 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(at[new]), pa.array(at[last] + WINDOW)], ["ord", "key", "start", "stop"])
 
 
+def _placed(texts: DataFrame, info: DataFrame) -> DataFrame:
+    """Texts with their places. Places grow with the texts, nearly all of which have some: they meet
+    by a shuffle at any size, so that disk and the driver's memory grow no faster than the input."""
+    return texts.join(info.hint("merge"), ["ord", "key"])
+
+
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(whole copies as ord, key; removed runs as ord, key, runs)."""
     spark = docs.sparkSession
@@ -134,13 +140,12 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         texts = texts.join(common.broadcast_if_small(same, 32), ["ord", "key"], "left_anti")
         with common.scratch(spark):
             info = anchors.affected(texts, anchors.anchor_marks(anchors.byte_units, GRAM, WINDOW), within=False)
-            row, size = anchors.bytes_per_row(info, "places")
+            _, size = anchors.bytes_per_row(info, "places")
             # Second round: anchors with 16 bytes of context on the side where a window has them.
-            info = anchors.affected(anchors.with_info(texts, info, row), anchors.context_marks(GRAM), within=False, size=size * 16)
-            row, size = anchors.bytes_per_row(info, "places")
+            info = anchors.affected(_placed(texts, info), anchors.context_marks(GRAM), within=False, size=size * 16)
+            _, size = anchors.bytes_per_row(info, "places")
             shards = max(8, size // 8 * SEGMENT_BYTES // SHARD_BYTES)
-            found = anchors.with_info(texts, info, row)
-            members = common.cut(found.mapInArrow(_segments(int(shards)), _SEGMENT), "segments", keep=True)
+            members = common.cut(_placed(texts, info).mapInArrow(_segments(int(shards)), _SEGMENT), "segments", keep=True)
         distinct = members.groupBy("shard", "segment").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
         firsts = common.cut(distinct.groupBy("shard").applyInArrow(_shard, "name binary, firsts array<bigint>"), "segment-firsts")
         named = members.mapInArrow(_named, "ord bigint, key bigint, start bigint, name binary")
