@@ -50,8 +50,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text they decode to, of every row; null and empty
     texts have no ids. (The last stage: other columns end here.)"""
     common.ship(spark)
-    vocabulary = bpe.Vocabulary()
-    both = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    both = bpe.encode_and_decode(docs)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

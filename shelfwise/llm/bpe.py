@@ -16,8 +16,8 @@ punctuation is cut once more between the two, and A-Z become a-z if the
 tokenizer lower-cases, because its own rules do the same.
 
 Decoding looks every id up in the id-to-piece table, whose size is fixed by
-the vocabulary: it is packed into one row, joined by broadcast, and read by
-position. Pieces are joined by a blank, as the library does without decoder.
+the vocabulary: it goes to the Python tasks and is read by position, a slice of
+documents at once. Pieces are joined by a blank, as the library does without decoder.
 
 Null and empty texts have no ids and decode to an empty text. Null ids and
 repeated rows are kept as rows. A text longer than a slice is a slice of its
@@ -36,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shelfwise.llm import common
 
@@ -233,6 +234,25 @@ def as_ids(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
 
 
+TEXTS = IDS + ", decoded string"
+
+
+def spell(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts that ids decode to; an id outside the vocabulary is left out."""
+    found = pieces.take(pa.array(ids, pa.int32(), mask=(ids < 0) | (ids >= len(pieces))))
+    if found.null_count:
+        known = pc.is_valid(found)
+        ends = np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])[ends]
+        found = found.filter(known)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ")
+
+
+def as_texts(vocabulary: Vocabulary) -> Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table]:
+    """A ``finish`` that adds the decoded texts to the ids."""
+    pieces = pa.array(vocabulary.pieces, pa.string())
+    return lambda doc_ids, ids, ends: as_ids(doc_ids, ids, ends).append_column("decoded", spell(pieces, ids, ends))
+
+
 def _assembler(finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table]):
     def assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
         """Ids of the documents of one block, finished slice by slice."""
@@ -277,18 +297,33 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, finish=as_ids,
     return documents.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assembler(finish), schema)
 
 
+def _decoder(vocabulary: Vocabulary):
+    pieces = pa.array(vocabulary.pieces, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            texts = spell(pieces, pc.fill_null(ids.flatten(), -1).to_numpy(), ends)
+            yield batch.append_column("decoded", pc.if_else(pc.is_valid(ids), texts, None))
+
+    return run
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """Adds ``decoded`` to a frame with ``ids``; an id outside the vocabulary is left out, as in the library."""
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
+    return encoded.mapInArrow(_decoder(vocabulary or Vocabulary()), schema)
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """As ``decode(encode(docs))``, decoded in the Python task that has the ids."""
     vocabulary = vocabulary or Vocabulary()
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(pa.table({"one": pa.array([1], pa.int32()), "pieces": pa.array([vocabulary.pieces], pa.list_(pa.string()))}))
-    found = encoded.withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
-    return found.withColumn("decoded", F.array_join(F.transform("ids", lambda i: F.get("pieces", i)), " ")).drop("one", "pieces")
+    return encode(docs, vocabulary, as_texts(vocabulary), TEXTS)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = Vocabulary()
-    both = decode(encode(common.read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    both = encode_and_decode(common.read(spark, sf_dir, "documents"))
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
