@@ -8,7 +8,7 @@ replaced by nonterminals, round by round with falling thresholds, until no
 pair occurs ``LEAST`` times, where a rule costs as much as it saves; pairs never
 cross a document. A file holds the
 rules, the expansion length of every rule, the offset of every document and
-the symbols that are left. ``read_document`` decodes one document alone;
+the symbols that are left, 16 bits of each in a row and the higher bits as planes. ``read_document`` decodes one document alone;
 ``read_ids`` decodes part of it: expansion lengths say which symbol holds an
 id. A table beside the files names them in order with their first id.
 
@@ -42,25 +42,29 @@ SHARD_TOKENS = 1 << 20
 BUCKET_TOKENS = 8 << 20
 # A rule takes 12 bytes in a file and saves at least 2 at each place.
 LEAST = 7
-MAGIC = b"RPTOK001"
+MAGIC = b"RPTOK002"
 
 
 # -- grammar -----------------------------------------------------------------
 def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document ends in symbols, rules as rows (left, right)).
     ``first`` is the number of the first rule; ids are below it."""
-    seq, rules, nxt = ids.astype(np.int64), [], first
+    seq, rules, nxt = ids.astype(np.uint32), [], first
     last = np.zeros(len(seq), bool)
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     doc_len = np.diff(ends, prepend=0)
-    least = max(LEAST, len(seq) // 512)
+    least, near = max(LEAST, len(seq) // 2048), None
     while len(seq) > 1:
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-        free = ~last[:-1]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        often = np.bincount(slot[free], minlength=1 << 20) >= least
-        at = np.flatnonzero(often[slot] & free)
-        pairs, back, count = np.unique(key[at], return_inverse=True, return_counts=True)
+        if near is None:
+            wide = 16 if least > 128 else 20
+            slot = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - wide)).astype(np.int64)
+            often = np.bincount(slot, minlength=1 << wide) >= least
+            near = np.flatnonzero(often[slot])
+        at = near[~last[near]]
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        coded = pa.array(key).dictionary_encode()
+        pairs, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        count = np.bincount(back, minlength=len(pairs))
         good = count >= least
         if least == LEAST and not good.any():
             break
@@ -80,12 +84,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
             last[at] |= last[at + 1]
             stay = np.ones(len(seq), bool)
             stay[at + 1] = False
+            stay = np.flatnonzero(stay)
             seq, last = seq[stay], last[stay]
-        least = max(LEAST, least // 4)
+            at -= np.arange(len(at))
+        # After a round at the last threshold only pairs with a new symbol can reach it.
+        near = np.unique(np.concatenate([at[at > 0] - 1, at[at < len(seq) - 1]])) if least == LEAST else None
+        least = max(LEAST, least // 8)
     cut = np.flatnonzero(last) + 1
     sym_ends = np.zeros(len(ends), np.int64)
     sym_ends[doc_len > 0] = cut
-    return seq, np.maximum.accumulate(sym_ends), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
+    return seq.astype(np.int64), np.maximum.accumulate(sym_ends), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -112,15 +120,26 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
 
 
 # -- file format -----------------------------------------------------------------
+def bits(symbols: int) -> int:
+    """Bits of a symbol, 16 at least."""
+    return max(16, (symbols - 1).bit_length())
+
+
+def split(seq: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The low 16 bits of each symbol, and every higher bit as a plane of one bit a symbol."""
+    planes = [np.packbits((seq >> k & 1).astype(bool)) for k in range(16, bits(symbols))]
+    return seq & 0xFFFF, np.concatenate([np.empty(0, np.uint8), *planes])
+
+
 def dump(doc_ids: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
     first = max(int(ids.max()) + 1 if len(ids) else 0, END_ID + 1)
     seq, sym_ends, rules = compress(ids, ends, first)
-    wide = "<u2" if first + len(rules) <= 65536 else "<u4"
+    low, high = split(seq, first + len(rules))
     null = np.asarray([d is None for d in doc_ids], np.uint8)
     out = io.BytesIO()
-    out.write(MAGIC + struct.pack("<QQQQ4s", first, len(rules), len(doc_ids), len(seq), wide.encode().ljust(4)))
+    out.write(MAGIC + struct.pack("<QQQQ", first, len(rules), len(doc_ids), len(seq)))
     for a, kind in ((rules, "<u4"), (lengths(rules, first), "<u4"), (null, "u1"),
-                    (np.asarray([d or 0 for d in doc_ids], np.int64), "<i8"), (ends, "<u8"), (sym_ends, "<u8"), (seq, wide)):
+                    (np.asarray([d or 0 for d in doc_ids], np.int64), "<i8"), (ends, "<u8"), (sym_ends, "<u8"), (low, "<u2"), (high, "u1")):
         out.write(a.astype(kind).tobytes())
     return out.getvalue()
 
@@ -131,8 +150,8 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.first, n_rules, n_docs, n_seq, wide = struct.unpack_from("<QQQQ4s", data, 8)
-        at = 8 + struct.calcsize("<QQQQ4s")
+        self.first, n_rules, n_docs, n_seq = struct.unpack_from("<QQQQ", data, 8)
+        at = 8 + struct.calcsize("<QQQQ")
 
         def take(n: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -146,7 +165,11 @@ class TokenFile:
         self.doc_ids = [None if z else i for z, i in zip(null.tolist(), ids.tolist())]
         self.ends = take(n_docs, "<u8")
         self.sym_ends = take(n_docs, "<u8")
-        self.seq = take(n_seq, wide.decode().strip())
+        self.seq = take(n_seq, "<u2")
+        for k in range(16, bits(self.first + n_rules)):
+            plane = np.frombuffer(data, "u1", -(-n_seq // 8), at)
+            at += plane.nbytes
+            self.seq |= np.unpackbits(plane, count=n_seq).astype(np.int64) << k
 
     def __len__(self) -> int:
         return len(self.doc_ids)
@@ -165,7 +188,15 @@ class TokenFile:
         return expand(seq[a:b + 1], self.rules, self.first)[skip:skip + stop - start]
 
     def read_all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        """Every rule is spelled out once and copied to its places; where the rules are
+        longer than the documents, the symbols are expanded instead."""
+        spelled = int(self.rule_lengths.sum())
+        if not spelled or spelled > self.ends[-1]:
+            return expand(self.seq, self.rules, self.first)
+        rules = expand(np.arange(self.first, self.first + len(self.rules)), self.rules, self.first)
+        flat = np.concatenate([np.arange(self.first), rules])
+        size = np.concatenate([np.ones(self.first, np.int64), self.rule_lengths])
+        return flat[common.ranges((np.cumsum(size) - size)[self.seq], size[self.seq])]
 
 
 def store(uri: str):
@@ -201,12 +232,13 @@ def _packed(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
     import zstandard
 
     zip_ = zstandard.ZstdCompressor(level=1)
-    packed = []
-    for a, b in zip(ends[:-1], ends[1:]):
-        row = np.append(ids[a:b], END_ID).astype("<u4")
-        row = row.astype("<u2") if row.max() < 65536 else row
-        packed.append(bytes([row.itemsize]) + zip_.compress(row.tobytes()))
-    return pa.table({"doc_id": doc_ids, "n": pa.array(np.diff(ends) + 1, pa.int64()), "packed": pa.array(packed, pa.binary())})
+    packed, ids = [], np.insert(ids, ends[1:], END_ID).astype("<u4")  # an end id goes before what stands at ``ends``
+    narrow, ends = ids.astype("<u2"), ends + np.arange(len(ends))
+    wide = bool((ids != narrow).any())
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        row = ids[a:b] if wide and ids[a:b].max() >= 65536 else narrow[a:b]
+        packed.append(bytes([row.itemsize]) + zip_.compress(row))
+    return pa.table({"doc_id": doc_ids, "n": pa.array(np.diff(ends), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -273,7 +305,7 @@ def _reader(folder: str):
                 starts = np.concatenate([[0], f.ends[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f.doc_ids, pa.int64()), pa.array(starts + row["start"], pa.int64()), pa.array(f.ends - starts, pa.int64()),
-                     pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, f.ends)], pa.int64())],
+                     pa.array([zlib.crc32(ids[a:b]) for a, b in zip(starts, f.ends)], pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
