@@ -27,6 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,59 +41,74 @@ from shelfwise.llm import bpe, common
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 BUCKET_TOKENS = 8 << 20
+# Files that a task reads, one after the other: one alone takes less time than its task.
+READ_FILES = 4
 # A rule takes 12 bytes in a file and saves at least 2 at each place.
 LEAST = 7
 MAGIC = b"RPTOK002"
 
 
 # -- grammar -----------------------------------------------------------------
+def _candidates(seq: np.ndarray, at: np.ndarray | None, least: int) -> np.ndarray:
+    """The places among ``at`` (None: all) whose pair may occur ``least`` times: pairs are
+    counted by a hash first, so that few rare ones are left to count one by one."""
+    left, right = (seq[:-1], seq[1:]) if at is None else (seq[at], seq[at + 1])
+    wide = 16 if least > 128 else 18
+    slot = left * np.uint32(0x9E3779B1)
+    slot += right * np.uint32(0x85EBCA77)
+    slot >>= np.uint32(32 - wide)
+    slot = slot.astype(np.int64)
+    often = (np.bincount(slot, minlength=1 << wide) >= least)[slot]
+    return np.flatnonzero(often) if at is None else at[often]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document ends in symbols, rules as rows (left, right)).
     ``first`` is the number of the first rule; ids are below it."""
     seq, rules, nxt = ids.astype(np.uint32), [], first
-    last = np.zeros(len(seq), bool)
-    last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
-    doc_len = np.diff(ends, prepend=0)
+    filled = np.diff(ends, prepend=0) > 0
+    last = ends[filled] - 1  # the last symbol of each document with ids
     least, near = max(LEAST, len(seq) // 2048), None
     while len(seq) > 1:
-        if near is None:
-            wide = 16 if least > 128 else 20
-            slot = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - wide)).astype(np.int64)
-            often = np.bincount(slot, minlength=1 << wide) >= least
-            near = np.flatnonzero(often[slot])
-        at = near[~last[near]]
-        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        at = _candidates(seq, near, least)
+        stop = np.searchsorted(at, last)
+        stop, end = stop[stop < len(at)], last[stop < len(at)]
+        at = np.delete(at, stop[at[stop] == end])
+        key = seq[at].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= seq[at + 1]
         coded = pa.array(key).dictionary_encode()
         pairs, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        count = np.bincount(back, minlength=len(pairs))
-        good = count >= least
+        good = np.bincount(back, minlength=len(pairs)) >= least
         if least == LEAST and not good.any():
             break
         if good.any():
-            number = np.full(len(pairs), -1, np.int64)
-            number[good] = nxt + np.arange(int(good.sum()))
-            at, new = at[good[back]], number[back][good[back]]
+            number = np.zeros(len(pairs), np.uint32)  # 0: no rule
+            number[good] = np.arange(nxt, nxt + int(good.sum()))
+            new = number[back]
+            hit = np.flatnonzero(new)
+            at, new = at[hit], new[hit]
             # Overlapping matches: within a run of neighbours every other one, from the left.
-            run = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.empty(0, bool)
-            place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            take = place % 2 == 0
+            run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            place = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
+            take = np.flatnonzero(place % 2 == 0)
             at, new = at[take], new[take]
             rules.append(np.stack([(pairs[good] >> np.uint64(32)).astype(np.int64),
                                    (pairs[good] & np.uint64(0xFFFFFFFF)).astype(np.int64)], 1))
             nxt += int(good.sum())
             seq[at] = new
-            last[at] |= last[at + 1]
             stay = np.ones(len(seq), bool)
             stay[at + 1] = False
-            stay = np.flatnonzero(stay)
-            seq, last = seq[stay], last[stay]
+            seq, last = seq[stay], last - np.searchsorted(at, last)
             at -= np.arange(len(at))
         # After a round at the last threshold only pairs with a new symbol can reach it.
-        near = np.unique(np.concatenate([at[at > 0] - 1, at[at < len(seq) - 1]])) if least == LEAST else None
+        if least == LEAST:
+            touched = np.zeros(len(seq) + 1, bool)  # the spare place stands for the one before the first symbol
+            touched[at] = touched[at - 1] = True
+            near = np.flatnonzero(touched[:len(seq) - 1])
         least = max(LEAST, least // 8)
-    cut = np.flatnonzero(last) + 1
     sym_ends = np.zeros(len(ends), np.int64)
-    sym_ends[doc_len > 0] = cut
+    sym_ends[filled] = last + 1
     return seq.astype(np.int64), np.maximum.accumulate(sym_ends), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
@@ -107,15 +123,12 @@ def lengths(rules: np.ndarray, first: int) -> np.ndarray:
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """Replace rules level by level until only ids are left."""
     while len(rules):
-        big = seq >= first
-        if not big.any():
+        at = np.flatnonzero(seq >= first)
+        if not len(at):
             break
-        at = np.cumsum(1 + big) - 1 - big
-        out = np.empty(len(seq) + int(big.sum()), np.int64)
-        out[at] = np.where(big, 0, seq)
-        out[at[big]] = rules[seq[big] - first, 0]
-        out[at[big] + 1] = rules[seq[big] - first, 1]
-        seq = out
+        pair = rules[seq[at] - first]
+        seq = np.insert(seq, at + 1, pair[:, 1])
+        seq[at + np.arange(len(at))] = pair[:, 0]
     return seq
 
 
@@ -193,10 +206,11 @@ class TokenFile:
         spelled = int(self.rule_lengths.sum())
         if not spelled or spelled > self.ends[-1]:
             return expand(self.seq, self.rules, self.first)
-        rules = expand(np.arange(self.first, self.first + len(self.rules)), self.rules, self.first)
-        flat = np.concatenate([np.arange(self.first), rules])
-        size = np.concatenate([np.ones(self.first, np.int64), self.rule_lengths])
-        return flat[common.ranges((np.cumsum(size) - size)[self.seq], size[self.seq])]
+        rules = np.arange(self.first, self.first + len(self.rules), dtype=np.uint32)
+        flat = np.concatenate([np.arange(self.first, dtype=np.uint32), expand(rules, self.rules.astype(np.uint32), self.first)])
+        ends = np.concatenate([np.arange(self.first + 1), self.first + np.cumsum(self.rule_lengths)])
+        spellings = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return spellings.take(pa.array(self.seq)).values.to_numpy()
 
 
 def store(uri: str):
@@ -232,19 +246,26 @@ def _packed(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
     import zstandard
 
     zip_ = zstandard.ZstdCompressor(level=1)
-    packed, ids = [], np.insert(ids, ends[1:], END_ID).astype("<u4")  # an end id goes before what stands at ``ends``
-    narrow, ends = ids.astype("<u2"), ends + np.arange(len(ends))
-    wide = bool((ids != narrow).any())
+    wide = len(ids) > 0 and int(ids.max()) >= 65536
+    packed, ids = [], np.insert(ids.astype("<u4" if wide else "<u2"), ends[1:], END_ID)  # an end id goes before what stands at ``ends``
+    ends = ends + np.arange(len(ends))
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        row = ids[a:b] if wide and ids[a:b].max() >= 65536 else narrow[a:b]
+        row = ids[a:b]
+        if wide and row.max() < 65536:
+            row = row.astype("<u2")
         packed.append(bytes([row.itemsize]) + zip_.compress(row))
     return pa.table({"doc_id": doc_ids, "n": pa.array(np.diff(ends), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
-def unpack(b: bytes) -> np.ndarray:
+@lru_cache(maxsize=1)
+def _unzip():
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(b[1:]), "<u2" if b[0] == 2 else "<u4")
+    return zstandard.ZstdDecompressor().decompress
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(_unzip()(b[1:]), "<u2" if b[0] == 2 else "<u4")
 
 
 def _writer(folder: str, shard_tokens: int):
@@ -254,7 +275,7 @@ def _writer(folder: str, shard_tokens: int):
 
         def flush():
             rows = [unpack(p) for _, p in held]
-            ids, ends = np.concatenate(rows).astype(np.int64), np.cumsum([len(r) for r in rows])
+            ids, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
             name = f"tokens-{bucket:08d}-{number:08d}.rp"
             put(folder, name, dump([d for d, _ in held], ends, ids))
             return pa.RecordBatch.from_arrays(
@@ -299,7 +320,7 @@ def _reader(folder: str):
         for batch in batches:
             for row in batch.to_pylist():
                 f = TokenFile(get(folder, row["name"]))
-                ids = f.read_all().astype("<u4")
+                ids = f.read_all().astype("<u4", copy=False)
                 if len(ids) != row["n_tokens"]:
                     raise RuntimeError(f"{row['name']} holds {len(ids)} ids, its index says {row['n_tokens']}")
                 starts = np.concatenate([[0], f.ends[:-1]])
@@ -312,7 +333,8 @@ def _reader(folder: str):
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
-    return common.one_by_one(index.select("name", "start", "n_tokens"), "name").mapInArrow(
+    tasks = max(1, -(-index.count() // READ_FILES))
+    return index.select("name", "start", "n_tokens").repartition(tasks, "name").mapInArrow(
         _reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
